@@ -48,7 +48,8 @@ def rates(classes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
     Among rates between 0 and ``most`` whose words meet the source's target, these have the least
     relative entropy to one copy each: their odds are tilted exponentially by size,
     ``rate = most / (1 + (most - 1) * exp(-x * size / mean))``. ``x`` minimises the convex dual; each
-    Newton iteration is one grouped sum over the classes, kept inside a shrinking bracket.
+    Newton iteration is one grouped sum over the classes, kept inside a shrinking bracket. Rates are
+    rounded to 9 places, so the order of a sum can't show.
     """
     spark = classes.sparkSession
     at = written(goals.select("source", "source_size", "target", F.lit(0.0).alias("x"), F.lit(-1e4).alias("low"), F.lit(1e4).alias("high"), (F.col("target") >= most * F.col("source_size") * (1 - 1e-12)).alias("done")))
@@ -73,7 +74,7 @@ def rates(classes: DataFrame, goals: DataFrame, most: int = MOST) -> DataFrame:
         if at.where("not done").isEmpty():
             break
     full = F.col("target") >= most * F.col("source_size") * (1 - 1e-12)
-    return known.alias("k").join(at.alias("a"), pair("k", "a")).select("k.source", "size", "n", "source_size", "target", F.when(full, F.lit(float(most))).otherwise(rate(F.col("x"))).alias("rate"))
+    return known.alias("k").join(at.alias("a"), pair("k", "a")).select("k.source", "size", "n", "source_size", "target", F.when(full, F.lit(float(most))).otherwise(F.round(rate(F.col("x")), 9)).alias("rate"))
 
 
 def copies(classes: DataFrame, most: int = MOST) -> DataFrame:
