@@ -14,10 +14,10 @@ from . import words as W
 from .components import components
 from .scratch import partitions, written
 
-#: Shingles at the end of the order, 8 bytes each; any number gives the same links.
-COMMON = 65_536
-#: Documents of one batch that a shingle is in to be a candidate for them.
-COMMON_FROM = 4
+#: Cells that the documents of shingles are counted in, 2**21; any number gives the same links.
+CELL_BITS, CHUNK_BITS = 21, 15
+#: Pairs that a task remembers to have handed on, before it starts afresh.
+REMEMBERED = 1_000_000
 #: Rounds in which sets try their best partner only, before all that is left is compared.
 STAR_ROUNDS = 3
 
@@ -56,6 +56,37 @@ def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield held
 
 
+def _cell(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _cell_counts(docs: DataFrame, size: int, n: int) -> np.ndarray:
+    """How many documents have shingles of each cell: tasks count, chunks of the counts are summed; the result is 8 MB at any size."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        for batch in W.small(batches):
+            sets = shingle_sets(batch.column("text"), size)
+            cells += np.bincount(_cell(np.concatenate(sets)), minlength=len(cells))
+        chunks = np.minimum(cells, 65_535).astype(np.uint16).reshape(-1, 1 << CHUNK_BITS)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "counts": pa.array([c.tobytes() for c in chunks], pa.binary())})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
+                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint32))
+                sums[chunk] += np.frombuffer(counts, np.uint16)
+        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary())})
+
+    schema = "chunk int, counts binary"
+    summed = docs.select("text").mapInArrow(tally, schema).repartition(n, "chunk").mapInArrow(add, schema)
+    out = np.zeros((1 << CELL_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
+    for r in summed.toLocalIterator():
+        out[r.chunk] = np.frombuffer(r.counts, np.uint32)
+    return out.ravel()
+
+
 def _possible(x: str, y: str) -> Column:
     """Whether sets can be similar enough that share their first common shingle at these places of the order."""
     n = lambda s: F.col(f"{s}.n")
@@ -72,7 +103,8 @@ def similar_components(docs: DataFrame, size: int = 5) -> DataFrame:
     reachable. Every link counts, none is cut off.
 
     - Equal sets are one set, named by its smallest doc_id (``set_id``).
-    - Index lists are built for the first fifth of each set in one order, common shingles last.
+    - Index lists are built for the first fifth of each set in one order, common shingles last
+      (by a table of counts of fixed size over all documents).
       Within a list, places in the order and set sizes bound the similarity, so whole runs of
       a list are skipped by position.
     - A set first tries the member of its lists that stands earliest in the order, the one with
@@ -88,27 +120,15 @@ def similar_components(docs: DataFrame, size: int = 5) -> DataFrame:
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
-    def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.small(batches):
-            got, count = np.unique(np.concatenate(shingle_sets(batch.column("text"), size)), return_counts=True)
-            often = count >= COMMON_FROM
-            yield pa.RecordBatch.from_pydict({"g": pa.array(W.signed(got[often]), pa.int64()), "n": pa.array(count[often], pa.int64())})
-
-    common = docs.mapInArrow(frequent, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "g").limit(COMMON).collect()
-    last = np.array([r.g for r in reversed(common)], np.int64).view(np.uint64)
-    by_hash = np.argsort(last)
-    held = spark.sparkContext.broadcast((last[by_hash], by_hash + 1))
+    held = spark.sparkContext.broadcast(_cell_counts(docs, size, n))
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, order = held.value
+        cells = held.value
         for batch in W.small(batches):
             sets = shingle_sets(batch.column("text"), size)
             prefix, hi, lo = [], [], []
             for s in sets:
-                if len(late) and len(s):
-                    at = np.minimum(np.searchsorted(late, s), len(late) - 1)
-                    rank = np.where(late[at] == s, order[at], 0)
-                    s = s[np.argsort(rank, kind="stable")]
+                s = s[np.argsort(cells[_cell(s)], kind="stable")]
                 prefix.append(W.signed(s[: len(s) - (4 * len(s) + 4) // 5 + 1] if len(s) else s))
                 m = W.mix(s)
                 hi.append(int(m.sum().view(np.int64)) if len(s) else 0)
@@ -191,10 +211,15 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All pairs of a list, by size, that lead to another component and can be similar.
 
     Members of the list's largest component are not taken as left sides, so what is already one
-    component is skipped as a whole; sizes and places then bound a slice of the list.
+    component is skipped as a whole; sizes and places then bound a slice of the list. Pairs that
+    the task has just handed on are not handed on again.
     """
 
+    told: set[int] = set()
+
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(told) > REMEMBERED:
+            told.clear()
         ids, n, pos, comp = (rows.column(c).to_numpy() for c in ("set_id", "n", "pos", "comp"))
         names, counts = np.unique(comp, return_counts=True)
         if len(names) < 2:
@@ -205,7 +230,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = np.minimum(n[i] - pos[i], n[lo:hi] - pos[lo:hi])
             ok = (comp[lo:hi] != comp[i]) & (9 * rest >= 4 * (n[i] + n[lo:hi])) & ((comp[lo:hi] == main) | (ids[lo:hi] > ids[i]))
             if ok.any():
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(int(ok.sum()), ids[i]), pa.int64()), "b": pa.array(ids[lo:hi][ok], pa.int64())})
+                other = ids[lo:hi][ok]
+                keys = W.mix(W.mix(np.minimum(other, ids[i]).astype(np.uint64)) + np.maximum(other, ids[i]).astype(np.uint64)).tolist()
+                new = np.array([k not in told for k in keys])
+                told.update(keys)
+                if new.any():
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(int(new.sum()), ids[i]), pa.int64()), "b": pa.array(other[new], pa.int64())})
 
     held: list[pa.Table] = []
     for batch in batches:
