@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,7 +73,7 @@ def _regression(df: DataFrame, features: list[str], x1: str, x2: str, group: str
     det = c("s11") * c("s22") - c("s12") * c("s12")
     s = s.where(c("n") >= least).withColumn("det", F.when(det > 1e-12 * c("s11") * c("s22"), det))
     s = s.withColumn("b1", F.try_divide(c("s22") * c("s1y") - c("s12") * c("s2y"), c("det"))).withColumn("b2", F.try_divide(c("s11") * c("s2y") - c("s12") * c("s1y"), c("det")))
-    s = s.withColumn("b0", c("my") - c("b1") * c("m1") - c("b2") * c("m2")).withColumn("sse", F.greatest(F.lit(0.0), c("syy") - c("b1") * c("s1y") - c("b2") * c("s2y")))
+    s = s.withColumn("b0", c("my") - c("b1") * c("m1") - c("b2") * c("m2")).withColumn("sse", F.when(c("det").isNotNull(), F.greatest(F.lit(0.0), c("syy") - c("b1") * c("s1y") - c("b2") * c("s2y"))))
     s = s.withColumn("df", (c("n") - 3)).withColumn("s2", F.try_divide("sse", "df"))
     se = lambda v: F.sqrt(F.try_divide(c("s2") * v, c("det")))
     zero = F.sqrt(c("s2") * (1 / c("n") + F.try_divide(c("m1") * c("m1") * c("s22") - 2 * c("m1") * c("m2") * c("s12") + c("m2") * c("m2") * c("s11"), c("det"))))
@@ -178,8 +179,6 @@ def adf(df: DataFrame, value: str, group: str, order: list[str]) -> DataFrame:
 
     A series has a value for each quarter, so a group is small by its nature.
     """
-    import pandas as pd
-
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.struct(*order).alias("o"))
     rows = rows.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("v"))
 

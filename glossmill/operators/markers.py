@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
@@ -24,12 +24,15 @@ def _modal_use(all_tokens: Column, token: Column, i: Column) -> Column:
     return starts | ~token.rlike(r"^\p{Lu}") | ~F.lower(before).isin(TITLES)
 
 
-def markers(text: Column) -> dict[str, Column]:
-    """The modal and pronoun columns of a text; ratios without a hit are null, rates without a word 0."""
-    every = tokens(F.coalesce(text, F.lit("")))
-    lowered = F.transform(every, F.lower)
-    wanted = [*CERTAINTY, *HEDGING, *INGROUP, *OUTGROUP]
-    hits = F.filter(lowered, lambda t: t.isin(wanted))
+def with_markers(df: DataFrame, text: Column) -> DataFrame:
+    """``df`` with the modal and pronoun columns of a text, which is split into tokens once."""
+    rows = df.withColumn("_tokens", tokens(F.coalesce(text, F.lit(""))))
+    rows = rows.withColumn("_marked", F.filter(F.transform("_tokens", F.lower), lambda t: t.isin([*CERTAINTY, *HEDGING, *INGROUP, *OUTGROUP])))
+    return rows.withColumns(_columns(F.col("_tokens"), F.col("_marked"))).drop("_tokens", "_marked")
+
+
+def _columns(every: Column, hits: Column) -> dict[str, Column]:
+    """Ratios without a hit are null, rates without a word 0."""
     n = lambda words: F.size(F.filter(hits, lambda t: t.isin(words))).cast("long")
     unclear = lambda word: F.size(F.filter(every, lambda t, i: (F.lower(t) == word) & _modal_use(every, t, i))).cast("long")
     words = F.size(F.filter(every, lambda t: t.rlike(r"^\p{L}+$"))).cast("long")

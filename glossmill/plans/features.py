@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import model_input, word_count, word_tokens
 from ..operators.lexicon import dehumanisation, outrage
 from ..operators.lexicons import DEHUMANISATION, OUTRAGE, Term
-from ..operators.markers import markers
+from ..operators.markers import with_markers
 from ..operators.sentences import DEMO_VALENCE, rule_scorer, sentiment
 from ..operators.tables import stance_label
 
@@ -29,8 +29,8 @@ def article_features(articles: DataFrame, scorer: Callable[[list[str]], list[flo
     single = sorted({t.term for t in [*dehum, *outraged] if " " not in t.term})
     rows = rows.withColumns({"word_count": word_count(F.col("_lowered")), "_hits": F.filter(word_tokens(F.col("_lowered")), lambda t: t.isin(single))})
     text, hits, words = F.col("_lowered"), F.col("_hits"), F.col("word_count")
-    rows = rows.withColumns({**dehumanisation(text, hits, words, dehum), **outrage(text, hits, words, outraged), **markers(F.col("body"))})
-    return rows.drop("_lowered", "_hits", "body")
+    rows = rows.withColumns({**dehumanisation(text, hits, words, dehum), **outrage(text, hits, words, outraged)})
+    return with_markers(rows, F.col("body")).drop("_lowered", "_hits", "body")
 
 
 def _scored(inputs: str, fields: str, model: Callable[[], Callable[[list[str]], list]], batch_size: int):  # noqa: ANN202

@@ -1,6 +1,309 @@
-"""Catalogue of queries over the driver's tables, and the SQL they are held against."""
+"""Catalogue of queries over the driver's tables, and the SQL they are held against.
+
+The tables stand in for articles: ``documents`` for bodies by outlet (``source``), ``orders`` for dated
+features by outlet (``o_orderpriority``), quarterly sums of ``lineitem`` for the outcome series.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .functions.text import contains_any, stars, word_count
+from .operators import align, inference, tables
+from .operators.cleaning import Rule, apply_rules, clean, cleaning_report
+from .operators.lexicon import lexicon_counts, term_totals
+from .operators.lexicons import PROBE
+from .operators.markers import with_markers
+from .operators.sentences import sentences
+from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
+from .sources import web
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("source").alias("outlet"), F.col("text").alias("body"), "lang")
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    return orders.select(F.col("o_orderpriority").alias("outlet"), F.col("o_orderdate").alias("date"), F.col("o_totalprice").alias("price"), (F.col("o_orderkey") % 97).cast("double").alias("rest"), F.when(F.col("o_orderkey") % 5 > 0, F.col("o_totalprice") / 7).alias("sparse"))
+
+
+FEATURES = ["price", "rest", "sparse"]
+
+
+def series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship = F.col("l_shipdate")
+    sums = table(spark, sf_dir, "lineitem").groupBy(F.year(ship).alias("quarter_end_year"), (F.quarter(ship) * 3).alias("quarter_end_month")).agg(F.sum("l_quantity").cast("long").alias("net_migration"))
+    return sums.withColumn("methodology", F.when(F.col("quarter_end_year") >= 1998, "LTIM").otherwise("IPS"))
+
+
+def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.rolling_year(dated(spark, sf_dir), series(spark, sf_dir), FEATURES)
+
+
+def lexicon_density_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexicon_counts(articles(spark, sf_dir), PROBE)
+    hits = F.col("n_function_word") + F.col("n_insult") + F.col("n_phrase")
+    rows = rows.withColumn("density", F.round(F.coalesce(F.try_divide(hits, F.col("n_words") / 1000.0), F.lit(0.0)), 4))
+    return rows.groupBy(F.col("outlet").alias("source")).agg(F.count("*").alias("n_docs"), F.sum(hits).alias("hits"), F.sum("n_words").alias("n_words"), F.round(F.avg("density"), 4).alias("density"))
+
+
+def lexicon_wide_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexicon_counts(articles(spark, sf_dir), PROBE, by="tier").select(F.col("url").alias("doc_id"), "n_words", "n_1", "n_2")
+
+
+def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexicon_counts(articles(spark, sf_dir), [t for t in PROBE if t.category == "phrase"])
+    return rows.groupBy("lang").agg(F.sum("n_phrase").alias("hits"))
+
+
+def term_totals_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    terms = spark.createDataFrame([(t.term, t.tier) for t in PROBE if " " not in t.term], "term string, tier int")
+    return term_totals(articles(spark, sf_dir), terms, by=["lang"]).select("lang", "term", "tier", "hits")
+
+
+def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).select(F.col("url").alias("doc_id"), F.size(sentences(F.col("body"))).cast("long").alias("n_sentences"), word_count(F.col("body")).alias("n_words"))
+
+
+def modal_pronoun_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over texts whose common words are put in the place of markers, so that there is something to count."""
+    text = F.col("body")
+    for word, marker in (("the", "will"), ("of", "we"), ("and", "they"), ("to", "might"), ("in", "may")):
+        text = F.regexp_replace(text, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", marker)
+    rows = with_markers(articles(spark, sf_dir).where("lang = 'en'"), text)
+    return rows.select(F.col("url").alias("doc_id"), "modal_certainty_count", "pron_ingroup_count", "pron_outgroup_count", "modal_hedging_count")
+
+
+def article_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return article_features(usable(articles(spark, sf_dir)), dehum=[t for t in PROBE])
+
+
+def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return articles(spark, sf_dir).where(contains_any(F.col("body"), ["idiot", "licensed", "threat"])).groupBy(F.col("outlet").alias("source")).agg(F.count("*").alias("n"))
+
+
+def keyword_query_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.compare_queries(articles(spark, sf_dir), ["idiot", "licensed"], ["idiot", "licensed", "threat"])
+
+
+#: Rules for the synthetic texts; sources by their first digit stand in for outlets.
+OWN_RULES = [Rule("src1", r"\nlicensed under[^\n]*", "", "i"), Rule("src1", r"[*#$%&]{3}"), Rule("src2", r"!!"), Rule("src2", r"^the ", "", "i")]
+
+
+def clean_rules_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = clean(articles(spark, sf_dir), OWN_RULES)
+    return rows.groupBy(F.col("outlet").alias("source")).agg(F.sum("words_before").alias("words_before"), F.sum("wordcount").alias("words_after"), F.sum(F.length("body")).alias("chars"))
+
+
+def clean_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cleaning_report(clean(articles(spark, sf_dir), OWN_RULES))
+
+
+def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = web.paragraphs(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.length(text).cast("long").alias("chars"), F.md5(text.cast("binary")).alias("digest"))
+
+
+def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return web.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "body", "date")
+
+
+def url_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n"))
+
+
+def dedup_first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.first_rows(table(spark, sf_dir, "documents").select("text", "doc_id", "source"), "text", "doc_id").select("doc_id", "source")
+
+
+def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = table(spark, sf_dir, "documents").select("doc_id", "source")
+    labels = table(spark, sf_dir, "labels")
+    return tables.resume(queue, labels.where("toxic = 1"), labels.where("quality = 0"), key="doc_id")
+
+
+def left_join_match_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.match_rate(tables.attach(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id"), "toxic")
+
+
+def union_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = tables.union_all(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), table(spark, sf_dir, "conversations").select("conv_id", "role", "text"))
+    return both.groupBy("lang", "role").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
+
+
+def outlet_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.element_at(F.array(*map(F.lit, ("The Guardian", " daily mirror ", "EXPRESS", "The Independent"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    return tables.canonical_outlet(table(spark, sf_dir, "orders").select(names.alias("outlet"))).groupBy("outlet").agg(F.count("*").alias("n"))
+
+
+def rolling_12m_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _aligned(spark, sf_dir).select("outlet", "quarter_end_year", "quarter_end_month", "net_migration", "n_articles", *[F.round(f, 5).alias(f) for f in FEATURES])
+
+
+def fiscal_year_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = series(spark, sf_dir).groupBy(F.col("quarter_end_year").alias("fy_start_year")).agg(F.sum("net_migration").alias("race_hate_crimes"))
+    return align.fiscal_year(dated(spark, sf_dir), s, FEATURES).select("outlet", "fy_start_year", "race_hate_crimes", "n_articles", *[F.round(f, 5).alias(f) for f in FEATURES])
+
+
+def describe_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.descriptives(dated(spark, sf_dir), FEATURES)
+
+
+def annual_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.annual_means(dated(spark, sf_dir).withColumn("year", F.year("date")), FEATURES)
+
+
+PARTS = ["l_quantity", "l_discount", "l_tax"]
+
+
+def composition_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.composition(table(spark, sf_dir, "lineitem"), PARTS, "l_returnflag")
+
+
+def largest_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.largest_part(composition_share(spark, sf_dir), "l_returnflag")
+
+
+def pivot_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.pivoted(composition_share(spark, sf_dir), PARTS, "l_returnflag")
+
+
+def stacked_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.stacked(composition_share(spark, sf_dir), PARTS, "l_returnflag").select("l_returnflag", "subcategory", "begins", F.col("label").isNotNull().alias("labelled"))
+
+
+def spearman_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.spearman(_aligned(spark, sf_dir), FEATURES, "net_migration")
+
+
+def top_abs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.top_by_size(spearman_by_group(spark, sf_dir).select("outlet", "feature", "rho"), "rho", 10, "outlet", "feature")
+
+
+def anova_tertiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.anova(_aligned(spark, sf_dir), FEATURES, "net_migration").withColumn("MSE", F.round("MSE", 2))
+
+
+def _with_dummy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flag = inference.methodology_flag(F.col("methodology"), F.col("quarter_end_year"))
+    return _aligned(spark, sf_dir).withColumn("methodology_dummy", flag).withColumn("net_migration", F.col("net_migration") / 100000.0)
+
+
+def ols_covariate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.regression(_with_dummy(spark, sf_dir), FEATURES).select("outlet", "feature", "n", "r_squared", "adj_r_squared", F.round("F", 3).alias("F"), "df_resid", F.round("x1_beta", 4).alias("x1_beta"), "x1_p", "x1_sig", "x1_survives")
+
+
+def ols_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.coefficients(_with_dummy(spark, sf_dir), FEATURES)
+
+
+def detrended_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    order = ["quarter_end_year", "quarter_end_month"]
+    rows = inference.detrended(inference.detrended(_aligned(spark, sf_dir), "price", ["outlet"], order), "net_migration", ["outlet"], order)
+    found = inference.rank_correlation(rows, "price_detrended", "net_migration_detrended", ["outlet"])
+    return found.select("outlet", "n", F.round("rho", 4).alias("rho"), F.round("p", 6).alias("p"))
+
+
+def first_diff_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = inference.differenced(_aligned(spark, sf_dir), ["price", "net_migration"], ["outlet"], ["quarter_end_year", "quarter_end_month"])
+    found = inference.rank_correlation(rows, "price_diff", "net_migration_diff", ["outlet"])
+    return found.select("outlet", "n", F.round("rho", 4).alias("rho"), F.round("p", 6).alias("p"))
+
+
+def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.benjamini_hochberg(spearman_by_group(spark, sf_dir).select("outlet", "feature", "p_value"), "p_value", ["outlet", "feature"])
+
+
+def significance_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = spearman_by_group(spark, sf_dir).select("feature", stars(F.col("p_value")).alias("sig"))
+    return marked.groupBy("feature").agg(F.count("*").alias("n_tests"), F.count_if(F.col("sig") != "").alias("n_significant"))
+
+
+def adf_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.adf(_aligned(spark, sf_dir), "price", "outlet", ["quarter_end_year", "quarter_end_month"])
+
+
+def trend_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.trend_robust(_aligned(spark, sf_dir), "price", "net_migration", "outlet", ["quarter_end_year", "quarter_end_month"])
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.contains(F.lower("text"), F.lit("idiot")).cast("int").alias("rule"))
+    return table(spark, sf_dir, "labels").join(docs, "doc_id")
+
+
+def confusion_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.binary_agreement(_judged(spark, sf_dir), "toxic", "rule")
+
+
+def confusion_multiclass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _judged(spark, sf_dir).select(F.concat("toxic", "quality").alias("human"), F.concat("rule", "quality").alias("machine"))
+    return tables.class_agreement(rows, "human", "machine")
+
+
+def _proxy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("url"), F.col("source").alias("outlet"), F.col("text").alias("body"), ((F.col("doc_id") * 37) % 101 / 100.0).alias("pro_score"), ((F.col("doc_id") * 53) % 89 / 88.0).alias("anti_score"))
+    return rows.withColumn("stance_label", tables.stance_label(F.col("pro_score"), F.col("anti_score")))
+
+
+def stance_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proxy(spark, sf_dir).select(F.col("url").alias("doc_id"), "stance_label")
+
+
+def stratified_sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.quota_sample(_proxy(spark, sf_dir), "stance_label", most=200, floor=10).groupBy().agg(F.count("*").alias("n"))
+
+
+def balanced_sample_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = tables.balanced_sample(_proxy(spark, sf_dir).select("url", "pro_score"), "pro_score", 0.5)
+    return drawn.groupBy((F.col("pro_score") >= 0.5).alias("above")).agg(F.count("*").alias("n"))
+
+
+def score_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.score_counts(_proxy(spark, sf_dir), "pro_score")
+
+
+def sitemap_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).distinct()
+    templates = spark.createDataFrame([("a", "https://a/{year}{month:02d}.xml"), ("b", "https://b/{year}-{month:02d}-{day:02d}.xml")], "outlet string, template string")
+    return web.sitemap_urls(months.crossJoin(F.broadcast(templates))).select("outlet", "url")
+
+
+def topic_and_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With stand-ins for models: shares of keywords."""
+    rows = topic_scores(articles(spark, sf_dir), keyword_model(["the", "idiot"]))
+    stance = stance_scores(articles(spark, sf_dir), lambda: lambda texts: [((t or "").count("the") % 10 / 10, (t or "").count("of") % 10 / 10) for t in texts])
+    return tables.attach(rows.select("url", "immigration_score"), stance)
+
+
+def window_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of ``documents`` by source and their share of the language's."""
+    n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
+    return n.withColumn("share", F.round(F.try_divide("n", F.sum("n").over(Window.partitionBy("lang"))), 6))
+
+
+def boilerplate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published rules over texts with boilerplate put in."""
+    said = F.concat(F.col("body"), F.lit("\nREAD MORE: x\nthe end"))
+    from .operators.cleaning import RULES
+
+    return articles(spark, sf_dir).select(F.col("url").alias("doc_id"), *[F.length(apply_rules(said, [r for r in RULES if r.outlet == o])).cast("long").alias(o) for o in ("express", "mirror", "star")])
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        lexicon_density_by_source, lexicon_wide_features, phrase_hits, term_totals_by_language, sentence_stats, modal_pronoun_markers, article_feature_table,
+        keyword_filter, keyword_query_difference, clean_rules_apply, clean_word_delta, boilerplate_rules, page_paragraphs, page_text_extract, url_host_counts,
+        dedup_first_text, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
+        composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,
+        detrended_spearman, first_diff_spearman, bh_fdr, significance_counts, adf_by_group, trend_robustness, confusion_binary, confusion_multiclass,
+        stance_label, stratified_sample_sizes, balanced_sample_sizes, score_distribution, sitemap_expand, topic_and_stance, window_share,
+    )
+}
