@@ -152,8 +152,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True)
     """
     spark = docs.sparkSession
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")).repartition(partitions(spark), "doc")
-    spans = repeated_spans(rows, window).groupBy("doc", "sig").agg(F.array_sort(F.collect_list(F.struct("begin", "end"))).alias("spans"))
-    joined = rows.withColumn("sig", F.xxhash64("text")).join(spans, ["doc", "sig"], "left").select("doc", "text", "spans")
+    spans = repeated_spans(rows, window).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sig", "begin", "end"))).alias("spans"))
+    joined = rows.join(spans, "doc", "left")  # by doc alone, as rows are dealt already; texts of one doc are told apart below
+    joined = joined.withColumn("sig", F.xxhash64("text")).select("doc", "text", F.expr("filter(spans, s -> s.sig = sig)").alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
