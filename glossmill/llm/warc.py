@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .scratch import partitions
 
 _NO_ID = 2**63 - 1
-#: Keys, those with the least hashes, that the borders of the shards come from.
+#: About how many keys, those with the least hashes, the borders of the shards come from.
 SAMPLE = 20_000
 #: Compressed bytes after which a file is rolled.
 ROLL_BYTES = 32 << 20
@@ -87,8 +87,8 @@ def write_warc(pages: DataFrame, out: str, min_payload: int = 0, roll_bytes: int
     """A WARC record per row of ``pages`` (page_id, url, html) in the new folder ``out``; returns the manifest.
 
     Records are sorted by page_id, then digest of the payload, over ``shards`` ranges (as many
-    as shuffle partitions, unless given) whose borders come from the ``SAMPLE`` keys with the
-    least hashes, so the same rows give the same bytes. Each range is a run of files, rolled
+    as shuffle partitions, unless given) whose borders come from about ``SAMPLE`` keys, those with
+    the least hashes, so the same rows give the same bytes. Each range is a run of files, rolled
     after ``roll_bytes`` compressed bytes, a gzip member for each record. Headers and digests are
     made anew from the payload. Of equal payloads of ``min_payload`` bytes or more, that of the
     smallest page_id is a response and others are revisits of it.
@@ -109,7 +109,8 @@ def write_warc(pages: DataFrame, out: str, min_payload: int = 0, roll_bytes: int
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     slim = rows.select("key", "sha", F.octet_length("payload").alias("size"))
 
-    some = slim.select("key", "sha").orderBy(F.xxhash64("key", "sha"), "key", "sha").limit(SAMPLE).collect()
+    share = min(1.0, SAMPLE / max(1, slim.count()))
+    some = slim.select("key", "sha").where(F.pmod(F.xxhash64("key", "sha"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct().collect()
     some = sorted((r.key, r.sha) for r in some)
     cuts = sorted({some[i * len(some) // n] for i in range(1, n)} if some else set())
     shard = _place(cuts, F.struct("key", "sha")).alias("shard")
