@@ -129,21 +129,33 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
 
     got = [(r.doc_id, r.y, np.frombuffer(r.ids, np.int32), np.frombuffer(r.x, np.float32)) for r in rows.mapInArrow(scaled, "doc_id long, y int, ids binary, x binary").toLocalIterator()]
     names, ys, ids, xs = zip(*sorted(got, key=lambda r: r[0]))
+    del got, seen
     doc = np.repeat(np.arange(len(ys), dtype=np.int32), [len(i) for i in ids])
     x, ids = np.concatenate(xs), np.concatenate(ids)
+    place = np.zeros(size, np.int32)  # of the features that the sample has, so that the fit's arrays are no larger
+    place[ids] = 1
+    used = np.flatnonzero(place)
+    place[used] = np.arange(len(used))
+    ids = place[ids]
     scale = np.float32(np.sqrt(max(1e-12, float(np.bincount(doc, x * x, minlength=len(ys)).mean()))))
     x, y = x / scale, np.array(ys, float)
-    w, b = _descend(x, ids, doc, y, size, strength, steps)
+
+    def spread(w: np.ndarray, b: float) -> Model:
+        weights = np.zeros(size, np.float32)
+        weights[used] = w * ratio[used] / scale
+        return Model(weights, b)
+
+    w, b = _descend(x, ids, doc, y, len(used), strength, steps)
     half, unseen = (W.mix(np.array(names).astype(_U)) & _U(1)).astype(int), np.zeros(len(y))
     if min(np.bincount(half * 2 + y.astype(int), minlength=4)) < 2:
-        return Model((w * ratio / scale).astype(np.float32), b)
+        return spread(w, b)
     for k in (0, 1):
         rows_in, values_in = half == k, half[doc] == k
-        place = np.cumsum(rows_in) - 1
-        part, shift = _descend(x[values_in], ids[values_in], place[doc[values_in]], y[rows_in], size, strength, steps)
+        renumbered = np.cumsum(rows_in) - 1
+        part, shift = _descend(x[values_in], ids[values_in], renumbered[doc[values_in]], y[rows_in], len(used), strength, steps)
         unseen[~rows_in] = (np.bincount(doc, x * part[ids], minlength=len(y)) + shift)[~rows_in]
     slope, intercept = _calibrated(unseen, y)
-    return Model((slope * w * ratio / scale).astype(np.float32), slope * b + intercept)
+    return spread(slope * w, slope * b + intercept)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2), max_train: int = MAX_TRAIN) -> DataFrame:
