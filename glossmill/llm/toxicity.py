@@ -20,6 +20,8 @@ ORDERS, BITS = (5, 6, 7), 20
 LEAST_RATIO, LEAST_DOCS = 1.0, 3
 THRESHOLD = 0.3
 _TASKS = 8  # that count the sample
+_SLICES = 16  # of the features, summed apart
+_BLOCK = 1 << 18  # entries of the sample at a time
 _U = np.uint64
 
 
@@ -41,28 +43,78 @@ def counts(text: str | None, orders: tuple = ORDERS, bits: int = BITS) -> tuple[
 
 @dataclass
 class Model:
-    """Weights by hashed n-gram, intercept, and the score where there is nothing to go by."""
+    """Weights of the hashed n-grams that have one, intercept, and the number of bits of a hash."""
 
+    ids: np.ndarray
     weights: np.ndarray
     intercept: float
+    bits: int = BITS
 
+    def table(self) -> np.ndarray:
+        table = np.zeros(1 << self.bits, np.float32)
+        table[self.ids] = self.weights
+        return table
 
-def _descend(x: np.ndarray, ids: np.ndarray, doc: np.ndarray, y: np.ndarray, size: int, strength: float, steps: int) -> tuple[np.ndarray, float]:
+
+@dataclass
+class Sample:
+    """Nonzero values of the sample in row order: row i has ``x[at[i] : at[i + 1]]``. Sums go over blocks of rows, so that they need little memory beside it."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    at: np.ndarray
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each block: its first and last row, and the row, feature and value of its entries."""
+        lo, n = 0, len(self.at) - 1
+        while lo < n:
+            hi = min(n, max(lo + 1, int(np.searchsorted(self.at, self.at[lo] + _BLOCK, "right")) - 1))
+            part = slice(self.at[lo], self.at[hi])
+            yield lo, hi, np.repeat(np.arange(hi - lo), np.diff(self.at[lo : hi + 1])), self.ids[part], self.x[part]
+            lo = hi
+
+    def rows(self, v: np.ndarray) -> np.ndarray:
+        """The product with a vector of features."""
+        out = np.empty(len(self.at) - 1)
+        for lo, hi, row, ids, x in self.blocks():
+            out[lo:hi] = np.bincount(row, x * v[ids], minlength=hi - lo)
+        return out
+
+    def features(self, g: np.ndarray, size: int) -> np.ndarray:
+        """The product with a vector of rows."""
+        out = np.zeros(size)
+        for lo, hi, row, ids, x in self.blocks():
+            out += np.bincount(ids, x * g[lo:hi][row], minlength=size)
+        return out
+
+    def absolute(self) -> Sample:
+        return Sample(np.abs(self.x), self.ids, self.at)
+
+    def of(self, chosen: np.ndarray) -> Sample:
+        """The chosen rows alone."""
+        lengths = np.diff(self.at)
+        inside = np.repeat(chosen, lengths)
+        return Sample(self.x[inside], self.ids[inside], np.concatenate([[0], np.cumsum(lengths[chosen])]))
+
+
+def _descend(sample: Sample, y: np.ndarray, size: int, strength: float, steps: int) -> tuple[np.ndarray, float]:
     """Logistic regression with an L2 penalty, by accelerated gradient steps over the sample's nonzero values.
 
     Each weight has a step size of its own: the sum over its row of the Hessian's bound.
     """
     n = len(y)
-    reach = np.bincount(doc, np.abs(x), minlength=n) + 1
-    limit = 0.25 * np.bincount(ids, np.abs(x) * reach[doc], minlength=size) / n + 1e-12
+    bound = sample.absolute()
+    reach = bound.rows(np.ones(size)) + 1
+    limit = 0.25 * bound.features(reach, size) / n + 1e-12
+    del bound
     limit_b = 0.25 * float(reach.mean())
     ridge = 1 / (strength * n)
     w, v = np.zeros(size), np.zeros(size)
     b = vb = float(np.log(y.mean() / (1 - y.mean())))
     t = 1.0
     for _ in range(steps):
-        g = 1 / (1 + np.exp(-(np.bincount(doc, x * v[ids], minlength=n) + vb))) - y
-        new = v - (np.bincount(ids, x * g[doc], minlength=size) / n + ridge * v) / (limit + ridge)
+        g = 1 / (1 + np.exp(-(sample.rows(v) + vb))) - y
+        new = v - (sample.features(g, size) / n + ridge * v) / (limit + ridge)
         new_b = vb - float(g.mean()) / limit_b
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         v, vb = new + (t - 1) / u * (new - w), new_b + (t - 1) / u * (new_b - b)
@@ -87,12 +139,12 @@ def _calibrated(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int = MAX_TRAIN, strength: float = 300.0, steps: int = 120) -> Model:
     """Fitted on at most ``max_train`` labelled documents, those with the least hash of their doc_id.
 
-    Presence counts by class are summed by tasks; the driver gets a fixed number of count arrays
-    and the sample's values of features whose ratio says something, bounded by ``max_train``.
+    Presence counts by class are summed for slices of the features by tasks, which pass on the ratios
+    that say something. The driver gets those and the sample's values of such features, bounded by ``max_train``.
     Few steps are enough to rank; two more fits, each on half of the sample, score the other half,
     and the logits are calibrated on those scores. Without rows of both classes every score is the share of class 1.
     """
-    size = 1 << BITS
+    size, width = 1 << BITS, (1 << BITS) // _SLICES
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
@@ -104,58 +156,58 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", max_train: int
             for text, y in zip(batch.column("text").to_pylist(), batch.column("y").to_pylist()):
                 seen[y, counts(text)[0]] += 1
                 n[y] += 1
-        yield pa.RecordBatch.from_pydict({"y": pa.array([0, 1], pa.int32()), "n": pa.array(n, pa.int64()), "seen": pa.array([s.tobytes() for s in seen], pa.binary())})
-
-    seen, n = np.zeros((2, size)), np.zeros(2)
-    for r in rows.mapInArrow(tally, "y int, n long, seen binary").toLocalIterator():
-        seen[r.y] += np.frombuffer(r.seen, np.int32)
-        n[r.y] += r.n
-    if not n.min():
-        share = float(n[1] / n.sum()) if n.sum() else 0.0
-        return Model(np.zeros(size, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
-    ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
-    ratio[(np.abs(ratio) < LEAST_RATIO) | (seen.sum(axis=0) < LEAST_DOCS)] = 0
-    held = docs.sparkSession.sparkContext.broadcast(ratio.astype(np.float32))
+        for k in range(_SLICES):
+            part = [s[k * width : (k + 1) * width].tobytes() for s in seen]
+            yield pa.RecordBatch.from_pydict({"slice": pa.array([k, k], pa.int32()), "y": pa.array([0, 1], pa.int32()), "n": pa.array(n, pa.int64()), "seen": pa.array(part, pa.binary())})
+
+    def ratios(table: pa.Table) -> pa.Table:
+        seen, n = np.zeros((2, width)), np.zeros(2, np.int64)
+        for y, m, s in zip(table["y"].to_pylist(), table["n"].to_pylist(), table["seen"].to_pylist()):
+            seen[y] += np.frombuffer(s, np.int32)
+            n[y] += m
+        ratio = np.log((seen[1] + 1) / (n[1] + 2)) - np.log((seen[0] + 1) / (n[0] + 2))
+        told = np.flatnonzero((np.abs(ratio) >= LEAST_RATIO) & (seen.sum(axis=0) >= LEAST_DOCS)).astype(np.int32)
+        first = table["slice"][0].as_py() * width
+        return pa.table({"n0": pa.array([n[0]], pa.int64()), "n1": pa.array([n[1]], pa.int64()), "ids": pa.array([(told + np.int32(first)).tobytes()], pa.binary()), "ratio": pa.array([ratio[told].astype(np.float32).tobytes()], pa.binary())})
+
+    told = rows.mapInArrow(tally, "slice int, y int, n long, seen binary").groupBy("slice").applyInArrow(ratios, "n0 long, n1 long, ids binary, ratio binary").toArrow().to_pylist()
+    n0, n1 = (told[0]["n0"], told[0]["n1"]) if told else (0, 0)
+    if not min(n0, n1):
+        share = n1 / (n0 + n1) if n0 + n1 else 0.0
+        return Model(np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
+    used, ratio = (np.concatenate([np.frombuffer(t[k], kind) for t in told]) for k, kind in (("ids", np.int32), ("ratio", np.float32)))
+    order = np.argsort(used)
+    used, ratio = used[order], ratio[order]
+    held = docs.sparkSession.sparkContext.broadcast((used, ratio))
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ratio = held.value
+        used, ratio = held.value
+        place = np.full(size, -1, np.int32)
+        place[used] = np.arange(len(used), dtype=np.int32)
         for batch in W.small(batches):
             out = []
             for text in batch.column("text").to_pylist():
                 ids, v = counts(text)
-                x = v * ratio[ids]
-                out.append((ids[x != 0].tobytes(), x[x != 0].tobytes()))
+                at = place[ids]
+                out.append((at[at >= 0].tobytes(), (v[at >= 0] * ratio[at[at >= 0]]).tobytes()))
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "ids": pa.array([o[0] for o in out], pa.binary()), "x": pa.array([o[1] for o in out], pa.binary())})
 
-    got = [(r.doc_id, r.y, np.frombuffer(r.ids, np.int32), np.frombuffer(r.x, np.float32)) for r in rows.mapInArrow(scaled, "doc_id long, y int, ids binary, x binary").toLocalIterator()]
-    names, ys, ids, xs = zip(*sorted(got, key=lambda r: r[0]))
-    del got, seen
-    doc = np.repeat(np.arange(len(ys), dtype=np.int32), [len(i) for i in ids])
-    x, ids = np.concatenate(xs), np.concatenate(ids)
-    place = np.zeros(size, np.int32)  # of the features that the sample has, so that the fit's arrays are no larger
-    place[ids] = 1
-    used = np.flatnonzero(place)
-    place[used] = np.arange(len(used))
-    ids = place[ids]
-    scale = np.float32(np.sqrt(max(1e-12, float(np.bincount(doc, x * x, minlength=len(ys)).mean()))))
-    x, y = x / scale, np.array(ys, float)
-
-    def spread(w: np.ndarray, b: float) -> Model:
-        weights = np.zeros(size, np.float32)
-        weights[used] = w * ratio[used] / scale
-        return Model(weights, b)
-
-    w, b = _descend(x, ids, doc, y, len(used), strength, steps)
-    half, unseen = (W.mix(np.array(names).astype(_U)) & _U(1)).astype(int), np.zeros(len(y))
-    if min(np.bincount(half * 2 + y.astype(int), minlength=4)) < 2:
-        return spread(w, b)
-    for k in (0, 1):
-        rows_in, values_in = half == k, half[doc] == k
-        renumbered = np.cumsum(rows_in) - 1
-        part, shift = _descend(x[values_in], ids[values_in], renumbered[doc[values_in]], y[rows_in], len(used), strength, steps)
-        unseen[~rows_in] = (np.bincount(doc, x * part[ids], minlength=len(y)) + shift)[~rows_in]
-    slope, intercept = _calibrated(unseen, y)
-    return spread(slope * w, slope * b + intercept)
+    got = sorted((r.doc_id, r.y, r.ids, r.x) for r in rows.mapInArrow(scaled, "doc_id long, y int, ids binary, x binary").toLocalIterator())
+    held.destroy()
+    names, y = np.array([r[0] for r in got], np.int64), np.array([r[1] for r in got], float)
+    sample = Sample(np.frombuffer(b"".join(r[3] for r in got), np.float32), np.frombuffer(b"".join(r[2] for r in got), np.int32), np.cumsum([0, *(len(r[2]) // 4 for r in got)]))
+    del got
+    scale = np.float32(np.sqrt(max(1e-12, float(np.square(sample.x, dtype=np.float64).sum() / len(y)))))
+    sample.x = sample.x / scale
+    w, b = _descend(sample, y, len(used), strength, steps)
+    half, unseen = (W.mix(names.astype(_U)) & _U(1)).astype(int), np.zeros(len(y))
+    slope, intercept = 1.0, 0.0
+    if min(np.bincount(half * 2 + y.astype(int), minlength=4)) >= 2:
+        for k in (0, 1):
+            part, shift = _descend(sample.of(half == k), y[half == k], len(used), strength, steps)
+            unseen[half != k] = (sample.rows(part) + shift)[half != k]
+        slope, intercept = _calibrated(unseen, y)
+    return Model(used, (slope * w * ratio / scale).astype(np.float32), slope * b + intercept)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold: tuple[int, int] = (4, 2), max_train: int = MAX_TRAIN) -> DataFrame:
@@ -172,7 +224,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", fol
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, b = held.value.weights, held.value.intercept
+        w, b = held.value.table(), held.value.intercept
         for batch in W.small(batches):
             z = np.array([float(v @ w[ids]) for ids, v in map(counts, batch.column("text").to_pylist())]) + b
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "score": pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())})
