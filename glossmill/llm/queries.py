@@ -59,7 +59,7 @@ def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substring import dedup_substrings
 
-    return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False)
+    return dedup_substrings(table(spark, sf_dir, "documents"), with_text=False).drop("sig")
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

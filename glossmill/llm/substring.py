@@ -1,4 +1,4 @@
-"""Substring dedup with an FM-index per shard."""
+"""Substring dedup: documents streamed against an FM-index per shard."""
 
 from __future__ import annotations
 
@@ -11,167 +11,314 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .fmindex import FMIndex
+from .cells import cell_counts
+from .fmindex import FMIndex, coded
 from .scratch import partitions
 
 #: Words of the anchor that sends a window to its shard.
 ANCHOR = 6
-#: Words indexed at once; a shard is worked off in pieces of whole anchors.
+#: Cells that anchors are counted in, 2**20; more of them keep more windows together on very large inputs.
+CELL_BITS = 20
+#: A cell is crowded beyond twice the mean by this share of all anchors, or this many.
+CROWDED_SHARE, CROWDED = 1 / 2048, 100_000
+#: Words indexed at once; a shard is worked off in pieces of whole keys.
 WORDS_AT_ONCE = 1_500_000
+#: Windows of one passage; longer runs are cut.
+WINDOWS_AT_ONCE = 64
 _NO_ID = 2**63 - 1
 
 
-def _runs(texts: pa.Array, window: int, anchor: int) -> tuple[np.ndarray, W.Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, words, and for each run of windows with one anchor: first window, windows, anchor hash."""
-    words = W.split(texts)
-    h = W.hashes(words)
-    starts, where, best = W.least(h, words.offsets, window, anchor)
-    fresh = np.ones(len(where), bool)
-    fresh[1:] = where[1:] != where[:-1]
+def _anchors(h: np.ndarray, offsets: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of every window of one document: its start, and the least hash of its ``anchor``-grams."""
+    starts = W.gram_starts(offsets, window)
+    if not len(starts):
+        return starts, np.empty(0, np.uint64)
+    least, span, have = W.grams(h, anchor), window - anchor + 1, 1
+    while have * 2 <= span:
+        least, have = np.minimum(least[:-have], least[have:]), have * 2
+    if have < span:
+        least = np.minimum(least[: have - span], least[span - have :])
+    return starts, least[starts]
+
+
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - CELL_BITS)).astype(np.int64)
+
+
+def _runs(starts: np.ndarray, keys: np.ndarray, of: np.ndarray, longest: int = WINDOWS_AT_ONCE) -> tuple[np.ndarray, np.ndarray]:
+    """First window and number of windows of each run of neighbours in one document with one key, cut after ``longest``."""
+    fresh = np.ones(len(starts), bool)
+    fresh[1:] = (keys[1:] != keys[:-1]) | (starts[1:] != starts[:-1] + 1) | (of[1:] != of[:-1])
     first = np.flatnonzero(fresh)
-    return h, words, starts[first], np.diff(np.append(first, len(starts))), best[first]
+    if len(first):
+        inside = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
+        first = np.flatnonzero(inside % longest == 0)
+    return first, np.diff(np.append(first, len(starts)))
+
+
+def _blank_joined(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all words with one blank after each, and where each word begins in them."""
+    size = words.ends - words.starts + 1
+    to = np.cumsum(size)
+    source = np.concatenate([words.data, np.zeros(1, np.uint8)])
+    out = source[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(words.starts - to + size, size)]
+    out[to - 1] = 32
+    return out, to - size
 
 
-def _spans(flags: np.ndarray, counts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, from, to) in words, for runs of flagged windows of passages laid end to end."""
-    passage = np.repeat(np.arange(len(counts)), counts)
-    at = np.arange(len(flags)) - np.repeat(np.cumsum(counts) - counts, counts)
-    begins, ends = flags.copy(), flags.copy()
-    begins[1:] &= ~flags[:-1] | (at[1:] == 0)
-    ends[:-1] &= ~flags[1:] | (at[1:] == 0)
-    return passage[begins], at[begins], at[ends] + window
+SPAN = "doc long, sig long, begin int, end int"
 
 
-def repeated_spans(docs: DataFrame, window: int = 13, anchor: int = ANCHOR) -> DataFrame:
-    """Spans of words that an earlier document has too: ``doc, sig, begin, end``.
+def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor: int = ANCHOR, crowded_share: float = CROWDED_SHARE) -> DataFrame:
+    """Spans of words that a document of smaller ``doc`` has too: ``doc, sig, begin, end``, maybe overlapping.
 
-    ``docs`` has ``doc`` (long, the order of documents) and ``text``; ``sig`` is xxhash64 of the
-    text, so rows that share a doc stay apart. Windows with equal words share their least
-    6-gram, the anchor. Anchors of two or more documents are found by one shuffle of hashes;
-    runs of windows with such an anchor go, as 4-byte words, to the anchor's shard, so that all
-    occurrences of a window meet in one shard and every other window is known to be unique.
-    Each shard indexes its distinct passages and streams them against the index.
+    ``docs`` has ``doc`` (long), ``sig`` (tells apart rows that share a doc) and ``text``; ``dealt`` are the
+    same rows, dealt out by ``doc`` and ``sig``.
+
+    1. Windows with equal words share their least 6-gram, the anchor, by which they meet. Anchors are counted in
+       a table of fixed size; windows of crowded cells go by the hash of their own words instead, so a
+       common line or a large group of copies is dealt over all shards.
+    2. Keys (of anchors, or of crowded windows) and documents are shuffled as hashes, to leave windows that no other
+       document has. Crowded windows that stand in an earlier document of the same batch are
+       settled there, so a batch sends one row of each.
+    3. Runs of windows with a shared key go to the key's shard with their words. A shard indexes those of
+       its passages that later documents might repeat, each with the least doc that has it, and streams the passages of
+       all but a key's first document against the index. Where the matching statistics reach
+       ``window`` words with a smaller doc, the words are reported.
+
+    Words are compared as bytes; hashes only decide where they meet.
     """
-    n = partitions(docs.sparkSession)
+    spark = docs.sparkSession
+    n = partitions(spark)
+
+    def anchor_cells(texts: pa.Array) -> np.ndarray:
+        words = W.split(texts)
+        starts, best = _anchors(W.hashes(words), words.offsets, window, anchor)
+        first, _ = _runs(starts, best, np.searchsorted(words.offsets, starts, "right"))
+        return _cells(best[first])
+
+    counted = cell_counts(docs, anchor_cells, CELL_BITS, n)
+    bound = 2 * counted.mean() + min(CROWDED, counted.sum() * crowded_share)
+    crowded = spark.sparkContext.broadcast(np.packbits(counted > bound))
 
-    def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keyed(h: np.ndarray, words: W.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each window: start, key, whether it is crowded, and its row."""
+        starts, key = _anchors(h, words.offsets, window, anchor)
+        hot = np.unpackbits(crowded.value)[_cells(key)] > 0
+        if hot.any():
+            key[hot] = W.grams(h, window)[starts[hot]]
+        return starts, key, hot, np.searchsorted(words.offsets, starts, "right") - 1
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
-            _, words, first, _, best = _runs(batch.column("text"), window, anchor)
-            of = np.searchsorted(words.offsets, first, "right") - 1
-            yield pa.RecordBatch.from_pydict({"anchor": pa.array(W.signed(best), pa.int64()), "doc": batch.column("doc").take(pa.array(of))})
+            words = W.split(batch.column("text"))
+            h = W.hashes(words)
+            starts, key, hot, of = keyed(h, words)
+            doc, sig = (batch.column(c).to_numpy() for c in ("doc", "sig"))
+            known = np.zeros(len(starts), bool)
+            at = np.flatnonzero(hot)
+            at = at[np.lexsort((doc[of[at]], key[at]))]
+            if len(at):
+                head = np.ones(len(at), bool)
+                head[1:] = key[at[1:]] != key[at[:-1]]
+                least = at[np.maximum.accumulate(np.where(head, np.arange(len(at)), 0))]
+                same = doc[of[least]] < doc[of[at]]
+                for j in range(window):
+                    same &= h[starts[at] + j] == h[starts[least] + j]
+                known[at[same]] = True
+            told = np.flatnonzero(known)
+            first, count = _runs(starts[told], np.zeros(len(told), np.uint64), of[told], len(told) + 1)
+            first = told[first]
+            row, begin = of[first], starts[first] - words.offsets[of[first]]
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(W.signed(W.mix(doc[row].view(np.uint64) ^ sig[row].view(np.uint64))), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
+                "begin": pa.array(begin, pa.int32()), "end": pa.array(begin + count + window - 1, pa.int32()),
+            })
+            rest = np.flatnonzero(~known)
+            first = rest[_runs(starts[rest], key[rest], of[rest], len(rest) + 1)[0]]
+            row, none = of[first], np.full(len(first), -1, np.int32)
+            yield pa.RecordBatch.from_pydict({"key": pa.array(W.signed(key[first]), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]), "begin": pa.array(none), "end": pa.array(none)})
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.int64), np.empty(0, np.int64)  # the last row, if its anchor may go on
-        told = False
+        """Spans as they are; of the rows of a key, sorted by doc, those of a key that has two docs or more."""
+        last, first_doc, told = None, None, False  # the key that may go on
+        waiting: list[pa.Table] = []  # its rows, as long as all are of its first doc
         for batch in batches:
-            a, d = (np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("anchor", "doc")))
-            other = np.ones(len(a), bool)
-            other[1:] = (a[1:] != a[:-1]) | (d[1:] != d[:-1])
-            told, was = False, told and len(held[0]) > 0
-            a, d = a[other], d[other]
-            same = a[1:] == a[:-1]
-            many = np.zeros(len(a), bool)
-            many[1:] |= same
-            many[:-1] |= same
-            emit = many.copy()
-            if was and len(emit):
-                emit[0] = False
-            if len(a):
-                held, told = (a[-1:], d[-1:]), bool(many[-1]) or was and len(a) == 1
-            yield pa.RecordBatch.from_pydict({"doc": pa.array(d[emit]), "anchor": pa.array(a[emit])})
+            rows = pa.Table.from_batches([batch])
+            is_key = batch.column("begin").to_numpy() < 0
+            yield from rows.filter(pa.array(~is_key)).to_batches()
+            rows = rows.filter(pa.array(is_key))
+            if not rows.num_rows:
+                continue
+            key, doc = rows.column("key").to_numpy(), rows.column("doc").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            ends = np.append(cuts[1:], len(key))
+            many = doc[cuts] != doc[ends - 1]
+            if key[0] == last:
+                many[0] |= told or doc[ends[0] - 1] != first_doc
+                if many[0] and not told:
+                    yield from (b for t in waiting for b in t.to_batches())
+                    waiting = []
+            else:
+                waiting = []
+            if len(cuts) > 1 or key[0] != last:
+                first_doc, told = doc[cuts[-1]], False
+                waiting = [] if len(cuts) > 1 else waiting
+            told, last = told or bool(many[-1]), key[-1]
+            if not told:
+                waiting.append(rows.slice(cuts[-1]))
+            yield from rows.filter(pa.array(np.repeat(many, ends - cuts))).to_batches()
 
     def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
-            h, words, first, count, best = _runs(batch.column("text"), window, anchor)
-            of = np.searchsorted(words.offsets, first, "right") - 1
-            lists = batch.column("anchors")
-            size = lists.value_lengths().to_numpy(zero_copy_only=False)
+            doc, sig = (batch.column(c).to_numpy() for c in ("doc", "sig"))
+            spans = batch.column("spans")
+            row = np.repeat(np.arange(batch.num_rows), spans.value_lengths().to_numpy(zero_copy_only=False))
+            inner = spans.flatten()
+            yield pa.RecordBatch.from_pydict({
+                "key": pa.array(W.signed(W.mix(doc[row].view(np.uint64) ^ sig[row].view(np.uint64))), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
+                "begin": inner.field("begin"), "end": inner.field("end"), "words": pa.nulls(len(row), pa.binary()),
+            })
+            words = W.split(batch.column("text"))
+            starts, key, _, of = keyed(W.hashes(words), words)
+            lists = batch.column("keys")
             salt = W.mix(np.arange(batch.num_rows, dtype=np.uint64))
-            wanted = lists.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, size)
-            keep = np.flatnonzero(np.isin(best ^ salt[of], wanted))
-            first, count, best, of = first[keep], count[keep], best[keep], of[keep]
-            short = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
+            wanted = lists.flatten().to_numpy().view(np.uint64) ^ np.repeat(salt, lists.value_lengths().to_numpy(zero_copy_only=False))
+            keep = np.flatnonzero(np.isin(key ^ salt[of], wanted))
+            starts, key, of = starts[keep], key[keep], of[keep]
+            first, count = _runs(starts, key, of)
+            row, start = of[first], starts[first]
+            data, at = _blank_joined(words)
+            at = np.append(at, len(data))
+            text = data.tobytes()
+            begin = start - words.offsets[row]
             yield pa.RecordBatch.from_pydict({
-                "anchor": pa.array(W.signed(best), pa.int64()), "doc": batch.column("doc").take(pa.array(of)), "sig": batch.column("sig").take(pa.array(of)),
-                "begin": pa.array(first - words.offsets[of], pa.int32()), "n": pa.array(count, pa.int32()),
-                "words": pa.array([short[a : a + c + window - 1].tobytes() for a, c in zip(first.tolist(), count.tolist())], pa.binary()),
+                "key": pa.array(W.signed(key[first]), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
+                "begin": pa.array(begin, pa.int32()), "end": pa.array(begin + count + window - 1, pa.int32()),
+                "words": pa.array([text[a : b - 1] for a, b in zip(at[start].tolist(), at[start + count + window - 1].tolist())], pa.binary()),
             })
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = {}  # passages of the current anchor
-        kept: list[tuple] = []  # rows of the first document that has a passage
-        total, current = 0, None
+        """Rows come sorted by key and doc."""
+        places: dict[bytes, int] = {}  # passages of the current key, as places in ``texts``
+        texts: list[bytes] = []  # distinct passages of the piece, with the first doc of each and the last doc of its key
+        docs_of: list[int] = []
+        until: list[int] = []
+        streamed: list[tuple] = []  # rows of later documents
+        total, current, first_doc, last_doc = 0, None, 0, 0
 
-        def rows(spans: list[np.ndarray]) -> pa.RecordBatch:
-            doc, sig, begin, end = spans
+        def spans(doc, sig, begin, end) -> pa.RecordBatch:  # noqa: ANN001
             return pa.RecordBatch.from_pydict({"doc": pa.array(doc, pa.int64()), "sig": pa.array(sig, pa.int64()), "begin": pa.array(begin, pa.int32()), "end": pa.array(end, pa.int32())})
 
         def judged() -> pa.RecordBatch:
-            doc, sig, begin, count = (np.array([r[i] for r in kept], np.int64) for i in range(4))
-            index = FMIndex([np.frombuffer(r[4], "<u4") for r in kept], doc, window)
-            first = index.windows(np.arange(len(kept)), count)
-            p, a, b = _spans(first < np.repeat(doc, count), count, window)
-            return rows([doc[p], sig[p], begin[p] + a, begin[p] + b])
+            words, at, _ = coded(texts)
+            least, last = np.array(docs_of), np.array(until)
+            size = np.diff(at)
+
+            def of(chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                some = size[chosen]
+                to = np.cumsum(some)
+                return words[np.repeat(at[chosen] - to + some, some) + np.arange(int(to[-1]))], np.concatenate([[0], to])
+
+            indexed = np.flatnonzero(least < last)
+            index = FMIndex(*of(indexed), least[indexed], window)
+            doc, sig, begin, place = (np.array([r[i] for r in streamed], np.int64) for i in range(4))
+            asked, where = np.unique(place, return_inverse=True)
+            some, bounds = of(asked)
+            length, first = index.matching_statistics(some, bounds)
+            first[length < window] = np.iinfo(np.int64).max
+            # from passages back to the rows that have them
+            n = size[place]
+            to = np.cumsum(n)
+            inside = np.arange(int(to[-1])) - np.repeat(to - n, n)
+            hit = first[np.repeat(bounds[:-1][where], n) + inside] < np.repeat(doc, n)
+            row = np.repeat(np.arange(len(n)), n)[hit]
+            start = inside[hit]
+            a, count = _runs(start, np.zeros(len(start), np.uint64), row, len(start) + 1)
+            return spans(doc[row[a]], sig[row[a]], begin[row[a]] + start[a], begin[row[a]] + start[a] + count + window - 1)
+
+        def close() -> None:
+            """Ends a key. One with one passage has no other to be found in; its copies are known already."""
+            nonlocal total
+            if len(places) < 2:
+                del texts[len(until) :], docs_of[len(until) :]
+            else:
+                total += sum(t.count(b" ") + 1 for t in places)
+                until.extend([last_doc] * len(places))
 
         for batch in batches:
             known: list[tuple] = []
-            for a, doc, sig, begin, count, words in zip(*(batch.column(c).to_pylist() for c in ("anchor", "doc", "sig", "begin", "n", "words"))):
-                if a != current:
+            for key, doc, sig, begin, end, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sig", "begin", "end", "words"))):
+                if words is None:
+                    known.append((doc, sig, begin, end))
+                    continue
+                if key != current:
+                    close()
                     if total >= WORDS_AT_ONCE:
                         yield judged()
-                        kept, total = [], 0
-                    seen, current = {}, a
-                if seen.setdefault(words, doc) < doc:  # all of it stands in an earlier document
-                    known.append((doc, sig, begin, begin + count + window - 1))
-                else:
-                    kept.append((doc, sig, begin, count, words))
-                    total += len(words) // 4
+                        texts, docs_of, until, streamed, total = [], [], [], [], 0
+                    places, current, first_doc = {}, key, doc
+                last_doc = doc
+                place = places.get(words)
+                if place is not None and docs_of[place] < doc:  # all of it stands in an earlier document
+                    known.append((doc, sig, begin, end))
+                    continue
+                if place is None:
+                    place = places[words] = len(texts)
+                    texts.append(words)
+                    docs_of.append(doc)
+                if doc > first_doc:
+                    streamed.append((doc, sig, begin, place))
             if known:
-                yield rows([list(x) for x in zip(*known)])
-        if kept:
+                yield spans(*zip(*known))
+        close()
+        if streamed:
             yield judged()
 
-    found = docs.mapInArrow(anchors, "anchor long, doc long").repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(shared, "doc long, anchor long")
-    found = found.groupBy("doc").agg(F.collect_list("anchor").alias("anchors"))
-    rows = docs.join(found, "doc").select("doc", F.xxhash64("text").alias("sig"), "text", "anchors")
-    rows = rows.mapInArrow(passages, "anchor long, doc long, sig long, begin int, n int, words binary")
-    return rows.repartition(n, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(search, "doc long, sig long, begin int, end int")
+    found = docs.mapInArrow(keys, "key long, doc long, sig long, begin int, end int").repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(shared, "key long, doc long, sig long, begin int, end int")
+    is_key = F.col("begin") < 0
+    found = found.groupBy("doc", "sig").agg(F.collect_list(F.when(is_key, F.col("key"))).alias("keys"), F.collect_list(F.when(~is_key, F.struct("begin", "end"))).alias("spans"))
+    rows = dealt.join(found, ["doc", "sig"]).select("doc", "sig", "text", "keys", "spans")
+    rows = rows.mapInArrow(passages, "key long, doc long, sig long, begin int, end int, words binary")
+    return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(search, SPAN)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True, crowded_share: float = CROWDED_SHARE) -> DataFrame:
     """``docs`` without words of any ``window``-word passage that an earlier document has too.
 
     A word goes if a window over it has the words of a window in a document of smaller doc_id;
-    windows are judged on the input. Returns ``doc_id, n_words, n_removed, kept_sha256`` and,
-    if asked, ``kept_text``: the text as it was where nothing goes, else its kept words joined
-    by one space (null stays null).
+    windows are judged on the input. Returns ``doc_id, sig, n_words, n_removed, kept_sha256`` (``sig``:
+    xxhash64 of the text as it came, which with the doc_id names a row up to repeats) and, if asked,
+    ``kept_text``: the text as it was where nothing goes, else its kept words joined by one
+    space (null stays null).
 
     A null or empty text has no words. A null doc_id counts as larger than all others. Rows that
-    repeat a doc_id never remove each other's words, and each gives a row. A text of any length
-    is worked on whole. Further columns are ignored.
+    repeat a doc_id never remove each other's words, and each gives a row; rows with one doc_id and one
+    text are alike and meet in one task, a batch at a time. A text of any length is worked on whole. Further
+    columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")).repartition(partitions(spark), "doc")
-    spans = repeated_spans(rows, window).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("sig", "begin", "end"))).alias("spans"))
-    joined = rows.join(spans, "doc", "left")  # by doc alone, as rows are dealt already; texts of one doc are told apart below
-    joined = joined.withColumn("sig", F.xxhash64("text")).select("doc", "text", F.expr("filter(spans, s -> s.sig = sig)").alias("spans"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    n = partitions(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")).withColumn("sig", F.xxhash64("text"))
+    dealt = rows.repartition(n, "doc", "sig")
+    spans = repeated_spans(rows, dealt, window, crowded_share=crowded_share).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc", "sig", "text", "spans")
+    schema = "doc_id long, sig long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in W.small(batches):
             out: list[tuple] = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
+            for doc, sig, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "text", "spans"))):
                 words = (text or "").encode().split()  # bytes are split at exactly ASCII white space
                 kept, at = [], 0
-                for s in spans or ():
-                    if s["end"] > at:
-                        kept += words[at : max(at, s["begin"])]
-                        at = s["end"]
+                for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
+                    if end > at:
+                        kept += words[at : max(at, begin)]
+                        at = end
                 kept += words[at:]
                 joined = b" ".join(kept)
-                out.append((None if doc == _NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
-            names = ("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text")[: 4 + with_text]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                out.append((None if doc == _NO_ID else doc, sig, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
+            names = ("doc_id", "sig", "n_words", "n_removed", "kept_sha256", "kept_text")[: 5 + with_text]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(names, kinds))})
 
     return joined.mapInArrow(cut, schema)

@@ -146,14 +146,61 @@ def test_substring(spark, sf, docs, edge, empty):
     assert dedup_substrings(empty).count() == 0
 
 
-def test_substring_of_few_words(spark):
-    """A small vocabulary, so that windows overlap, repeat within documents and share anchors."""
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_substring_of_few_words(spark, share):
+    """A small vocabulary, so that windows overlap, repeat within documents and share anchors; all cells crowded, or none."""
     from glossmill.llm.substring import dedup_substrings
 
     rng = random.Random(5)
     seeds = [[rng.choice("abc") for _ in range(40)] for _ in range(6)]
-    rows = [(i, " ".join(w for _ in range(rng.randint(0, 4)) for w in rng.choice(seeds)[rng.randint(0, 20) :])) for i in range(60)]
-    assert rows_of(dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
+    rows = [(i // 2 * 2 if i < 20 else i if i < 57 else None, " ".join(w for _ in range(rng.randint(0, 4)) for w in rng.choice(seeds)[rng.randint(0, 20) :])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert rows_of(dedup_substrings(frame, crowded_share=share), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
+
+
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_substring_tells_words_with_equal_half_hashes_apart(spark, share):
+    """Words whose 64-bit hashes agree in their lower or upper 32 bits, in documents equal but for them."""
+    import numpy as np
+    import pyarrow as pa
+
+    from glossmill.llm import words as W
+    from glossmill.llm.substring import dedup_substrings
+
+    made = [f"q{i}" for i in range(400_000)]
+    h = W.hashes(W.split(pa.array(made)))
+    rows = []
+    for part in (h & np.uint64(0xFFFFFFFF), h >> np.uint64(32)):
+        order = np.argsort(part)
+        for i in np.flatnonzero(part[order][1:] == part[order][:-1])[:6]:
+            for word in (made[order[i]], made[order[i + 1]]):
+                rows.append((len(rows), " ".join([*(f"c{len(rows) // 2}x{j}" for j in range(12)), word])))
+    assert len(rows) >= 12
+    for r in dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string"), crowded_share=share).collect():
+        assert (r.n_words, r.n_removed) == (13, 0)
+
+
+def test_matching_statistics():
+    """Lengths and least values against a plain search, with words that the index lacks."""
+    import numpy as np
+
+    from glossmill.llm.fmindex import FMIndex, coded
+
+    rng = random.Random(1)
+    for depth in (3, 5, 13):
+        for names in (2, 3, 40):
+            word = lambda extra: rng.choice([f"w{i}" for i in range(names + extra)])
+            indexed, asked = ([[word(x) for _ in range(rng.randint(1, 40))] for _ in range(9)] for x in (0, 1))
+            asked += indexed[:2]
+            values = np.array([rng.randint(0, 99) for _ in indexed])
+            words, at, _ = coded([" ".join(p).encode() for p in indexed + asked])
+            k = len(indexed)
+            index = FMIndex(words[: at[k]], at[: k + 1], values, depth)
+            got = zip(*(x.tolist() for x in index.matching_statistics(words[at[k] :], at[k:] - at[k])))
+            for s in asked:
+                for i in range(len(s)):
+                    agree = [(next((m for m in range(depth) if s[i + m : i + m + 1] != p[j + m : j + m + 1] or i + m >= len(s)), depth), v) for p, v in zip(indexed, values.tolist()) for j in range(len(p))]
+                    assert next(got) == (max(m for m, _ in agree), min((v for m, v in agree if m == depth), default=2**63 - 1))
 
 
 def test_decontam(spark, sf, docs, edge, empty):
