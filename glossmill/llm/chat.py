@@ -36,6 +36,24 @@ def _plain(text: str) -> str:
     return re.sub(_UNESCAPE, r"\1\2\3", text)
 
 
+def packed(examples: Iterator[tuple], chars: int = CHARS_AT_ONCE) -> Iterator[pd.DataFrame]:
+    """Frames of examples, each handed on as soon as its texts have ``chars`` characters."""
+    rows, size = [], 0
+
+    def frame() -> pd.DataFrame:
+        made = pd.DataFrame(rows, columns=["conv_id", "example_no", "n_turns", "text", "loss_start", "loss_end", "is_last"])
+        return made.astype({"conv_id": "Int64"})
+
+    for row in examples:
+        rows.append(row)
+        size += len(row[3])
+        if size >= chars:
+            yield frame()
+            rows, size = [], 0
+    if rows:
+        yield frame()
+
+
 def expand_turns(conversations: DataFrame, trainable: str = "assistant") -> DataFrame:
     """One example for every turn of the ``trainable`` role, with all turns before it as context.
 
@@ -47,7 +65,7 @@ def expand_turns(conversations: DataFrame, trainable: str = "assistant") -> Data
     Turns go by ``turn`` (null first), then role and text, so ties and repeated rows have a
     fixed order and all stay. A null role or text is empty; rows with a null conv_id form one
     conversation; further columns are ignored. Rows are sorted in each partition and streamed:
-    a task holds one growing prefix, never the rows or examples of a conversation. The
+    a task holds one growing prefix and hands on examples whenever they have ``CHARS_AT_ONCE`` characters. The
     examples' total size grows with the square of a conversation's length, as the method asks.
     """
     role, text = F.coalesce(F.col("role"), F.lit("")), F.coalesce(F.col("text"), F.lit(""))
@@ -55,45 +73,34 @@ def expand_turns(conversations: DataFrame, trainable: str = "assistant") -> Data
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), text.alias("text"), head.alias("head"), body.alias("body"))
     rows = rows.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "head", "body")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out, size = [], 0
-        conv, prefix, turns, number, held = None, "", 0, 0, None
-
-        def ready(rows: list) -> pd.DataFrame:
-            frame = pd.DataFrame(rows, columns=["conv_id", "example_no", "n_turns", "text", "loss_start", "loss_end", "is_last"])
-            return frame.astype({"conv_id": "Int64"})
+    def examples(frames: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        conv, prefix, turns, number, held = None, "", 0, 0, None  # held: the latest reply's example
 
-        def last() -> tuple:
+        def ended() -> Iterator[tuple]:
             if held is not None and held[2] == turns:
-                return (*held[:-1], True)
-            return (conv, number, turns, prefix, len(prefix), len(prefix), True)
+                yield (*held[:-1], True)
+            elif turns:
+                if held is not None:
+                    yield held
+                yield (conv, number, turns, prefix, len(prefix), len(prefix), True)
 
         for frame in frames:
             ids = [None if pd.isna(x) else int(x) for x in frame["conv_id"]]
             for key, role, head, body in zip(ids, frame["role"], frame["head"], frame["body"]):
-                if turns and key != conv:
-                    if held is not None and held[2] != turns:
-                        out.append(held)
-                    out.append(last())
-                    prefix, turns, number, held = "", 0, 0, None
-                conv = key
+                if key != conv:
+                    yield from ended()
+                    conv, prefix, turns, number, held = key, "", 0, 0, None
                 start = len(prefix) + len(head)
                 prefix, turns = f"{prefix}{head}{body}{END}", turns + 1
                 if role == trainable:
                     if held is not None:
-                        out.append(held)
-                        size += len(held[3])
+                        yield held
                     held = (conv, number, turns, prefix, start, start + len(body), False)
                     number += 1
-                if size > CHARS_AT_ONCE:
-                    yield ready(out)
-                    out, size = [], 0
-        if turns:
-            if held is not None and held[2] != turns:
-                out.append(held)
-            out.append(last())
-        if out:
-            yield ready(out)
+        yield from ended()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        return packed(examples(frames))
 
     return rows.mapInPandas(run, EXAMPLE)
 
