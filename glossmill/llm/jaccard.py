@@ -6,20 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bitfilter
 from . import words as W
+from .cells import cell_counts
 from .components import components
 from .scratch import partitions, written
 
 #: Cells that the documents of shingles are counted in, 2**21; any number gives the same links.
-CELL_BITS, CHUNK_BITS = 21, 15
-#: Pairs that a task remembers to have handed on, before it starts afresh.
-REMEMBERED = 1_000_000
-#: Rounds in which sets try their best partner only, before all that is left is compared.
-STAR_ROUNDS = 3
+CELL_BITS = 21
+#: Members of a block of an index list.
+BLOCK = 256
+#: Jaccard distance of a link, and what rounding may add to sums of distances.
+FAR, ROUNDING = 0.2, 1e-9
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -60,67 +62,13 @@ def _cell(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
 
-def _cell_counts(docs: DataFrame, size: int, n: int) -> np.ndarray:
-    """How many documents have shingles of each cell: tasks count, chunks of the counts are summed; the result is 8 MB at any size."""
+def _profiles(docs: DataFrame, size: int) -> DataFrame:
+    """``doc_id, sig, n, hi, lo, prefix`` of each row: its set's size, a 128-bit hash of the set, and the fifth of it that index lists hold.
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(1 << CELL_BITS, np.int64)
-        for batch in W.small(batches):
-            sets = shingle_sets(batch.column("text"), size)
-            cells += np.bincount(_cell(np.concatenate(sets)), minlength=len(cells))
-        chunks = np.minimum(cells, 65_535).astype(np.uint16).reshape(-1, 1 << CHUNK_BITS)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(range(len(chunks)), pa.int32()), "counts": pa.array([c.tobytes() for c in chunks], pa.binary())})
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for chunk, counts in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist()):
-                sums.setdefault(chunk, np.zeros(1 << CHUNK_BITS, np.uint32))
-                sums[chunk] += np.frombuffer(counts, np.uint16)
-        yield pa.RecordBatch.from_pydict({"chunk": pa.array(list(sums), pa.int32()), "counts": pa.array([c.tobytes() for c in sums.values()], pa.binary())})
-
-    schema = "chunk int, counts binary"
-    summed = docs.select("text").mapInArrow(tally, schema).repartition(n, "chunk").mapInArrow(add, schema)
-    out = np.zeros((1 << CELL_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint32)
-    for r in summed.toLocalIterator():
-        out[r.chunk] = np.frombuffer(r.counts, np.uint32)
-    return out.ravel()
-
-
-def _possible(x: str, y: str) -> Column:
-    """Whether sets can be similar enough that share their first common shingle at these places of the order."""
-    n = lambda s: F.col(f"{s}.n")
-    rest = F.least(n(x) - F.col(f"{x}.pos"), n(y) - F.col(f"{y}.pos"))
-    return (5 * F.least(n(x), n(y)) >= 4 * F.greatest(n(x), n(y))) & (9 * rest >= 4 * (n(x) + n(y)))
-
-
-def similar_components(docs: DataFrame, size: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, set_id, component_id``: documents connected by Jaccard >= 0.8 links.
-
-    Words are lower-cased (A-Z) runs without ASCII white space; a document's set are its distinct
-    ``size``-word shingles, or its whole word sequence if it is shorter. Documents with
-    100 * |intersection| >= 80 * |union| are linked; ``component_id`` is the smallest doc_id
-    reachable. Every link counts, none is cut off.
-
-    - Equal sets are one set, named by its smallest doc_id (``set_id``).
-    - Index lists are built for the first fifth of each set in one order, common shingles last
-      (by a table of counts of fixed size over all documents).
-      Within a list, places in the order and set sizes bound the similarity, so whole runs of
-      a list are skipped by position.
-    - A set first tries the member of its lists that stands earliest in the order, the one with
-      the least of its own before what they share. If they are similar, its answers are taken
-      from that set: it joins its component, and only pairs that lead to other components
-      are ever looked at again. What is left after these rounds is compared in full.
-
-    Compared texts are read once through a fixed-size filter of the candidates' ids; candidates
-    are checked on whole sets. A null or empty text has an empty set, linked with nothing, as is a
-    row with null doc_id (its component_id is null). Rows that share a doc_id count as one
-    document with several sets. Further columns are ignored.
+    The order of shingles has common ones last, by a table of counts of fixed size over all documents.
     """
-    spark, n = docs.sparkSession, partitions(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    held = spark.sparkContext.broadcast(_cell_counts(docs, size, n))
+    counted = cell_counts(docs, lambda texts: _cell(np.concatenate([np.empty(0, np.uint64), *shingle_sets(texts, size)])), CELL_BITS, partitions(docs.sparkSession))
+    held = docs.sparkSession.sparkContext.broadcast(counted)
 
     def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = held.value
@@ -133,121 +81,227 @@ def similar_components(docs: DataFrame, size: int = 5) -> DataFrame:
                 m = W.mix(s)
                 hi.append(int(m.sum().view(np.int64)) if len(s) else 0)
                 lo.append(int(W.mix(m + np.uint64(1)).sum().view(np.int64)) if len(s) else 0)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int32()), "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "sig": batch.column("sig"), "n": pa.array([len(s) for s in sets], pa.int32()),
+                "hi": pa.array(hi, pa.int64()), "lo": pa.array(lo, pa.int64()), "prefix": pa.array(prefix, pa.list_(pa.int64())),
+            })
 
-    profiles = written(docs.mapInArrow(profile, "doc_id long, n int, hi long, lo long, prefix array<long>"))
-    linkable = profiles.where("n > 0 and doc_id is not null")
-    classes = written(linkable.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("set_id")))
-    first = linkable.join(classes, ["hi", "lo", "n"]).where("doc_id = set_id")
-    lists = first.select("set_id", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "set_id", "n", "pos")
-    lists = written(lists.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_met, "token long, set_id long, n int, pos int"))
+    return written(docs.mapInArrow(profile, "doc_id long, sig long, n int, hi long, lo long, prefix array<long>"))
 
-    ids = bitfilter.build(lists.select("set_id").distinct(), F.xxhash64("set_id"))
-    chosen = spark.sparkContext.broadcast(ids)
 
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(bitfilter.passes(chosen.value, batch.column("h").to_numpy().view(np.uint64)))).drop_columns(["h"])
+def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``pairs`` (a, b, and more) of sets with ``far``, their Jaccard distance, and ``linked``, told from whole sets in integers.
 
-    texts = docs.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id")).mapInArrow(candidates, "doc_id long, text string")
-    texts = written(texts.join(lists.select(F.col("set_id").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct())
+    Pairs are dealt out one by one, so a set with many partners has its pairs in many tasks.
+    """
+    more = [(k, t) for k, t in pairs.dtypes if k not in ("a", "b")]
+    extra = [k for k, _ in more]
+    a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b", *extra).repartition(partitions(pairs.sparkSession), "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(W.small(batches, "text_a"), "text_b"):
-            good = []
+            far, linked = [], []
             for x, y in zip(shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size)):
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(same > 0 and 100 * same >= 80 * (len(x) + len(y) - same))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
-    def links(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("doc_id").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long")
-
-    # rows that share a doc_id tie their sets together
-    of_doc = linkable.join(classes, ["hi", "lo", "n"]).select("doc_id", "set_id").distinct()
-    ties = of_doc.groupBy("doc_id").agg(F.min("set_id").alias("a"), F.collect_set("set_id").alias("s")).where(F.size("s") > 1).select("a", F.explode("s").alias("b")).where("a <> b")
-    found = written(ties)
-    comps = components(found)
-    tested = None
-
-    def labelled() -> DataFrame:
-        # lists that touch one component only are done
-        rows = lists.join(comps.withColumnRenamed("node", "set_id"), "set_id", "left").withColumn("comp", F.coalesce("comp", "set_id"))
-        some = Window.partitionBy("token")
-        return rows.withColumn("least", F.min("comp").over(some)).withColumn("most", F.max("comp").over(some)).where("least < most").drop("least", "most")
-
-    def untested(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        return pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti")
-
-    def best_partners() -> DataFrame:
-        some = Window.partitionBy("token")
-        rows = labelled().withColumn("x", F.struct("pos", "n", "set_id", "comp"))
-        rows = rows.withColumn("p", F.min("x").over(some)).withColumn("p", F.when(F.col("p.comp") != F.col("comp"), F.col("p")).otherwise(F.min(F.when(F.col("comp") != F.col("p.comp"), F.col("x"))).over(some)))
-        rows = rows.where(_possible("x", "p"))
-        return rows.groupBy("set_id").agg(F.min(F.struct("p.pos", "p.set_id")).alias("p")).select(F.col("set_id").alias("a"), F.col("p.set_id").alias("b"))
-
-    def all_pairs() -> DataFrame:
-        return labelled().repartition(n, "token").sortWithinPartitions("token", "n", "set_id").select("token", "set_id", "n", "pos", "comp").mapInArrow(_cross, "a long, b long")
-
-    for step in [best_partners] * STAR_ROUNDS + [all_pairs]:
-        pairs = written(untested(step()))
-        if pairs.isEmpty():
-            if step is best_partners:
-                continue
-            break
-        found = written(found.union(links(pairs)))
-        tested = pairs if tested is None else tested.union(pairs)
-        comps = written(components(found))
-
-    of_set = comps.select(F.col("node").alias("set_id"), "comp")
-    named = classes.join(of_set, "set_id", "left").select("hi", "lo", "n", "set_id", F.coalesce("comp", "set_id").alias("component_id"))
-    rows = profiles.select("doc_id", "n", "hi", "lo").withColumn("known", F.expr("n > 0 and doc_id is not null")).join(named.withColumn("known", F.lit(True)), ["hi", "lo", "n", "known"], "left")
-    return rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("set_id", "doc_id").alias("set_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
+                whole = len(x) + len(y) - same
+                far.append(1 - same / max(1, whole))
+                linked.append(same > 0 and 100 * same >= 80 * whole)
+            kept = [batch.column(c) for c in ("a", "b", *extra)]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", *extra, "far", "linked"])
 
+    kinds = ", ".join(f"{k} {t}" for k, t in more)
+    return written(rows.mapInArrow(check, f"a long, b long, {kinds + ', ' if kinds else ''}far double, linked boolean"))
+
+
+def _possible(x: str, y: str) -> Column:
+    """Whether sets ``x`` and ``y`` can be linked that share a token at their places of the order."""
+    n = lambda s: F.col(f"{s}.n")
+    rest = F.least(n(x) - F.col(f"{x}.pos"), n(y) - F.col(f"{y}.pos"))
+    return (5 * F.least(n(x), n(y)) >= 4 * F.greatest(n(x), n(y))) & (9 * rest >= 4 * (n(x) + n(y)))
 
-def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list, by size, that lead to another component and can be similar.
 
-    Members of the list's largest component are not taken as left sides, so what is already one
-    component is skipped as a whole; sizes and places then bound a slice of the list. Pairs that
-    the task has just handed on are not handed on again.
+def _followers(lists: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``sid, root, near``: sets linked with a root of smaller sid, directly or over others, and a bound of the distance.
+
+    A set tries the one that most often is the least sid of a list that both are in.
+    """
+    least = lists.groupBy("token").agg(F.min(F.struct("sid", "n", "pos")).alias("p"))
+    met = lists.join(least, "token").withColumn("x", F.struct("sid", "n", "pos")).where("p.sid < sid").where(_possible("x", "p"))
+    chosen = met.groupBy("sid", F.col("p.sid").alias("p")).count().groupBy("sid").agg(F.max(F.struct("count", (-F.col("p")).alias("minus"))).alias("m"))
+    pairs = chosen.select(F.col("sid").alias("a"), (-F.col("m.minus")).alias("b"))
+    now = written(_overlaps(written(pairs), texts, size).where("linked").select(F.col("a").alias("sid"), F.col("b").alias("root"), F.col("far").alias("near")))
+    while True:  # each round halves the way to the root
+        up = now.select(F.col("sid").alias("root"), F.col("root").alias("next"), F.col("near").alias("on"))
+        if now.join(up, "root", "left_semi").isEmpty():
+            return now
+        now = written(now.join(up, "root", "left").select("sid", F.coalesce("next", "root").alias("root"), (F.col("near") + F.coalesce("on", F.lit(0.0))).alias("near")))
+
+
+_MEMBER = ("root", "least_n", "most_n", "rest", "near")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Index lists of roots as blocks: ``token, block`` and arrays of at most ``BLOCK`` members.
+
+    Rows are dealt by ranges of (token, size, place), so that a long list lies over many tasks, in that order.
     """
+    rows = rows.select("token", *_MEMBER).repartitionByRange(partitions(rows.sparkSession), "token", "least_n", "rest").sortWithinPartitions("token", "least_n", "rest")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            token = batch.column("token").to_numpy()
+            fresh = np.ones(len(token), bool)
+            fresh[1:] = token[1:] != token[:-1]
+            first = np.flatnonzero(fresh)
+            inside = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
+            cuts = np.flatnonzero(inside % BLOCK == 0)
+            offsets = pa.array(np.append(cuts, len(token)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in _MEMBER]
+            yield pa.RecordBatch.from_arrays([pa.array(token[cuts]), pa.array(number + np.arange(len(cuts))), *lists], names=["token", "block", *_MEMBER])
+            number += len(cuts)
+
+    kinds = dict(rows.dtypes)
+    return written(rows.mapInArrow(run, "token long, block long, " + ", ".join(f"{c} array<{kinds[c]}>" for c in _MEMBER)))
+
+
+def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of roots of two blocks of a list (or of one) whose members can be linked, as sizes and places allow."""
+
+    def members(batch: pa.RecordBatch, side: str) -> Iterator[list[np.ndarray]]:
+        lists = [batch.column(f"{c}_{side}") for c in _MEMBER]
+        for i in range(batch.num_rows):
+            yield [x[i].values.to_numpy(zero_copy_only=False) for x in lists]
 
-    told: set[int] = set()
-
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        if len(told) > REMEMBERED:
-            told.clear()
-        ids, n, pos, comp = (rows.column(c).to_numpy() for c in ("set_id", "n", "pos", "comp"))
-        names, counts = np.unique(comp, return_counts=True)
-        if len(names) < 2:
-            return
-        main = names[counts.argmax()]
-        for i in np.flatnonzero(comp != main):
-            lo, hi = np.searchsorted(n, -(-4 * int(n[i]) // 5)), np.searchsorted(n, 5 * int(n[i]) // 4, "right")
-            rest = np.minimum(n[i] - pos[i], n[lo:hi] - pos[lo:hi])
-            ok = (comp[lo:hi] != comp[i]) & (9 * rest >= 4 * (n[i] + n[lo:hi])) & ((comp[lo:hi] == main) | (ids[lo:hi] > ids[i]))
-            if ok.any():
-                other = ids[lo:hi][ok]
-                keys = W.mix(W.mix(np.minimum(other, ids[i]).astype(np.uint64)) + np.maximum(other, ids[i]).astype(np.uint64)).tolist()
-                new = np.array([k not in told for k in keys])
-                told.update(keys)
-                if new.any():
-                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(int(new.sum()), ids[i]), pa.int64()), "b": pa.array(other[new], pa.int64())})
-
-    held: list[pa.Table] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        token = table.column("token").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and held[0].column("token")[0].as_py() != token[a]:
-                yield from pairs(pa.concat_tables(held))
-                held = []
-            held.append(table.slice(a, b - a))
-    if held:
-        yield from pairs(pa.concat_tables(held))
+        out: list[list[np.ndarray]] = []
+        same = (batch.column("block_a").to_numpy() == batch.column("block_b").to_numpy()).tolist()
+        for one, x, y in zip(same, members(batch, "a"), members(batch, "b")):
+            a, b = np.meshgrid(np.arange(len(x[0])), np.arange(len(y[0])), indexing="ij")
+            rest = np.minimum(x[3][:, None], y[3][None, :])
+            ok = (5 * x[2][:, None] >= 4 * y[1][None, :]) & (5 * y[2][None, :] >= 4 * x[1][:, None])
+            ok &= 9 * rest >= 4 * (x[1][:, None] + y[1][None, :])
+            ok &= x[0][:, None] != y[0][None, :]
+            if one:
+                ok &= a < b
+            i, j = a[ok], b[ok]
+            if len(i):
+                turned = x[0][i] > y[0][j]
+                pick = lambda k: (np.where(turned, y[k][j], x[k][i]), np.where(turned, x[k][i], y[k][j]))
+                out.append([*pick(0), *pick(4)])
+        if out:
+            a, b, near_a, near_b = (np.concatenate([o[k] for o in out]) for k in range(4))
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "near_a": pa.array(near_a), "near_b": pa.array(near_b)})
+
+
+def _root_pairs(lists: DataFrame, of_root: DataFrame) -> DataFrame:
+    """``a, b, near_a, near_b``: roots with members that can be linked, and how far the farthest of those are from them.
+
+    In a list, the members of one root are one entry. A block's bounds of sizes and places tell
+    which other blocks of its list need to be looked at; the others are skipped whole.
+    """
+    rows = lists.join(of_root, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("near", F.coalesce("near", F.lit(0.0)))
+    rows = rows.groupBy("token", "root").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("near").alias("near"))
+    blocks = _blocks(rows)
+    bounds = blocks.select("token", "block", F.array_min("least_n").alias("least_n"), F.array_max("most_n").alias("most_n"), F.array_max("rest").alias("rest"))
+    x, y = (bounds.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "least_n", "most_n", "rest"))) for k in "ab")
+    fits = F.expr("5 * most_n_a >= 4 * least_n_b and 5 * most_n_b >= 4 * least_n_a and 9 * least(rest_a, rest_b) >= 4 * (least_n_a + least_n_b)")
+    two = x.join(y, "token").where("block_a < block_b").where(fits).select("block_a", "block_b")
+    a, b = (blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("block", *_MEMBER))) for k in "ab")
+    own = blocks.where(F.size("root") > 1).select(*(F.col(c).alias(f"{c}_{k}") for k in "ab" for c in ("block", *_MEMBER)))
+    both = two.join(a, "block_a").join(b, "block_b").select(own.columns).unionByName(own)
+    made = both.mapInArrow(_cross, "a long, b long, near_a double, near_b double")
+    return written(made.groupBy("a", "b").agg(F.max("near_a").alias("near_a"), F.max("near_b").alias("near_b")))
+
+
+def _derived(undecided: DataFrame, lists: DataFrame, of_root: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """``a, b``: links between followers of roots that are no link themselves (``a, b, near_a, near_b, far``).
+
+    By the triangle inequality, a follower of ``a`` can only be linked with one of ``b`` if it is at most as far
+    from ``b`` as a link and the farthest follower of ``b``. So a follower's answers come from those of
+    its root: only those that this leaves open are measured against the other root, and only those
+    that are near it too are compared with each other, where they meet in a list.
+    """
+    members = of_root.select("sid", "root", "near").union(undecided.select(F.explode(F.array("a", "b")).alias("sid")).distinct().select("sid", F.col("sid").alias("root"), F.lit(0.0).alias("near")))
+    sides = []
+    for own, other in (("a", "b"), ("b", "a")):
+        rows = undecided.join(members.withColumnRenamed("root", own), own).where(F.col("near") >= F.col("far") - FAR - F.col(f"near_{other}") - ROUNDING)
+        known = rows.where(F.col("sid") == F.col(own)).select("sid", "near", "a", "b", F.col("far").alias("off"), F.lit(False).alias("linked"))
+        asked = rows.where(F.col("sid") != F.col(own)).select(F.col("sid").alias("a"), F.col(other).alias("b"), "near", F.col("a").alias("root_a"), F.col("b").alias("root_b"), F.col(f"near_{other}").alias("slack"))
+        told = _overlaps(asked, texts, size).where(F.col("far") <= FAR + F.col("slack") + ROUNDING)
+        sides.append(written(known.union(told.select(F.col("a").alias("sid"), "near", F.col("root_a").alias("a"), F.col("root_b").alias("b"), F.col("far").alias("off"), "linked"))))
+    left, right = sides
+    found = left.where("linked").select(F.col("sid").alias("x"), F.col("b").alias("y")).union(right.where("linked").select(F.col("sid").alias("x"), F.col("a").alias("y")))
+    x, y = (s.join(lists, "sid").select("a", "b", "token", F.struct("sid", "near", "off", "n", "pos").alias(k)) for s, k in ((left, "x"), (right, "y")))
+    near = (F.col("x.off") <= FAR + F.col("y.near") + ROUNDING) & (F.col("y.off") <= FAR + F.col("x.near") + ROUNDING)
+    pairs = x.join(y, ["a", "b", "token"]).where(near).where(_possible("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
+    last = _overlaps(pairs, texts, size).where("linked").select("a", "b")
+    return written(found.select(F.col("x").alias("a"), F.col("y").alias("b")).union(last))
+
+
+def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> DataFrame:
+    """``doc_id, sig, n_shingles, component_id, is_first``: documents connected by Jaccard >= 0.8 links.
+
+    Words are lower-cased (A-Z) runs without ASCII white space; a document's set are its distinct
+    ``size``-word shingles, or its whole word sequence if it is shorter. Documents with
+    100 * |intersection| >= 80 * |union| are linked; ``component_id`` is the smallest doc_id
+    reachable. Every link counts, none is cut off. ``sig`` is the xxhash64 of the text; ``is_first``
+    marks the rows with the least (doc_id, sig) of a component, and those linked with nothing.
+
+    - Equal sets are one set.
+    - Index lists are built for the first fifth of each set in one order, common shingles last. They are
+      sorted by size and place and cut into blocks; bounds of two blocks tell whether any
+      of their members can be linked, else the one is skipped for the other as a whole.
+    - Answers are shared: a set first tries the least set of the lists it is in. If they are linked, it follows that
+      root and leaves the lists; what the root is linked with is in its component already. Roots alone are
+      joined, with the distance that followers may add; where two roots are no link but so near that followers
+      might be, those followers' answers are derived from the root's by the differences (``_derived``).
+
+    Candidates are checked on whole sets; their texts are read once through a fixed-size filter. A null or
+    empty text has an empty set, linked with nothing, as is a row with null doc_id (its component_id is null).
+    Rows that share a doc_id count as one document with several sets if ``tied``, else each row stands for
+    itself. Further columns are ignored.
+    """
+    n = partitions(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sig", F.xxhash64("text"))
+    profiles = _profiles(docs, size)
+    linkable = profiles.where("n > 0 and doc_id is not null")
+    classes = linkable.groupBy("hi", "lo", "n").agg(F.min(F.struct("doc_id", "sig", "prefix")).alias("r"))
+    classes = written(classes.select("hi", "lo", "n", "r.doc_id", "r.sig", "r.prefix").withColumn("sid", F.monotonically_increasing_id()))  # ids hold as they are written
+    lists = classes.select("sid", "n", F.posexplode("prefix").alias("pos", "token")).select("token", "sid", "n", "pos")
+    lists = written(lists.repartition(n, "token").sortWithinPartitions("token").mapInArrow(_met, "token long, sid long, n int, pos int"))
+
+    asked = written(classes.join(lists.select("sid").distinct(), "sid", "left_semi").select("sid", "doc_id", "sig"))
+    chosen = docs.sparkSession.sparkContext.broadcast(bitfilter.build(asked, F.xxhash64("doc_id", "sig")))
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(bitfilter.passes(chosen.value, batch.column("h").to_numpy().view(np.uint64)))).drop_columns(["h"])
+
+    texts = docs.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id", "sig")).mapInArrow(candidates, "doc_id long, text string, sig long")
+    texts = written(texts.join(asked, ["doc_id", "sig"]).select("sid", "text").dropDuplicates(["sid"]))
+
+    of_root = _followers(lists, texts, size)
+    measured = _overlaps(_root_pairs(lists, of_root), texts, size)
+    links = of_root.select(F.col("sid").alias("a"), F.col("root").alias("b")).union(measured.where("linked").select("a", "b"))
+    if tied:  # rows that share a doc_id tie their sets together
+        of_doc = linkable.join(classes.select("hi", "lo", "n", "sid"), ["hi", "lo", "n"]).groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("s"))
+        links = links.union(of_doc.where(F.size("s") > 1).select("a", F.explode("s").alias("b")).where("a <> b"))
+    links = written(links)
+    comps = components(links)
+    undecided = measured.where(~F.col("linked") & (F.col("far") <= FAR + F.col("near_a") + F.col("near_b") + ROUNDING)).drop("linked")
+    if not undecided.isEmpty():
+        a, b = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
+        undecided = undecided.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).drop("comp_a", "comp_b")
+        more = _derived(written(undecided), lists, of_root, texts, size)
+        if not more.isEmpty():
+            comps = components(links.union(more))
+
+    named = classes.select("hi", "lo", "n", "doc_id", "sig", "sid").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    first = named.groupBy("comp").agg(F.min(F.struct("doc_id", "sig")).alias("first"))
+    named = named.join(first, "comp").select("hi", "lo", "n", "first", F.lit(True).alias("known"))
+    known = F.expr("n > 0 and doc_id is not null")
+    rows = profiles.select("doc_id", "sig", "n", F.when(known, F.col("hi")).otherwise(F.xxhash64("doc_id", "sig")).alias("hi"), "lo", known.alias("known")).join(named, ["hi", "lo", "n", "known"], "left")
+    is_first = F.coalesce((F.col("first.doc_id") == F.col("doc_id")) & (F.col("first.sig") == F.col("sig")), F.lit(True))
+    return rows.select("doc_id", "sig", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"), is_first.alias("is_first"))
