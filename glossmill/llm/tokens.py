@@ -1,7 +1,10 @@
-"""Token counts from distinct pre-tokens."""
+"""Token counts from distinct pre-tokens, counted once each and joined to the frequencies of documents."""
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,75 +13,156 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .scratch import written
 
-#: Pre-tokens a worker remembers before it starts afresh (16 bytes each).
-MAX_REMEMBERED = 4_000_000
-#: Pre-tokens given to the tokenizer at once.
-ENCODE_AT_ONCE = 50_000
+#: Pre-tokens, the most frequent ones, whose counts every task holds: at most 16 bytes each. The others are joined by a shuffle.
+HELD = 1 << 18
+#: White-space runs whose pre-tokens a worker remembers, before it starts afresh.
+REMEMBERED = 300_000
+_PROBE = ("a", "don't", "12", "#*(", "é", "é", "́x", "I'LL", "​z", "六七", "x_y-z", ",.", "\x00q")
 
 
-class _Pieces:
-    """Piece counts of the distinct pre-tokens met so far, by hash."""
+class Vocabulary:
+    """A ``.json`` vocabulary of the tokenizers library, taken apart: special strings, normalizer, pre-tokenizer, merges."""
 
-    def __init__(self, path: str, remembered: int):
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.remembered = Tokenizer.from_file(path), remembered
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        self.known, self.counts = np.empty(0, np.uint64), np.empty(0, np.int64)
-
-    def of(self, words: W.Words) -> np.ndarray:
-        """Piece count of each word; each distinct word is encoded once."""
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            added = json.load(f).get("added_tokens") or []
+        if any(a[k] for a in added for k in ("single_word", "lstrip", "rstrip", "normalized")) or any(re.search(r"\s", a["content"]) for a in added):
+            raise ValueError("added tokens of this vocabulary depend on what stands beside them")
+        longest_first = sorted((a["content"] for a in added), key=len, reverse=True)
+        self.special = re.compile("|".join(map(re.escape, longest_first))) if added else None
+        for blank in (" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"):
+            if self._split(blank.join(_PROBE)) != [p for run in _PROBE for p in self._split(run)] or self._split(blank):
+                raise ValueError("pre-tokens of this vocabulary reach across white space")
+
+    def _split(self, text: str) -> list[str]:
+        t = self.tokenizer
+        text = t.normalizer.normalize_str(text) if t.normalizer else text
+        return [p for p, _ in t.pre_tokenizer.pre_tokenize_str(text)] if t.pre_tokenizer else [text] * bool(text)
+
+    def pre_tokens(self, run: str) -> list[str]:
+        """Pre-tokens of a run without white space; special strings are pre-tokens too, marked by a blank before them."""
+        if self.special is None:
+            return self._split(run)
+        out, at = [], 0
+        for m in self.special.finditer(run):
+            out += self._split(run[at : m.start()])
+            out.append(" " + m[0])
+            at = m.end()
+        return out + self._split(run[at:])
+
+    def pieces(self, pre_token: str) -> int:
+        return 1 if pre_token.startswith(" ") else len(self.tokenizer.model.tokenize(pre_token))
+
+
+_LOADED: dict[str, Vocabulary] = {}
+
+
+def _loaded(path: str) -> Vocabulary:
+    if path not in _LOADED:
+        _LOADED[path] = Vocabulary(path)
+    return _LOADED[path]
+
+
+def _name(pre_tokens: list[str]) -> np.ndarray:
+    """64-bit hashes of pre-tokens."""
+    data = [p.encode() for p in pre_tokens]
+    ends = np.cumsum([len(d) for d in data], dtype=np.int64)
+    raw = np.frombuffer(b"".join(data), np.uint8)
+    return W.hashes(W.Words(raw, ends - np.array([len(d) for d in data], np.int64), ends, np.array([0, len(data)])))
+
+
+def _of_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, W.Words, np.ndarray, list[list[str]]]]:
+    """Of each batch: its words, for each the place of its run among the batch's distinct runs, and the pre-tokens of those."""
+    vocabulary, known = _loaded(path), {}
+    for batch in W.small(batches):
+        words = W.split(batch.column("text"))
         keys, first, inverse = np.unique(W.hashes(words), return_index=True, return_inverse=True)
-        if len(self.known) > self.remembered:
-            self.known, self.counts = self.known[:0], self.counts[:0]
-        at = np.searchsorted(self.known, keys)
-        found = at < len(self.known)
-        found[found] = self.known[at[found]] == keys[found]
-        counts = np.empty(len(keys), np.int64)
-        counts[found] = self.counts[at[found]]
-        new = np.flatnonzero(~found)
-        for lo in range(0, len(new), ENCODE_AT_ONCE):
-            some = new[lo : lo + ENCODE_AT_ONCE]
-            texts = [words.text(i).decode("utf-8", "replace") for i in first[some]]
-            counts[some] = [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        self.known = np.insert(self.known, at[new], keys[new])
-        self.counts = np.insert(self.counts, at[new], counts[new])
-        return counts[inverse]
-
-
-_LOADED: dict[tuple[str, int], _Pieces] = {}
-
-
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, remembered: int = MAX_REMEMBERED) -> DataFrame:
+        if len(known) > REMEMBERED:
+            known.clear()
+        found = []
+        for key, i in zip(keys.tolist(), first.tolist()):
+            got = known.get(key)
+            if got is None:
+                got = known[key] = vocabulary.pre_tokens(words.text(i).decode("utf-8", "replace"))
+            found.append(got)
+        yield batch, words, inverse, found
+
+
+def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, held: int = HELD) -> DataFrame:
     """Bytes and tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    A pre-token is a run without ASCII white space, at which the vocabulary's own
-    pre-tokenization always ends a piece; its piece count is found once for each distinct
-    pre-token a worker meets, joined in arrays to the pre-token occurrences of the batch, and
-    summed by document. No ids are kept. ``tokenizer`` is the path of a ``.json`` vocabulary
-    whose pieces never cross white space and whose spaces yield none; it must exist on each
-    machine.
+    1. Pre-tokens, as the vocabulary's own normalizer and pre-tokenizer give them, are counted over all
+       documents; each distinct one is taken apart into pieces once, and only their number is kept.
+    2. The number of pieces is joined to the pre-token frequencies of each document: in arrays for
+       the ``held`` most frequent pre-tokens (a table of bounded size in every task), by a
+       shuffle of (row, pre-token, frequency) for the others; then summed by document.
+
+    ``tokenizer`` is the path of a ``.json`` vocabulary of the tokenizers library, there on each
+    machine. One whose pre-tokens reach across white space, or whose added tokens depend on their surroundings, is
+    refused with a ValueError, as texts are taken apart at ASCII white space first.
 
     Special strings inside texts count as the library takes them by default. A null or empty
     text has 0 bytes and tokens; a null doc_id stays null; repeated rows give repeated rows;
-    further columns are ignored.
+    further columns are ignored. Pre-tokens are joined by 64-bit hashes.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        pieces = _LOADED.setdefault((tokenizer, remembered), None) or _Pieces(tokenizer, remembered)
-        _LOADED[tokenizer, remembered] = pieces
-        for batch in W.small(batches):
-            words = W.split(batch.column("text"))
-            total = np.concatenate([[0], np.cumsum(pieces.of(words))])
-            _, at = W.utf8(batch.column("text"))
-            yield pa.RecordBatch.from_pydict(
-                {"doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(at), pa.int64()), "n_tokens": pa.array(np.diff(total[words.offsets]), pa.int64())}
-            )
-
-    counted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
-    return counted.withColumn("over_limit", F.col("n_tokens") > limit)
+    spark = docs.sparkSession
+    _loaded(tokenizer)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, inverse, found in _of_runs(batches, tokenizer):
+            total: dict[str, int] = {}
+            for pre_tokens, n in zip(found, np.bincount(inverse, minlength=len(found)).tolist()):
+                for p in pre_tokens:
+                    total[p] = total.get(p, 0) + n
+            yield pa.RecordBatch.from_pydict({"pre_token": pa.array(total, pa.string()), "n": pa.array(total.values(), pa.int64())})
+
+    def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _loaded(tokenizer)
+        for batch in batches:
+            names = batch.column("pre_token").to_pylist()
+            yield pa.RecordBatch.from_pydict({"name": pa.array(W.signed(_name(names)), pa.int64()), "n": batch.column("n"), "pieces": pa.array([vocabulary.pieces(p) for p in names], pa.int64())})
+
+    counted = docs.mapInArrow(distinct, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
+    counted = written(counted.mapInArrow(taken_apart, "name long, n long, pieces long"))
+    top = counted.orderBy(F.col("n").desc(), "name").limit(held).select("name", "pieces").toArrow()
+    names, pieces = top.column("name").to_numpy().view(np.uint64), top.column("pieces").to_numpy()
+    order = np.argsort(names)
+    frequent = spark.sparkContext.broadcast((names[order], pieces[order]))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, pieces = frequent.value
+        for batch, words, inverse, found in _of_runs(batches, tokenizer):
+            sizes = np.array([len(f) for f in found], np.int64)
+            flat = _name([p for f in found for p in f])
+            at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
+            hit = names[at] == flat if len(names) else np.zeros(len(flat), bool)
+            run = np.repeat(np.arange(len(found)), sizes)
+            sure = np.zeros(len(found), np.int64)
+            np.add.at(sure, run[hit], pieces[at[hit]])
+            total = np.concatenate([[0], np.cumsum(sure[inverse])])
+            rare: list[list] = [[] for _ in range(batch.num_rows)]
+            missed: dict[int, list[int]] = {}
+            for r, name in zip(run[~hit].tolist(), W.signed(flat[~hit]).tolist()):
+                missed.setdefault(r, []).append(name)
+            if missed:
+                doc = words.doc_of()
+                for w in np.flatnonzero(np.isin(inverse, list(missed))).tolist():
+                    rare[doc[w]] += missed[int(inverse[w])]
+            _, bytes_at = W.utf8(batch.column("text"))
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(bytes_at), pa.int64()),
+                "sure": pa.array(np.diff(total[words.offsets]), pa.int64()), "rare": pa.array(rare, pa.list_(pa.int64())),
+            })
+
+    rows = written(docs.mapInArrow(joined, "doc_id long, n_bytes long, sure long, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
+    rare = rows.select("row", F.explode("rare").alias("name")).groupBy("row", "name").agg(F.count("*").alias("times"))
+    rest = rare.join(counted.select("name", "pieces"), "name").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    tokens = F.col("sure") + F.coalesce("more", F.lit(0))
+    return rows.join(rest, "row", "left").select("doc_id", "n_bytes", tokens.alias("n_tokens"), (tokens > limit).alias("over_limit"))
