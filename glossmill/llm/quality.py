@@ -87,6 +87,8 @@ def isotonic(raw: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _solve(a: np.ndarray, b: np.ndarray, n: float, ridge: float) -> np.ndarray:
+    """Ridge weights; all zero where no rows are left."""
+    n = max(n, 1.0)
     return np.linalg.solve(a + ridge * n * np.eye(len(b)), b)
 
 
@@ -95,7 +97,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
 
     Tasks sum moments, then normal equations by fold; the driver adds a fixed number of small
     matrices, solves them with each fold left out, picks the ridge with the least error on the folds left out,
-    and calibrates on the scores of those. Without labels every score is 0.
+    and calibrates on the scores of those. Where one fold has all rows, those scores say nothing and every
+    score is the share of class 1. Of several labels of a doc_id the largest counts, of several texts the one with the least xxhash64. Without labels every score is 0.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_train)
@@ -103,9 +106,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", max_train: i
 
     def described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "x": pa.array(list(statistics(batch.column("text"))), pa.list_(pa.float64()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "y": batch.column("y"), "sig": batch.column("sig"), "x": pa.array(list(statistics(batch.column("text"))), pa.list_(pa.float64()))})
 
-    sample = rows.mapInArrow(described, "doc_id long, y int, x array<double>").dropDuplicates(["doc_id"])
+    rows = rows.withColumn("sig", F.xxhash64("text"))
+    sample = rows.mapInArrow(described, "doc_id long, y int, sig long, x array<double>")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("sig", "y", "x")).alias("s")).select("doc_id", "s.y", "s.x")
     sample = written(sample.repartition(_TASKS, "doc_id").sortWithinPartitions("doc_id"))
     rng = np.random.default_rng(SEED)
     p = statistics(pa.array([""], pa.string())).shape[1]
