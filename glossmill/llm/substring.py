@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import words as W
 from .cells import cell_counts
@@ -17,10 +18,10 @@ from .scratch import partitions
 
 #: Words of the anchor that sends a window to its shard.
 ANCHOR = 6
-#: Cells that anchors are counted in, 2**20; more of them keep more windows together on very large inputs.
-CELL_BITS = 20
+#: Cells that anchors are counted in, 2**18; more of them keep more windows together on very large inputs.
+CELL_BITS = 18
 #: A cell is crowded beyond twice the mean by this share of all anchors, or this many.
-CROWDED_SHARE, CROWDED = 1 / 2048, 100_000
+CROWDED_SHARE, CROWDED = 1 / 16384, 100_000
 #: Words indexed at once; a shard is worked off in pieces of whole keys.
 WORDS_AT_ONCE = 1_500_000
 #: Windows of one passage; longer runs are cut.
@@ -283,14 +284,13 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
     return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(search, SPAN)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True, crowded_share: float = CROWDED_SHARE) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True, crowded_share: float = CROWDED_SHARE, carry: bool = False) -> DataFrame:
     """``docs`` without words of any ``window``-word passage that an earlier document has too.
 
     A word goes if a window over it has the words of a window in a document of smaller doc_id;
-    windows are judged on the input. Returns ``doc_id, sig, n_words, n_removed, kept_sha256`` (``sig``:
-    xxhash64 of the text as it came, which with the doc_id names a row up to repeats) and, if asked,
+    windows are judged on the input. Returns ``doc_id, n_words, n_removed, kept_sha256`` and, if asked,
     ``kept_text``: the text as it was where nothing goes, else its kept words joined by one
-    space (null stays null).
+    space (null stays null), and with ``carry`` also ``row``, a struct of the columns as they came.
 
     A null or empty text has no words. A null doc_id counts as larger than all others. Rows that
     repeat a doc_id never remove each other's words, and each gives a row; rows with one doc_id and one
@@ -298,16 +298,18 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True,
     columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text")).withColumn("sig", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), *([F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if carry else []))
+    rows = rows.withColumn("sig", F.xxhash64("text"))
     dealt = rows.repartition(n, "doc", "sig")
-    spans = repeated_spans(rows, dealt, window, crowded_share=crowded_share).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc", "sig", "text", "spans")
-    schema = "doc_id long, sig long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
+    spans = repeated_spans(rows.drop("row"), dealt, window, crowded_share=crowded_share).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc", "text", "spans", *["row"] * carry)
+    made = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())][: 4 + with_text]
+    schema = StructType([*made, *([rows.schema["row"]] if carry else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
             out: list[tuple] = []
-            for doc, sig, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "text", "spans"))):
+            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
                 words = (text or "").encode().split()  # bytes are split at exactly ASCII white space
                 kept, at = [], 0
                 for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
@@ -316,9 +318,9 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True,
                         at = end
                 kept += words[at:]
                 joined = b" ".join(kept)
-                out.append((None if doc == _NO_ID else doc, sig, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
-            names = ("doc_id", "sig", "n_words", "n_removed", "kept_sha256", "kept_text")[: 5 + with_text]
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_pydict({k: pa.array([r[i] for r in out], t) for i, (k, t) in enumerate(zip(names, kinds))})
+                out.append((None if doc == _NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            columns = [pa.array([r[i] for r in out], kinds[i]) for i in range(4 + with_text)]
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if carry else [])], names=schema.fieldNames())
 
     return joined.mapInArrow(cut, schema)
