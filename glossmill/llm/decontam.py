@@ -37,7 +37,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     """Words of ``docs`` inside passages of ``window`` words that also stand in ``benchmark``.
 
     Returns ``doc_id, n_words, n_hit, n_items, items_sha256, contaminated`` and ``spans``
-    (array of start, end in words, disjoint), ``items`` (their ids as sorted strings).
+    (array of start, end in words, disjoint), ``items`` (their ids as sorted strings), ``sig``
+    (xxhash64 of the text, which with the doc_id names a row up to repeats).
 
     Both sides keep the least k-gram hash of every window, so a shared passage of ``window``
     words or more shares a kept hash at the same place in it. Fingerprints are joined, and each
@@ -48,7 +49,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     Documents pass through once and no text is shuffled: fingerprints that a fixed-size bit
     filter of the benchmark's lets through are joined, by broadcast only below Spark's size
     threshold. A null text has no words; a null doc_id stays null; each row is judged by itself,
-    repeated rows too; an empty benchmark leaves all clean; further columns are ignored.
+    repeated rows too; an item with a null item_id can't be named and is left out; an empty benchmark
+    leaves all clean; further columns are ignored.
     """
     spark = docs.sparkSession
     reach = window - k
@@ -87,12 +89,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
                 for d, p, f, lft, c in zip(of.tolist(), (at - first).tolist(), W.signed(fp).tolist(), left.tolist(), ctx):
                     found[d].append({"n": n, "fp": f, "pos": p, "left": lft, "words": W.signed(c).tolist()})
             yield pa.RecordBatch.from_pydict({
-                "doc_id": batch.column("doc_id"),
+                "doc_id": batch.column("doc_id"), "sig": batch.column("sig"),
                 "n_words": pa.array(words.counts, pa.int64()),
                 "found": pa.array(found, pa.list_(pa.struct([("n", pa.int32()), ("fp", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("words", pa.list_(pa.int64()))]))),
             })
 
-    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(scan, "doc_id long, n_words long, found array<struct<n:int,fp:long,pos:int,left:int,words:array<long>>>")
+    scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sig", F.xxhash64("text")).mapInArrow(scan, "doc_id long, sig long, n_words long, found array<struct<n:int,fp:long,pos:int,left:int,words:array<long>>>")
     scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()))
     hits = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
     hits = hits.join(bench, ["n", "fp"])
@@ -122,5 +124,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return scanned.drop("found").join(by_doc, "row", "left").select(
         "doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), items.alias("items"),
+        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")).alias("spans"), items.alias("items"), "sig",
     )

@@ -102,20 +102,24 @@ def copies(classes: DataFrame, most: int = MOST) -> DataFrame:
 def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, parts: int = PARTS) -> DataFrame:
     """How often each document goes into a mix whose sources have their target share of the words.
 
-    Returns ``doc_id, source, size, source_size, target, rate, n_copies, taken``; ``taken`` is
-    size times copies, 0 to ``most`` of them. Same input, same result.
+    Returns ``doc_id, source, size, source_size, target, rate, n_copies, taken, sig``; ``taken`` is
+    size times copies, 0 to ``most`` of them; ``sig`` is the xxhash64 of the text. Same input, same result.
 
     Documents of one source and size are a class with one rate; the classes, no more than the
     lengths that occur, are all that the iterations read. A class's copies are dealt to its
     documents by rank: by sums over ``parts`` hashed parts of it, then within each, so a source
     or class that holds most rows is never sorted in one task.
 
+    Rates are bounded by ``most``, as every document may be taken that often at most; without the bound they
+    would be plain exponentials of the size. The few rows for each source (not for each document) are ranked in
+    one task, and the distinct sizes of a source in one.
+
     A null source is a source of its own, the last; a null or empty text has size 0 and takes 0
-    words; a null doc_id is ranked as any other; repeated rows count each; an empty table gives
+    words; a null doc_id is ranked as any other; repeated rows count each, and copies that differ among them go to any; an empty table gives
     an empty result; further columns are ignored.
     """
-    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size")))
-    part = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(parts)).cast("int")
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text").cast("string")).alias("size"), F.xxhash64(F.col("text").cast("string")).alias("sig")))
+    part = F.pmod(F.xxhash64(F.col("doc_id"), F.col("sig"), F.lit(17)), F.lit(parts)).cast("int")
     rows = rows.withColumn("part", part)
     in_parts = written(rows.groupBy("source", "size", "part").agg(F.count("*").alias("m")))
     classes = written(in_parts.groupBy("source", "size").agg(F.sum("m").alias("n")))
@@ -123,8 +127,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST, parts: int
     dealt = written(copies(rates(classes, goals, most), most))
     before = F.coalesce(F.sum("m").over(Window.partitionBy("source", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ranked = rows.alias("r").join(in_parts.withColumn("before", before).alias("p"), F.col("r.source").eqNullSafe(F.col("p.source")) & (F.col("r.size") == F.col("p.size")) & (F.col("r.part") == F.col("p.part")))
-    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    place = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id", "sig"), "doc_id", "sig"))
     ranked = ranked.select("r.*", "before").withColumn("place", F.col("before") + place)
     joined = ranked.alias("r").join(dealt.alias("d"), F.col("r.source").eqNullSafe(F.col("d.source")) & (F.col("r.size") == F.col("d.size")))
     n = (F.floor(F.col("taken_n") / F.col("n")) + F.when(F.col("place") <= F.col("taken_n") % F.col("n"), 1).otherwise(0)).cast("long")
-    return joined.select("r.doc_id", "r.source", "r.size", "d.source_size", "d.target", "d.rate", n.alias("n_copies"), (n * F.col("r.size")).alias("taken"))
+    return joined.select("r.doc_id", "r.source", "r.size", "d.source_size", "d.target", "d.rate", n.alias("n_copies"), (n * F.col("r.size")).alias("taken"), "r.sig")

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder name in the shared folder that ``spark.checkpoint.dir`` names.
@@ -30,8 +32,17 @@ def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession, *others: str) -> None:
+    """Removes what ``written`` has left so far, and ``others``; call it when no result that reads them is still to be computed."""
+    for path in (*_WRITTEN, *others):
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    _WRITTEN.clear()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -60,6 +60,14 @@ def test_chat_examples_hold_their_context(spark):
     assert second.text.startswith(first.text) and first.text[first.loss_start : first.loss_end] == "a" and second.text[second.loss_start : second.loss_end] == "b"
 
 
+def test_chat_frames_are_bounded(spark):
+    """20,000 conversations of one reply: no frame goes above the bound by more than its last example."""
+    from glossmill.llm.chat import packed
+
+    sizes = [sum(map(len, f["text"])) for f in packed((i, 0, 1, "x" * 4_000, 0, 4_000, True) for i in range(20_000))]
+    assert sum(sizes) == 80_000_000 and max(sizes) <= 4_004_000
+
+
 def test_jaccard(spark, sf, docs, edge, empty):
     from glossmill.llm.jaccard import similar_components
 
@@ -83,6 +91,33 @@ def test_jaccard_chains_and_borders(spark):
     assert rows_of(similar_components(frame), "doc_id", "n_shingles", "component_id") == brute.jaccard(rows)
 
 
+def test_jaccard_derives_answers_of_followers(spark):
+    """Families around centres of which some are no link but have members that are; in blocks of two, too."""
+    from glossmill.llm import jaccard as J
+
+    rng, rows = random.Random(8), []
+    for base in range(6):
+        center = [f"b{base}x{i}" for i in range(60)]
+        for shift in range(4):  # centres 8 words apart each
+            text = [f"s{base}y{i}" if i < 8 * shift else w for i, w in enumerate(center)]
+            rows.append((len(rows) * 37 % 509, " ".join(text)))
+            for _ in range(12):
+                other = list(text)
+                for _ in range(rng.randint(0, 2)):
+                    other[rng.randrange(60)] = f"n{len(rows)}"
+                if rng.random() < 0.4:
+                    at = 8 * shift + rng.randrange(1, 8)
+                    other[:at] = [f"s{base}y{i}" for i in range(at)]
+                rows.append((len(rows) * 37 % 509, " ".join(other)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    expected, block = brute.jaccard(rows), J.BLOCK
+    try:
+        for J.BLOCK in (block, 2):
+            assert rows_of(J.similar_components(frame), "doc_id", "n_shingles", "component_id") == expected
+    finally:
+        J.BLOCK = block
+
+
 def test_rules(spark, sf, docs, edge, empty):
     from glossmill.llm.rules import quality_rules
 
