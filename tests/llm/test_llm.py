@@ -328,18 +328,20 @@ def test_classifiers_on_odd_rows(spark, edge, empty, module, function, column):
 
 
 def test_pipeline(spark, sf):
-    """Each stage against the plain versions, on what the one before kept."""
+    """Each stage against the plain versions, on what the one before kept; the query gives the same rows."""
     import corpus_pipeline as P
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
     toxic = {r.doc_id for r in Q.op7_toxicity(spark, sf).where("predicted = 1").collect()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     for name, stage in P.STAGES:
         before = [(r.doc_id, r.text) for r in docs.collect()]
+        sources = {r.doc_id: (r.source, len(brute.words(r.text))) for r in docs.collect()}
         made = stage(spark, docs, sf)
         docs = spark.createDataFrame(made.collect(), made.schema)
         after = {r.doc_id: r.text for r in docs.collect()}
-        assert len(after) == docs.count()
+        assert len(after) == docs.count() and (name == "mixing" or docs.columns == columns)
         if name == "toxicity":
             assert after == {d: t for d, t in before if d not in toxic}
         elif name == "near_duplicates":
@@ -348,8 +350,106 @@ def test_pipeline(spark, sf):
             cut = {d: (n, gone) for d, n, gone, _ in brute.substring(before)}
             assert set(after) == {d for d, (n, gone) in cut.items() if not n or gone < n}
             assert all(len(brute.words(after[d])) == cut[d][0] - cut[d][1] for d in after)
+            assert all(r.n_chars == len(r.text) for r in docs.collect() if cut[r.doc_id][1])
         elif name == "benchmark_leaks":
             assert set(after) == {d for d, *_, hit in brute.decontam(before, items) if not hit}
         else:
-            assert set(docs.columns) >= {"doc_id", "text", "n_copies"} and set(after) <= {d for d, _ in before}
+            rows = docs.collect()
+            assert all(after[d] == t for d, t in before if d in after) and all(r.n_copies > 0 and r.taken == r.n_copies * r.size for r in rows)
+            goals = brute.targets({s: sum(n for t, n in sources.values() if t == s) for s in {t for t, _ in sources.values()}})
+            for s, goal in goals.items():
+                assert abs(sum(r.taken for r in rows if r.source == s) - goal) <= max(n for t, n in sources.values() if t == s)
     assert [n for n, _ in P.STAGES][-1] == "mixing"
+
+
+def test_pipeline_decides_by_row(spark, tmp_path):
+    """Null and repeated doc_ids, null and empty texts, extra columns and an empty table, stage by stage."""
+    import corpus_pipeline as P
+
+    clean = [" ".join(f"{k}word{i}" for i in range(40)) for k in "abcdef"]
+    near = clean[0] + " tail"
+    leak = " ".join(f"leak{i}" for i in range(12))
+    rows = [
+        (1, clean[0]), (2, near), (2, clean[1]), (None, clean[2]), (None, clean[0]), (3, None), (3, ""), (4, clean[3]), (4, clean[3]),
+        (5, clean[4] + " " + leak), (5, clean[5]), (None, leak), (6, " \t"),
+    ]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t or ""), 9, "k", 1.5) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, sig long, row string, size double")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 0), (2, 1), (None, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    pairs = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    stages = dict(P.STAGES)
+    got = stages["near_duplicates"](spark, frame, str(tmp_path))
+    assert got.columns == frame.columns
+    assert pairs(got) == sorted(set(rows) - {(2, near)}, key=str)
+    got = stages["benchmark_leaks"](spark, frame, str(tmp_path))
+    assert got.columns == frame.columns
+    assert pairs(got) == sorted((r for r in rows if leak not in (r[1] or "")), key=str)
+    got = stages["repeated_passages"](spark, frame, str(tmp_path))
+    assert got.columns == frame.columns
+    lost = {(2, near): None, (None, clean[0]): None, (None, leak): None}  # what is left of the near copy is under a word of its own
+    expected = sorted(((d, "tail" if t == near else t) for d, t in rows if (d, t) not in lost or t == near), key=str)
+    assert [r for r in pairs(got) if r[1] != leak] == [r for r in expected if r[1] != leak]
+    got = stages["mixing"](spark, frame, str(tmp_path))
+    assert set(pairs(got)) <= set(rows) and all(r.size == len(brute.words(r.text)) and r.row == "k" for r in got.collect())
+    assert sum(r.taken for r in got.collect()) == pytest.approx(sum(len(brute.words(t)) for _, t in rows), abs=60)
+    labels = spark.read.parquet(f"{tmp_path}/labels.parquet").where("toxic = 0")
+    labels.write.parquet(f"{tmp_path}/none/labels.parquet")
+    got = stages["toxicity"](spark, frame, f"{tmp_path}/none")
+    assert got.columns == frame.columns and pairs(got) == sorted(rows, key=str)
+    for name, stage in P.STAGES:
+        assert stage(spark, frame.where("false"), str(tmp_path)).count() == 0, name
+
+
+def test_held_out_rows_and_labels(spark):
+    """``held_out`` follows crc32; held-out labels, lang and source never move a score; few labels and repeated doc_ids give results."""
+    import zlib
+
+    from glossmill.llm.quality import score_quality
+    from glossmill.llm.toxicity import score_toxicity
+
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choice(("idiot fool stupid" if i % 3 == 0 else "kind warm plain").split()) + str(rng.randrange(9)) for _ in range(30)), "en", f"s{i % 4}") for i in range(90)]
+    docs += [(5, "another text of the same id", "de", "t")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    for score, column, fold in ((score_toxicity, "toxic", (4, 2)), (score_quality, "quality", (5, 0))):
+        out = lambda i: zlib.crc32(str(i).encode()) % fold[0] == fold[1]  # noqa: E731, B023
+        labels = [(i, int(i % 3 == 0)) for i in range(90)]
+        frames = [spark.createDataFrame(x, f"doc_id long, {column} int") for x in (labels, [(i, 1 - y if out(i) else y) for i, y in labels])]
+        one = score(frame, frames[0]).collect()
+        assert all(r.held_out == out(r.doc_id) for r in one)
+        key = lambda rows: sorted((r.doc_id, round(r.score, 9)) for r in rows)
+        assert key(one) == key(score(frame.withColumn("lang", F.lit("x")).withColumn("source", F.lit("y")).repartition(3), frames[1]).collect())
+        few = spark.createDataFrame([(1, "a b c"), (2, "d e f"), (3, "")], "doc_id long, text string")
+        for some in ([(1, 1)], [(2, 1)], [(1, 1), (2, 0)], [(3, 0)], [(1, 0), (2, 0), (3, 0)]):
+            got = score(few, spark.createDataFrame(some, f"doc_id long, {column} int")).collect()
+            assert len(got) == 3 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_isotonic_and_ridge():
+    import numpy as np
+
+    from glossmill.llm.quality import _solve, isotonic
+
+    rng = np.random.default_rng(4)
+    raw, y = rng.integers(0, 12, 60).astype(float), rng.integers(0, 2, 60).astype(float)
+    keys = np.unique(raw)
+    mean = {k: (y[raw == k].mean(), (raw == k).sum()) for k in keys}
+    # the least-squares fit that never falls: max over starts of min over ends of the means between
+    plain = [max(min(np.average([mean[k][0] for k in keys[a : b + 1]], weights=[mean[k][1] for k in keys[a : b + 1]]) for b in range(i, len(keys))) for a in range(i + 1)) for i in range(len(keys))]
+    x, share = isotonic(raw, y)
+    assert sorted({round(p, 12) for p in plain}) == [round(s, 12) for s in share]
+    z, t = rng.normal(size=(40, 5)), rng.normal(size=40)
+    w = _solve(z.T @ z, z.T @ t, 40, 0.1)
+    assert np.allclose(z.T @ (z @ w - t) + 0.1 * 40 * w, 0)
+    assert not _solve(np.zeros((5, 5)), np.zeros(5), 0, 0.1).any()
+
+
+def test_tokens_by_shuffle_and_refusals(spark, edge):
+    """The same counts when hardly a pre-token is held by the tasks; vocabularies that cross white space are refused."""
+    from glossmill.llm.tokens import token_counts
+
+    path = Q.tokenizer_path()
+    names = ("doc_id", "n_bytes", "n_tokens", "over_limit")
+    assert rows_of(token_counts(edge, path, held=3), *names) == rows_of(token_counts(edge, path), *names)
+    with pytest.raises(ValueError):
+        token_counts(edge, Q.tokenizer_path("byte_bpe_50k.json"))
