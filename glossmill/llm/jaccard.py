@@ -20,6 +20,8 @@ from .scratch import partitions, written
 CELL_BITS = 21
 #: Members of a block of an index list.
 BLOCK = 256
+#: Rounds in which roots try one root of another component, before all that is left is compared.
+ROUNDS = 3
 #: Jaccard distance of a link, and what rounding may add to sums of distances.
 FAR, ROUNDING = 0.2, 1e-9
 
@@ -138,7 +140,23 @@ def _followers(lists: DataFrame, texts: DataFrame, size: int) -> DataFrame:
         now = written(now.join(up, "root", "left").select("sid", F.coalesce("next", "root").alias("root"), (F.col("near") + F.coalesce("on", F.lit(0.0))).alias("near")))
 
 
-_MEMBER = ("root", "least_n", "most_n", "rest", "near")
+_MEMBER = ("root", "least_n", "most_n", "rest", "near", "comp")
+
+
+def _apart(entries: DataFrame, comps: DataFrame) -> DataFrame:
+    """Entries of lists that reach over two components or more, with ``comp``; the other lists have nothing left to say."""
+    rows = entries.join(comps.select(F.col("node").alias("root"), "comp"), "root", "left").withColumn("comp", F.coalesce("comp", "root"))
+    ends = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
+    return written(rows.join(ends, "token", "left_semi").select("token", *_MEMBER))
+
+
+def _tries(apart: DataFrame, tested: DataFrame | None) -> DataFrame:
+    """``a, b``: for each root the one of another component that most often is the least of a list they are both in."""
+    least = apart.groupBy("token").agg(F.min(F.struct("root", "comp")).alias("p"))
+    met = apart.join(least, "token").where("p.comp <> comp").groupBy(F.col("root").alias("a"), F.col("p.root").alias("b")).count()
+    met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
+    best = met.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("minus"))).alias("m"))
+    return written(best.select("a", (-F.col("m.minus")).alias("b")))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -182,7 +200,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rest = np.minimum(x[3][:, None], y[3][None, :])
             ok = (5 * x[2][:, None] >= 4 * y[1][None, :]) & (5 * y[2][None, :] >= 4 * x[1][:, None])
             ok &= 9 * rest >= 4 * (x[1][:, None] + y[1][None, :])
-            ok &= x[0][:, None] != y[0][None, :]
+            ok &= x[5][:, None] != y[5][None, :]
             if one:
                 ok &= a < b
             i, j = a[ok], b[ok]
@@ -195,15 +213,13 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "near_a": pa.array(near_a), "near_b": pa.array(near_b)})
 
 
-def _root_pairs(lists: DataFrame, of_root: DataFrame) -> DataFrame:
-    """``a, b, near_a, near_b``: roots with members that can be linked, and how far the farthest of those are from them.
+def _root_pairs(apart: DataFrame) -> DataFrame:
+    """``a, b, near_a, near_b``: roots of two components with members that can be linked, and how far the farthest of those are from them.
 
-    In a list, the members of one root are one entry. A block's bounds of sizes and places tell
+    A block's bounds of sizes and places tell
     which other blocks of its list need to be looked at; the others are skipped whole.
     """
-    rows = lists.join(of_root, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("near", F.coalesce("near", F.lit(0.0)))
-    rows = rows.groupBy("token", "root").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("near").alias("near"))
-    blocks = _blocks(rows)
+    blocks = _blocks(apart)
     bounds = blocks.select("token", "block", F.array_min("least_n").alias("least_n"), F.array_max("most_n").alias("most_n"), F.array_max("rest").alias("rest"))
     x, y = (bounds.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "least_n", "most_n", "rest"))) for k in "ab")
     fits = F.expr("5 * most_n_a >= 4 * least_n_b and 5 * most_n_b >= 4 * least_n_a and 9 * least(rest_a, rest_b) >= 4 * (least_n_a + least_n_b)")
@@ -254,8 +270,8 @@ def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> Dat
       sorted by size and place and cut into blocks; bounds of two blocks tell whether any
       of their members can be linked, else the one is skipped for the other as a whole.
     - Answers are shared: a set first tries the least set of the lists it is in. If they are linked, it follows that
-      root and leaves the lists; what the root is linked with is in its component already. Roots alone are
-      joined, with the distance that followers may add; where two roots are no link but so near that followers
+      root and leaves the lists; what the root is linked with is in its component already. Roots alone, and
+      only those of different components, are joined, with the distance that followers may add; where two roots are no link but so near that followers
       might be, those followers' answers are derived from the root's by the differences (``_derived``).
 
     Candidates are checked on whole sets; their texts are read once through a fixed-size filter. A null or
@@ -283,13 +299,31 @@ def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> Dat
     texts = written(texts.join(asked, ["doc_id", "sig"]).select("sid", "text").dropDuplicates(["sid"]))
 
     of_root = _followers(lists, texts, size)
-    measured = _overlaps(_root_pairs(lists, of_root), texts, size)
-    links = of_root.select(F.col("sid").alias("a"), F.col("root").alias("b")).union(measured.where("linked").select("a", "b"))
+    links = of_root.select(F.col("sid").alias("a"), F.col("root").alias("b"))
     if tied:  # rows that share a doc_id tie their sets together
         of_doc = linkable.join(classes.select("hi", "lo", "n", "sid"), ["hi", "lo", "n"]).groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("s"))
         links = links.union(of_doc.where(F.size("s") > 1).select("a", F.explode("s").alias("b")).where("a <> b"))
     links = written(links)
     comps = components(links)
+
+    # the members of one root are one entry of a list
+    entries = lists.join(of_root, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("near", F.coalesce("near", F.lit(0.0)))
+    entries = entries.groupBy("token", "root").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("near").alias("near"))
+    apart, tested = _apart(entries, comps), None
+    for _ in range(ROUNDS):
+        pairs = _tries(apart, tested)
+        if pairs.isEmpty():
+            break
+        tested = pairs if tested is None else tested.union(pairs)
+        new = _overlaps(pairs, texts, size).where("linked").select("a", "b")
+        if not new.isEmpty():
+            links = links.union(new)
+            comps = components(links)
+            apart = _apart(apart.drop("comp"), comps)
+
+    measured = _overlaps(_root_pairs(apart), texts, size)
+    links = links.union(measured.where("linked").select("a", "b"))
+    comps = components(links)
     undecided = measured.where(~F.col("linked") & (F.col("far") <= FAR + F.col("near_a") + F.col("near_b") + ROUNDING)).drop("linked")
     if not undecided.isEmpty():
         a, b = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
