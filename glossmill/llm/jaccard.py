@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,12 +17,10 @@ from .scratch import partitions, written
 
 #: Cells that the documents of shingles are counted in, 2**21; any number gives the same links.
 CELL_BITS = 21
-#: Members of a block of an index list.
-BLOCK = 256
-#: Rounds in which roots try one root of another component, before all that is left is compared.
+#: Pairs that a task remembers to have handed on, before it starts afresh.
+REMEMBERED = 1_000_000
+#: Rounds in which sets try one partner only, before all that is left is compared.
 ROUNDS = 3
-#: Jaccard distance of a link, and what rounding may add to sums of distances.
-FAR, ROUNDING = 0.2, 1e-9
 
 
 def shingle_sets(texts: pa.Array, size: int) -> list[np.ndarray]:
@@ -91,29 +88,20 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
     return written(docs.mapInArrow(profile, "doc_id long, sig long, n int, hi long, lo long, prefix array<long>"))
 
 
-def _overlaps(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``pairs`` (a, b, and more) of sets with ``far``, their Jaccard distance, and ``linked``, told from whole sets in integers.
-
-    Pairs are dealt out one by one, so a set with many partners has its pairs in many tasks.
-    """
-    more = [(k, t) for k, t in pairs.dtypes if k not in ("a", "b")]
-    extra = [k for k, _ in more]
+def _linked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are links, told from whole sets in integers. Pairs are dealt out one by one, so a set with many has them in many tasks."""
     a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b", *extra).repartition(partitions(pairs.sparkSession), "a", "b")
+    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").repartition(partitions(pairs.sparkSession), "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(W.small(batches, "text_a"), "text_b"):
-            far, linked = [], []
+            linked = []
             for x, y in zip(shingle_sets(batch.column("text_a"), size), shingle_sets(batch.column("text_b"), size)):
                 same = len(np.intersect1d(x, y, assume_unique=True))
-                whole = len(x) + len(y) - same
-                far.append(1 - same / max(1, whole))
-                linked.append(same > 0 and 100 * same >= 80 * whole)
-            kept = [batch.column(c) for c in ("a", "b", *extra)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(far, pa.float64()), pa.array(linked, pa.bool_())], names=["a", "b", *extra, "far", "linked"])
+                linked.append(same > 0 and 100 * same >= 80 * (len(x) + len(y) - same))
+            yield batch.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
-    kinds = ", ".join(f"{k} {t}" for k, t in more)
-    return written(rows.mapInArrow(check, f"a long, b long, {kinds + ', ' if kinds else ''}far double, linked boolean"))
+    return written(rows.mapInArrow(check, "a long, b long"))
 
 
 def _possible(x: str, y: str) -> Column:
@@ -123,137 +111,73 @@ def _possible(x: str, y: str) -> Column:
     return (5 * F.least(n(x), n(y)) >= 4 * F.greatest(n(x), n(y))) & (9 * rest >= 4 * (n(x) + n(y)))
 
 
-def _followers(lists: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``sid, root, near``: sets linked with a root of smaller sid, directly or over others, and a bound of the distance.
-
-    A set tries the one that most often is the least sid of a list that both are in.
-    """
-    least = lists.groupBy("token").agg(F.min(F.struct("sid", "n", "pos")).alias("p"))
-    met = lists.join(least, "token").withColumn("x", F.struct("sid", "n", "pos")).where("p.sid < sid").where(_possible("x", "p"))
-    chosen = met.groupBy("sid", F.col("p.sid").alias("p")).count().groupBy("sid").agg(F.max(F.struct("count", (-F.col("p")).alias("minus"))).alias("m"))
-    pairs = chosen.select(F.col("sid").alias("a"), (-F.col("m.minus")).alias("b"))
-    now = written(_overlaps(written(pairs), texts, size).where("linked").select(F.col("a").alias("sid"), F.col("b").alias("root"), F.col("far").alias("near")))
-    while True:  # each round halves the way to the root
-        up = now.select(F.col("sid").alias("root"), F.col("root").alias("next"), F.col("near").alias("on"))
-        if now.join(up, "root", "left_semi").isEmpty():
-            return now
-        now = written(now.join(up, "root", "left").select("sid", F.coalesce("next", "root").alias("root"), (F.col("near") + F.coalesce("on", F.lit(0.0))).alias("near")))
-
-
-_MEMBER = ("root", "least_n", "most_n", "rest", "near", "comp")
-
-
-def _apart(entries: DataFrame, comps: DataFrame) -> DataFrame:
-    """Entries of lists that reach over two components or more, with ``comp``; the other lists have nothing left to say."""
-    rows = entries.join(comps.select(F.col("node").alias("root"), "comp"), "root", "left").withColumn("comp", F.coalesce("comp", "root"))
-    ends = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
-    return written(rows.join(ends, "token", "left_semi").select("token", *_MEMBER))
-
-
-def _tries(apart: DataFrame, tested: DataFrame | None) -> DataFrame:
-    """``a, b``: for each root the one of another component that most often is the least of a list they are both in."""
-    least = apart.groupBy("token").agg(F.min(F.struct("root", "comp")).alias("p"))
-    met = apart.join(least, "token").where("p.comp <> comp").groupBy(F.col("root").alias("a"), F.col("p.root").alias("b")).count()
-    met = met if tested is None else met.join(tested, ["a", "b"], "left_anti")
-    best = met.groupBy("a").agg(F.max(F.struct("count", (-F.col("b")).alias("minus"))).alias("m"))
-    return written(best.select("a", (-F.col("m.minus")).alias("b")))
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Index lists of roots as blocks: ``token, block`` and arrays of at most ``BLOCK`` members.
-
-    Rows are dealt by ranges of (token, size, place), so that a long list lies over many tasks, in that order.
-    """
-    rows = rows.select("token", *_MEMBER).repartitionByRange(partitions(rows.sparkSession), "token", "least_n", "rest").sortWithinPartitions("token", "least_n", "rest")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            token = batch.column("token").to_numpy()
-            fresh = np.ones(len(token), bool)
-            fresh[1:] = token[1:] != token[:-1]
-            first = np.flatnonzero(fresh)
-            inside = np.arange(len(token)) - np.repeat(first, np.diff(np.append(first, len(token))))
-            cuts = np.flatnonzero(inside % BLOCK == 0)
-            offsets = pa.array(np.append(cuts, len(token)), pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in _MEMBER]
-            yield pa.RecordBatch.from_arrays([pa.array(token[cuts]), pa.array(number + np.arange(len(cuts))), *lists], names=["token", "block", *_MEMBER])
-            number += len(cuts)
-
-    kinds = dict(rows.dtypes)
-    return written(rows.mapInArrow(run, "token long, block long, " + ", ".join(f"{c} array<{kinds[c]}>" for c in _MEMBER)))
-
-
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of roots of two blocks of a list (or of one) whose members can be linked, as sizes and places allow."""
+    """All pairs of a list that lead to another component and can be linked; rows come sorted by token, size and place.
 
-    def members(batch: pa.RecordBatch, side: str) -> Iterator[list[np.ndarray]]:
-        lists = [batch.column(f"{c}_{side}") for c in _MEMBER]
-        for i in range(batch.num_rows):
-            yield [x[i].values.to_numpy(zero_copy_only=False) for x in lists]
+    Members of the list's largest component are not taken as left sides, so what is already one
+    component is skipped as a whole. Sets of one size are a block, sorted by place: from the sizes follows
+    up to which place a member can be linked, and the rest of the block is skipped by position.
+    Pairs that the task has just handed on are not handed on again.
+    """
 
+    told: set[int] = set()
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if len(told) > REMEMBERED:
+            told.clear()
+        ids, n, pos, comp = (rows.column(c).to_numpy().astype(np.int64) for c in ("sid", "n", "pos", "comp"))
+        names, counts = np.unique(comp, return_counts=True)
+        if len(names) < 2:
+            return
+        main = names[counts.argmax()]
+        size, first = np.unique(n, return_index=True)  # blocks
+        place = (n << 32) + pos
+        for i in np.flatnonzero(comp != main):
+            block = slice(np.searchsorted(size, -(-4 * int(n[i]) // 5)), np.searchsorted(size, min(5 * int(n[i]) // 4, 9 * int(n[i] - pos[i]) // 4 - int(n[i])), "right"))
+            begin, upto = first[block], size[block] - (4 * (n[i] + size[block]) + 8) // 9
+            end = np.searchsorted(place, (size[block] << 32) + upto, "right")
+            some = np.maximum(end - begin, 0)
+            at = np.arange(int(some.sum())) + np.repeat(begin - np.cumsum(some) + some, some)
+            at = at[(comp[at] != comp[i]) & ((comp[at] == main) | (ids[at] > ids[i]))]
+            if len(at):
+                other = ids[at]
+                keys = W.mix(W.mix(np.minimum(other, ids[i]).astype(np.uint64)) + np.maximum(other, ids[i]).astype(np.uint64)).tolist()
+                new = np.array([k not in told for k in keys])
+                told.update(keys)
+                if new.any():
+                    yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(int(new.sum()), ids[i]), pa.int64()), "b": pa.array(other[new], pa.int64())})
+
+    held: list[pa.Table] = []
     for batch in batches:
-        out: list[list[np.ndarray]] = []
-        same = (batch.column("block_a").to_numpy() == batch.column("block_b").to_numpy()).tolist()
-        for one, x, y in zip(same, members(batch, "a"), members(batch, "b")):
-            a, b = np.meshgrid(np.arange(len(x[0])), np.arange(len(y[0])), indexing="ij")
-            rest = np.minimum(x[3][:, None], y[3][None, :])
-            ok = (5 * x[2][:, None] >= 4 * y[1][None, :]) & (5 * y[2][None, :] >= 4 * x[1][:, None])
-            ok &= 9 * rest >= 4 * (x[1][:, None] + y[1][None, :])
-            ok &= x[5][:, None] != y[5][None, :]
-            if one:
-                ok &= a < b
-            i, j = a[ok], b[ok]
-            if len(i):
-                turned = x[0][i] > y[0][j]
-                pick = lambda k: (np.where(turned, y[k][j], x[k][i]), np.where(turned, x[k][i], y[k][j]))
-                out.append([*pick(0), *pick(4)])
-        if out:
-            a, b, near_a, near_b = (np.concatenate([o[k] for o in out]) for k in range(4))
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "near_a": pa.array(near_a), "near_b": pa.array(near_b)})
-
-
-def _root_pairs(apart: DataFrame) -> DataFrame:
-    """``a, b, near_a, near_b``: roots of two components with members that can be linked, and how far the farthest of those are from them.
-
-    A block's bounds of sizes and places tell
-    which other blocks of its list need to be looked at; the others are skipped whole.
-    """
-    blocks = _blocks(apart)
-    bounds = blocks.select("token", "block", F.array_min("least_n").alias("least_n"), F.array_max("most_n").alias("most_n"), F.array_max("rest").alias("rest"))
-    x, y = (bounds.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("block", "least_n", "most_n", "rest"))) for k in "ab")
-    fits = F.expr("5 * most_n_a >= 4 * least_n_b and 5 * most_n_b >= 4 * least_n_a and 9 * least(rest_a, rest_b) >= 4 * (least_n_a + least_n_b)")
-    two = x.join(y, "token").where("block_a < block_b").where(fits).select("block_a", "block_b")
-    a, b = (blocks.select(*(F.col(c).alias(f"{c}_{k}") for c in ("block", *_MEMBER))) for k in "ab")
-    own = blocks.where(F.size("root") > 1).select(*(F.col(c).alias(f"{c}_{k}") for k in "ab" for c in ("block", *_MEMBER)))
-    both = two.join(a, "block_a").join(b, "block_b").select(own.columns).unionByName(own)
-    made = both.mapInArrow(_cross, "a long, b long, near_a double, near_b double")
-    return written(made.groupBy("a", "b").agg(F.max("near_a").alias("near_a"), F.max("near_b").alias("near_b")))
-
-
-def _derived(undecided: DataFrame, lists: DataFrame, of_root: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """``a, b``: links between followers of roots that are no link themselves (``a, b, near_a, near_b, far``).
-
-    By the triangle inequality, a follower of ``a`` can only be linked with one of ``b`` if it is at most as far
-    from ``b`` as a link and the farthest follower of ``b``. So a follower's answers come from those of
-    its root: only those that this leaves open are measured against the other root, and only those
-    that are near it too are compared with each other, where they meet in a list.
-    """
-    members = of_root.select("sid", "root", "near").union(undecided.select(F.explode(F.array("a", "b")).alias("sid")).distinct().select("sid", F.col("sid").alias("root"), F.lit(0.0).alias("near")))
-    sides = []
-    for own, other in (("a", "b"), ("b", "a")):
-        rows = undecided.join(members.withColumnRenamed("root", own), own).where(F.col("near") >= F.col("far") - FAR - F.col(f"near_{other}") - ROUNDING)
-        known = rows.where(F.col("sid") == F.col(own)).select("sid", "near", "a", "b", F.col("far").alias("off"), F.lit(False).alias("linked"))
-        asked = rows.where(F.col("sid") != F.col(own)).select(F.col("sid").alias("a"), F.col(other).alias("b"), "near", F.col("a").alias("root_a"), F.col("b").alias("root_b"), F.col(f"near_{other}").alias("slack"))
-        told = _overlaps(asked, texts, size).where(F.col("far") <= FAR + F.col("slack") + ROUNDING)
-        sides.append(written(known.union(told.select(F.col("a").alias("sid"), "near", F.col("root_a").alias("a"), F.col("root_b").alias("b"), F.col("far").alias("off"), "linked"))))
-    left, right = sides
-    found = left.where("linked").select(F.col("sid").alias("x"), F.col("b").alias("y")).union(right.where("linked").select(F.col("sid").alias("x"), F.col("a").alias("y")))
-    x, y = (s.join(lists, "sid").select("a", "b", "token", F.struct("sid", "near", "off", "n", "pos").alias(k)) for s, k in ((left, "x"), (right, "y")))
-    near = (F.col("x.off") <= FAR + F.col("y.near") + ROUNDING) & (F.col("y.off") <= FAR + F.col("x.near") + ROUNDING)
-    pairs = x.join(y, ["a", "b", "token"]).where(near).where(_possible("x", "y")).select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct()
-    last = _overlaps(pairs, texts, size).where("linked").select("a", "b")
-    return written(found.select(F.col("x").alias("a"), F.col("y").alias("b")).union(last))
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        token = table.column("token").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
+        for a, b in zip(cuts, cuts[1:]):
+            if held and held[0].column("token")[0].as_py() != token[a]:
+                yield from pairs(pa.concat_tables(held))
+                held = []
+            held.append(table.slice(a, b - a))
+    if held:
+        yield from pairs(pa.concat_tables(held))
+
+
+def _labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
+    """``lists`` with the component of each set; lists that touch one component only are done and left out."""
+    rows = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    open_ = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
+    return rows.join(open_, "token", "left_semi")
+
+
+def _best_partners(rows: DataFrame) -> DataFrame:
+    """``a, b``: for each set, of the members of another component that stand earliest in its lists, the earliest."""
+    rows = rows.select("token", "comp", F.struct("pos", "n", "sid", "comp").alias("x"))
+    first = rows.groupBy("token").agg(F.min("x").alias("p"))
+    rows = rows.join(first, "token")
+    second = rows.where("comp <> p.comp").groupBy("token").agg(F.min("x").alias("q"))
+    rows = rows.join(second, "token").select("x", F.when(F.col("p.comp") != F.col("comp"), F.col("p")).otherwise(F.col("q")).alias("p")).where(_possible("x", "p"))
+    return rows.groupBy(F.col("x.sid").alias("a")).agg(F.min(F.struct("p.pos", "p.sid")).alias("p")).select("a", F.col("p.sid").alias("b"))
 
 
 def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> DataFrame:
@@ -267,12 +191,11 @@ def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> Dat
 
     - Equal sets are one set.
     - Index lists are built for the first fifth of each set in one order, common shingles last. They are
-      sorted by size and place and cut into blocks; bounds of two blocks tell whether any
-      of their members can be linked, else the one is skipped for the other as a whole.
-    - Answers are shared: a set first tries the least set of the lists it is in. If they are linked, it follows that
-      root and leaves the lists; what the root is linked with is in its component already. Roots alone, and
-      only those of different components, are joined, with the distance that followers may add; where two roots are no link but so near that followers
-      might be, those followers' answers are derived from the root's by the differences (``_derived``).
+      sorted by size and place; in each block of one size all places beyond a bound are skipped (``_cross``).
+    - A set first tries the member of its lists that stands earliest in the order, the one with
+      the least of its own before what they share. If they are linked, it takes that set's answers over by
+      joining its component, and only pairs that lead to other components
+      are looked at for it. What is left after these rounds is compared in full.
 
     Candidates are checked on whole sets; their texts are read once through a fixed-size filter. A null or
     empty text has an empty set, linked with nothing, as is a row with null doc_id (its component_id is null).
@@ -298,39 +221,24 @@ def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> Dat
     texts = docs.where("doc_id is not null").withColumn("h", F.xxhash64("doc_id", "sig")).mapInArrow(candidates, "doc_id long, text string, sig long")
     texts = written(texts.join(asked, ["doc_id", "sig"]).select("sid", "text").dropDuplicates(["sid"]))
 
-    of_root = _followers(lists, texts, size)
-    links = of_root.select(F.col("sid").alias("a"), F.col("root").alias("b"))
-    if tied:  # rows that share a doc_id tie their sets together
-        of_doc = linkable.join(classes.select("hi", "lo", "n", "sid"), ["hi", "lo", "n"]).groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("s"))
-        links = links.union(of_doc.where(F.size("s") > 1).select("a", F.explode("s").alias("b")).where("a <> b"))
-    links = written(links)
-    comps = components(links)
-
-    # the members of one root are one entry of a list
-    entries = lists.join(of_root, "sid", "left").withColumn("root", F.coalesce("root", "sid")).withColumn("near", F.coalesce("near", F.lit(0.0)))
-    entries = entries.groupBy("token", "root").agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"), F.max(F.col("n") - F.col("pos")).alias("rest"), F.max("near").alias("near"))
-    apart, tested = _apart(entries, comps), None
-    for _ in range(ROUNDS):
-        pairs = _tries(apart, tested)
+    # rows that share a doc_id tie their sets together
+    of_doc = linkable.join(classes.select("hi", "lo", "n", "sid"), ["hi", "lo", "n"]).groupBy("doc_id").agg(F.min("sid").alias("a"), F.collect_set("sid").alias("s"))
+    ties = of_doc.where(F.size("s") > 1).select("a", F.explode("s").alias("b")).where("a <> b")
+    links = written(ties if tied else ties.where("false"))
+    comps, tested = components(links), None
+    for full in [False] * ROUNDS + [True]:
+        rows = _labelled(lists, comps)
+        if full:
+            rows = rows.repartition(n, "token").sortWithinPartitions("token", "n", "pos").select("token", "sid", "n", "pos", "comp").mapInArrow(_cross, "a long, b long")
+        else:
+            rows = _best_partners(rows)
+        pairs = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         if pairs.isEmpty():
-            break
+            continue
+        links = links.union(_linked(pairs, texts, size))
         tested = pairs if tested is None else tested.union(pairs)
-        new = _overlaps(pairs, texts, size).where("linked").select("a", "b")
-        if not new.isEmpty():
-            links = links.union(new)
-            comps = components(links)
-            apart = _apart(apart.drop("comp"), comps)
-
-    measured = _overlaps(_root_pairs(apart), texts, size)
-    links = links.union(measured.where("linked").select("a", "b"))
-    comps = components(links)
-    undecided = measured.where(~F.col("linked") & (F.col("far") <= FAR + F.col("near_a") + F.col("near_b") + ROUNDING)).drop("linked")
-    if not undecided.isEmpty():
-        a, b = (comps.select(F.col("node").alias(k), F.col("comp").alias(f"comp_{k}")) for k in "ab")
-        undecided = undecided.join(a, "a", "left").join(b, "b", "left").where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).drop("comp_a", "comp_b")
-        more = _derived(written(undecided), lists, of_root, texts, size)
-        if not more.isEmpty():
-            comps = components(links.union(more))
+        comps = written(components(links))
 
     named = classes.select("hi", "lo", "n", "doc_id", "sig", "sid").join(comps.select(F.col("node").alias("sid"), "comp"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     first = named.groupBy("comp").agg(F.min(F.struct("doc_id", "sig")).alias("first"))

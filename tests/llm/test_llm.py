@@ -91,31 +91,22 @@ def test_jaccard_chains_and_borders(spark):
     assert rows_of(similar_components(frame), "doc_id", "n_shingles", "component_id") == brute.jaccard(rows)
 
 
-def test_jaccard_derives_answers_of_followers(spark):
-    """Families around centres of which some are no link but have members that are; in blocks of two, too."""
-    from glossmill.llm import jaccard as J
-
-    rng, rows = random.Random(8), []
-    for base in range(6):
-        center = [f"b{base}x{i}" for i in range(60)]
-        for shift in range(4):  # centres 8 words apart each
-            text = [f"s{base}y{i}" if i < 8 * shift else w for i, w in enumerate(center)]
-            rows.append((len(rows) * 37 % 509, " ".join(text)))
-            for _ in range(12):
-                other = list(text)
-                for _ in range(rng.randint(0, 2)):
-                    other[rng.randrange(60)] = f"n{len(rows)}"
-                if rng.random() < 0.4:
-                    at = 8 * shift + rng.randrange(1, 8)
-                    other[:at] = [f"s{base}y{i}" for i in range(at)]
-                rows.append((len(rows) * 37 % 509, " ".join(other)))
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    expected, block = brute.jaccard(rows), J.BLOCK
-    try:
-        for J.BLOCK in (block, 2):
-            assert rows_of(J.similar_components(frame), "doc_id", "n_shingles", "component_id") == expected
-    finally:
-        J.BLOCK = block
+def test_jaccard_skips_no_link_within_blocks(spark):
+    """Sets of few sizes that share their rarest shingles at all places: pairs of a list against the plain bounds."""
+    import numpy as np
+    import pyarrow as pa
+
+    from glossmill.llm.jaccard import _cross
+
+    rng = np.random.default_rng(6)
+    n = np.sort(rng.integers(20, 40, 300))
+    pos = rng.integers(0, n // 5 + 1)
+    order = np.lexsort((pos, n))
+    n, pos, sid, comp = n[order], pos[order], rng.permutation(300), rng.integers(0, 40, 300)
+    batch = pa.RecordBatch.from_pydict({"token": np.zeros(300, np.int64), "sid": sid, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "comp": comp})
+    got = [tuple(sorted(p)) for b in _cross(iter([batch])) for p in zip(*(b.column(c).to_pylist() for c in "ab"))]
+    can = lambda i, j: comp[i] != comp[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
+    assert sorted(got) == sorted(tuple(sorted((int(sid[i]), int(sid[j])))) for i in range(300) for j in range(i) if can(i, j))
 
 
 def test_rules(spark, sf, docs, edge, empty):
