@@ -41,11 +41,13 @@ def _strip(text: Column, chars: str) -> Column:
 def repeated_words(words: Column, size: int = 8) -> Column:
     """Words inside windows of ``size`` words that occur twice or more in the array, the first included.
 
-    Windows are hashed; where no hash repeats, nothing more is done. Otherwise (hash, place)
+    Each word is hashed once, and windows by the hashes of their words; where no hash repeats, nothing more is done. Otherwise (hash, place)
     pairs are sorted, neighbours with equal hashes give the places, and one fold over the sorted
     places adds up what they cover, so the work is n log n for any length.
     """
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+
+    def windows(hashed: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.size(hashed) - size), lambda i: F.xxhash64(*(F.get(hashed, i + j) for j in range(size))))
 
     def covered(hashes: Column) -> Column:
         pairs = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
@@ -59,7 +61,7 @@ def repeated_words(words: Column, size: int = 8) -> Column:
         fold = lambda at: F.aggregate(at, start, lambda s, i: F.struct(i.alias("last"), (s["n"] + F.least(F.lit(size), i - s["last"])).alias("n")))["n"]
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0).cast("long")).otherwise(fold(_let(pairs, places)))
 
-    return F.when(F.size(words) < size + 1, F.lit(0).cast("long")).otherwise(_let(windows, covered))
+    return F.when(F.size(words) < size + 1, F.lit(0).cast("long")).otherwise(_let(_let(F.transform(words, lambda w: F.xxhash64(w)), windows), covered))
 
 
 def compiled(table: tuple, features: dict[str, Column]) -> Column:
@@ -97,7 +99,6 @@ def quality_rules(docs: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
         n(F.size(F.filter("words", lambda w: F.rtrim(F.lower(w), F.lit(".,")).isin(stop)))).alias("n_stop"),
         n(F.length("text") - F.length(_strip(F.col("text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ"))).alias("n_upper"),
         n(F.size(F.filter("lines", lambda line: F.length(line) < 20))).alias("n_short_lines"),
-        n(F.array_max(F.transform("lines", F.length))).alias("longest_line"),
     )
     c = F.col
     features = {
@@ -108,7 +109,6 @@ def quality_rules(docs: DataFrame, thresholds: tuple = THRESHOLDS) -> DataFrame:
         "stop_ratio": F.try_divide("n_stop", "n_words"),
         "dup_line_ratio": F.try_divide("n_dup_lines", "n_lines"),
         "short_line_ratio": F.try_divide("n_short_lines", "n_lines"),
-        "longest_line_share": F.try_divide("longest_line", "word_chars"),
     }
     failed = (c("n_words") < 20) | (100 * c("n_repeat_words") > 30 * c("n_words"))
     ratios = [v.alias(k) for k, v in features.items() if k != "n_words"]
