@@ -42,13 +42,13 @@ def contains_any(text: Column, keywords: list[str]) -> Column:
 
 def or_query(keywords: Column) -> Column:
     """``a, b`` becomes ``a OR b``."""
-    return F.array_join(F.transform(F.split(keywords, ","), F.trim), " OR ")
+    return F.array_join(F.transform(F.split(keywords, ","), lambda k: F.trim(k)), " OR ")
 
 
 def model_input(title: Column | None, body: Column, most: int = 512) -> Column:
-    """Title, a full stop and the head of the body; what is missing in a row reads ``nan``, a missing title column is empty."""
-    said = F.lit("") if title is None else F.concat(F.coalesce(title, F.lit("nan")), F.lit(". "))
-    return F.concat(said, F.substring(F.coalesce(body, F.lit("nan")), 1, most))
+    """Title, a full stop and the head of the body; what is missing in a row reads ``nan``, a missing title column is an empty title."""
+    said = F.lit("") if title is None else F.coalesce(title, F.lit("nan"))
+    return F.concat(said, F.lit(". "), F.substring(F.coalesce(body, F.lit("nan")), 1, most))
 
 
 def stars(p: Column) -> Column:

@@ -12,8 +12,9 @@ OUTLETS = {
     "guardian": "guardian", "the guardian": "guardian", "daily express": "express", "express": "express", "the independent": "independent",
     "independent": "independent", "daily mirror": "mirror", "mirror": "mirror",
 }
-#: What to look for in file names, in order.
-FILE_HINTS = ("guardian", "express", "independent", "mirror", "star")
+#: What to look for in file names, in order, when features are made, and when texts are cleaned.
+FILE_HINTS = ("guardian", "express", "independent", "mirror")
+CLEANING_HINTS = ("express", "independent", "guardian", "star", "mirror")
 
 
 def require_columns(df: DataFrame, names: list[str], on_missing: str = "error") -> bool:
@@ -59,10 +60,10 @@ def match_rate(joined: DataFrame, label: str) -> DataFrame:
     return joined.agg(F.count("*").alias("n_rows"), F.count(label).alias("n_matched"), F.round(F.try_divide(F.count(label), F.count("*")), 6).alias("match_rate"))
 
 
-def outlet_of_file(name: Column) -> Column:
+def outlet_of_file(name: Column, hints: tuple[str, ...] = FILE_HINTS) -> Column:
     """The first hint in a file's name, else its stem."""
     lowered = F.lower(F.element_at(F.split(name, "/"), -1))
-    return F.coalesce(*[F.when(F.contains(lowered, F.lit(h)), F.lit(h)) for h in FILE_HINTS], F.regexp_replace(lowered, r"\.[^.]*$", ""))
+    return F.coalesce(*[F.when(F.contains(lowered, F.lit(h)), F.lit(h)) for h in hints], F.regexp_replace(lowered, r"\.[^.]*$", ""))
 
 
 def canonical_outlet(df: DataFrame, hint: str | None = None, outlets: dict[str, str] = OUTLETS) -> DataFrame:
@@ -73,12 +74,21 @@ def canonical_outlet(df: DataFrame, hint: str | None = None, outlets: dict[str,
 
 
 def in_month(date: Column, year: Column, month: Column, sitemap_date: Column | None = None) -> Column:
-    """Whether a date string (or, where it is missing, the sitemap's) lies in the target month; what can't be read doesn't."""
-    found = date if sitemap_date is None else F.coalesce(F.nullif(sitemap_date, F.lit("")), date)
-    parts = F.substring(found, 1, 4).try_cast("int"), F.substring(found, 6, 2).try_cast("int")
+    """Whether the date string found in a page lies in the target month; what can't be read doesn't.
+
+    For an outlet whose dates come from the sitemap (``sitemap_date`` is given) the month isn't tested and every row stays.
+    """
+    if sitemap_date is not None:
+        return F.lit(True)
+    parts = F.substring(date, 1, 4).try_cast("int"), F.substring(date, 6, 2).try_cast("int")
     return F.coalesce((parts[0] == year) & (parts[1] == month), F.lit(False))
 
 
+def article_day(date: Column, sitemap_date: Column | None = None) -> Column:
+    """The date of an article: the sitemap's, if there is such a column and it says one, else the page's."""
+    return date if sitemap_date is None else F.coalesce(F.nullif(sitemap_date, F.lit("")), date)
+
+
 def stance_label(pro: Column, anti: Column, margin: float = 0.1) -> Column:
     """Neutral within the margin, else the larger score's side; on unrounded scores."""
     return F.when(F.abs(pro - anti) < margin, "neutral").when(pro > anti, "pro").when(pro.isNotNull() & anti.isNotNull(), "anti")

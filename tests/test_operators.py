@@ -287,3 +287,20 @@ def test_stream_equals_batch(spark, tmp_path):
     whole = article_features(usable(clean(frame))).select(got.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
     assert spark.read.parquet(at["ledger"]).count() == 30
+
+
+def test_model_input_or_query_and_labels(spark):
+    rows = spark.createDataFrame([("t", "b"), (None, "b"), ("t", None)], "title string, body string")
+    assert [r[0] for r in rows.select(text.model_input(F.col("title"), F.col("body"))).collect()] == ["t. b", "nan. b", "t. nan"]
+    assert [r[0] for r in rows.select(text.model_input(None, F.col("body"))).collect()] == [". b", ". b", ". nan"]
+    assert spark.range(1).select(text.or_query(F.lit("a, b,c"))).first()[0] == "a OR b OR c"
+    assert [r[0] for r in rows.select(text.labelled(F.col("body"), {"b": "Body"})).collect()] == ["Body", "Body", None]
+
+
+def test_dates_and_outlets_of_both_kinds_of_source(spark):
+    days = spark.createDataFrame([("2016-04-01", "2016-03-09"), ("2016-04-01", ""), (None, None)], "d string, s string")
+    assert all(r[0] for r in days.select(tables.in_month(F.col("d"), F.lit(2016), F.lit(3), F.col("s"))).collect())
+    assert [r[0] for r in days.select(tables.article_day(F.col("d"), F.col("s"))).collect()] == ["2016-03-09", "2016-04-01", None]
+    names = spark.createDataFrame([("/x/Star_2020.csv",), ("a/express_star.csv",)], "f string")
+    assert [r[0] for r in names.select(tables.outlet_of_file(F.col("f"))).collect()] == ["star_2020", "express"]
+    assert [r[0] for r in names.select(tables.outlet_of_file(F.col("f"), tables.CLEANING_HINTS)).collect()] == ["star", "express"]
