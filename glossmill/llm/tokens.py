@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from . import words as W
 from .scratch import written
 
-#: Pre-tokens, the most frequent ones, whose counts every task holds: at most 16 bytes each. The others are joined by a shuffle.
+#: White-space runs, the most frequent ones, whose counts every task holds: at most 16 bytes each. The others are joined by a shuffle.
 HELD = 1 << 18
-#: White-space runs whose pre-tokens a worker remembers, before it starts afresh.
-REMEMBERED = 300_000
+#: Runs of ASCII characters given to the pre-tokenizer at once.
+AT_ONCE = 2_000
 _PROBE = ("a", "don't", "12", "#*(", "é", "é", "́x", "I'LL", "​z", "六七", "x_y-z", ",.", "\x00q")
 
 
@@ -56,6 +56,33 @@ class Vocabulary:
             at = m.end()
         return out + self._split(run[at:])
 
+    def of_all(self, runs: list[str]) -> list[list[str]]:
+        """Pre-tokens of each run. Those of ASCII characters without a special string go together, joined by blanks, at which pre-tokens end."""
+        out: list[list[str]] = [[] for _ in runs]
+        plain = []
+        for i, run in enumerate(runs):
+            if run.isascii() and not (self.special and self.special.search(run)):
+                plain.append(i)
+            else:
+                out[i] = self.pre_tokens(run)
+        t = self.tokenizer
+        for k in range(0, len(plain), AT_ONCE):
+            some = plain[k : k + AT_ONCE]
+            text = " ".join(runs[i] for i in some)
+            text = t.normalizer.normalize_str(text) if t.normalizer else text
+            ends = [m.start() for m in re.finditer(" ", text)]
+            if len(ends) != len(some) - 1 or t.pre_tokenizer is None:  # this normalizer adds or removes blanks
+                for i in some:
+                    out[i] = self.pre_tokens(runs[i])
+                continue
+            place = 0
+            ends.append(len(text))
+            for p, (start, _) in t.pre_tokenizer.pre_tokenize_str(text):
+                while start > ends[place]:
+                    place += 1
+                out[some[place]].append(p)
+        return out
+
     def pieces(self, pre_token: str) -> int:
         return 1 if pre_token.startswith(" ") else len(self.tokenizer.model.tokenize(pre_token))
 
@@ -69,39 +96,15 @@ def _loaded(path: str) -> Vocabulary:
     return _LOADED[path]
 
 
-def _name(pre_tokens: list[str]) -> np.ndarray:
-    """64-bit hashes of pre-tokens."""
-    data = [p.encode() for p in pre_tokens]
-    ends = np.cumsum([len(d) for d in data], dtype=np.int64)
-    raw = np.frombuffer(b"".join(data), np.uint8)
-    return W.hashes(W.Words(raw, ends - np.array([len(d) for d in data], np.int64), ends, np.array([0, len(data)])))
-
-
-def _of_runs(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, W.Words, np.ndarray, list[list[str]]]]:
-    """Of each batch: its words, for each the place of its run among the batch's distinct runs, and the pre-tokens of those."""
-    vocabulary, known = _loaded(path), {}
-    for batch in W.small(batches):
-        words = W.split(batch.column("text"))
-        keys, first, inverse = np.unique(W.hashes(words), return_index=True, return_inverse=True)
-        if len(known) > REMEMBERED:
-            known.clear()
-        found = []
-        for key, i in zip(keys.tolist(), first.tolist()):
-            got = known.get(key)
-            if got is None:
-                got = known[key] = vocabulary.pre_tokens(words.text(i).decode("utf-8", "replace"))
-            found.append(got)
-        yield batch, words, inverse, found
-
-
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, held: int = HELD) -> DataFrame:
     """Bytes and tokens of every whole text: ``doc_id, n_bytes, n_tokens, over_limit``.
 
-    1. Pre-tokens, as the vocabulary's own normalizer and pre-tokenizer give them, are counted over all
-       documents; each distinct one is taken apart into pieces once, and only their number is kept.
-    2. The number of pieces is joined to the pre-token frequencies of each document: in arrays for
-       the ``held`` most frequent pre-tokens (a table of bounded size in every task), by a
-       shuffle of (row, pre-token, frequency) for the others; then summed by document.
+    1. Distinct runs without white space are taken apart into pre-tokens, as the vocabulary's own normalizer and
+       pre-tokenizer give them; each distinct pre-token is taken apart into pieces once, and only
+       their number is kept. A run has the sum over its pre-tokens.
+    2. These numbers are joined to the frequencies of each document: in arrays for the ``held`` most frequent
+       runs (a table of bounded size in every task), by a shuffle of (row, run, frequency) for
+       the others; then summed by document.
 
     ``tokenizer`` is the path of a ``.json`` vocabulary of the tokenizers library, there on each
     machine. One whose pre-tokens reach across white space, or whose added tokens depend on their surroundings, is
@@ -109,28 +112,35 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, held: int =
 
     Special strings inside texts count as the library takes them by default. A null or empty
     text has 0 bytes and tokens; a null doc_id stays null; repeated rows give repeated rows;
-    further columns are ignored. Pre-tokens are joined by 64-bit hashes.
+    further columns are ignored. Runs are joined by 64-bit hashes.
     """
     spark = docs.sparkSession
     _loaded(tokenizer)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, inverse, found in _of_runs(batches, tokenizer):
-            total: dict[str, int] = {}
-            for pre_tokens, n in zip(found, np.bincount(inverse, minlength=len(found)).tolist()):
-                for p in pre_tokens:
-                    total[p] = total.get(p, 0) + n
-            yield pa.RecordBatch.from_pydict({"pre_token": pa.array(total, pa.string()), "n": pa.array(total.values(), pa.int64())})
+        for batch in W.small(batches):
+            words = W.split(batch.column("text"))
+            name, first, n = np.unique(W.hashes(words), return_index=True, return_counts=True)
+            runs = [words.text(i).decode("utf-8", "replace") for i in first.tolist()]
+            yield pa.RecordBatch.from_pydict({"name": pa.array(W.signed(name), pa.int64()), "run": pa.array(runs, pa.string()), "n": pa.array(n, pa.int64())})
+
+    def pre_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _loaded(tokenizer)
+        for batch in batches:
+            found = vocabulary.of_all(batch.column("run").to_pylist())
+            yield pa.RecordBatch.from_pydict({"name": batch.column("name"), "n": batch.column("n"), "pre_tokens": pa.array(found, pa.list_(pa.string()))})
 
     def taken_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _loaded(tokenizer)
         for batch in batches:
-            names = batch.column("pre_token").to_pylist()
-            yield pa.RecordBatch.from_pydict({"name": pa.array(W.signed(_name(names)), pa.int64()), "n": batch.column("n"), "pieces": pa.array([vocabulary.pieces(p) for p in names], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"pre_token": batch.column("pre_token"), "pieces": pa.array([vocabulary.pieces(p) for p in batch.column("pre_token").to_pylist()], pa.int64())})
 
-    counted = docs.mapInArrow(distinct, "pre_token string, n long").groupBy("pre_token").agg(F.sum("n").alias("n"))
-    counted = written(counted.mapInArrow(taken_apart, "name long, n long, pieces long"))
+    runs = docs.mapInArrow(distinct, "name long, run string, n long").groupBy("name", "run").agg(F.sum("n").alias("n"))
+    runs = written(runs.mapInArrow(pre_tokens, "name long, n long, pre_tokens array<string>"))
+    each = runs.select("name", "n", F.explode("pre_tokens").alias("pre_token"))
+    apart = each.select("pre_token").distinct().mapInArrow(taken_apart, "pre_token string, pieces long")
+    counted = written(each.join(apart, "pre_token").groupBy("name").agg(F.first("n").alias("n"), F.sum("pieces").alias("pieces")))
     top = counted.orderBy(F.col("n").desc(), "name").limit(held).select("name", "pieces").toArrow()
     names, pieces = top.column("name").to_numpy().view(np.uint64), top.column("pieces").to_numpy()
     order = np.argsort(names)
@@ -138,27 +148,20 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, held: int =
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, pieces = frequent.value
-        for batch, words, inverse, found in _of_runs(batches, tokenizer):
-            sizes = np.array([len(f) for f in found], np.int64)
-            flat = _name([p for f in found for p in f])
-            at = np.minimum(np.searchsorted(names, flat), max(len(names) - 1, 0))
-            hit = names[at] == flat if len(names) else np.zeros(len(flat), bool)
-            run = np.repeat(np.arange(len(found)), sizes)
-            sure = np.zeros(len(found), np.int64)
-            np.add.at(sure, run[hit], pieces[at[hit]])
-            total = np.concatenate([[0], np.cumsum(sure[inverse])])
-            rare: list[list] = [[] for _ in range(batch.num_rows)]
-            missed: dict[int, list[int]] = {}
-            for r, name in zip(run[~hit].tolist(), W.signed(flat[~hit]).tolist()):
-                missed.setdefault(r, []).append(name)
-            if missed:
-                doc = words.doc_of()
-                for w in np.flatnonzero(np.isin(inverse, list(missed))).tolist():
-                    rare[doc[w]] += missed[int(inverse[w])]
+        for batch in W.small(batches):
+            words = W.split(batch.column("text"))
+            run = W.hashes(words)
+            at = np.minimum(np.searchsorted(names, run), max(len(names) - 1, 0))
+            hit = names[at] == run if len(names) else np.zeros(len(run), bool)
+            sure = np.zeros(len(run), np.int64)
+            sure[hit] = pieces[at[hit]]
+            total = np.concatenate([[0], np.cumsum(sure)])
+            rare = np.concatenate([[0], np.cumsum(~hit)])[words.offsets]
             _, bytes_at = W.utf8(batch.column("text"))
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"), "n_bytes": pa.array(np.diff(bytes_at), pa.int64()),
-                "sure": pa.array(np.diff(total[words.offsets]), pa.int64()), "rare": pa.array(rare, pa.list_(pa.int64())),
+                "sure": pa.array(np.diff(total[words.offsets]), pa.int64()),
+                "rare": pa.ListArray.from_arrays(pa.array(rare, pa.int32()), pa.array(W.signed(run[~hit]), pa.int64())),
             })
 
     rows = written(docs.mapInArrow(joined, "doc_id long, n_bytes long, sure long, rare array<long>").withColumn("row", F.monotonically_increasing_id()))
