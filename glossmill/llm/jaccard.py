@@ -167,7 +167,7 @@ def _labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """``lists`` with the component of each set; lists that touch one component only are done and left out."""
     rows = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
     open_ = rows.groupBy("token").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most").select("token")
-    return rows.join(open_, "token", "left_semi")
+    return written(rows.join(open_, "token", "left_semi"))  # read four times in a round
 
 
 def _best_partners(rows: DataFrame) -> DataFrame:
