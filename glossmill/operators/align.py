@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 LAST_DAY = 28  #: windows end on this day of the quarter's last month
 
 
+#: Outlets in the order they are shown in, and how they are called there.
+SHOWN = {"guardian": "The Guardian", "independent": "The Independent", "express": "Daily Express", "mirror": "Daily Mirror"}
+
+
 def article_date(date: Column) -> Column:
     """The first ten characters as a date; null where they are none."""
     return F.try_to_date(F.substring(date.cast("string"), 1, 10), "yyyy-MM-dd")
@@ -85,3 +89,14 @@ def stacked(shares: DataFrame, order: list[str], group: str = "outlet", label_ab
 
 def pivoted(shares: DataFrame, parts: list[str], group: str = "outlet") -> DataFrame:
     return shares.groupBy(group).pivot("subcategory", parts).agg(F.first("share"))
+
+
+def dual_series(aligned: DataFrame, value: str, outcome: str, group: str = "outlet", shown: dict[str, str] = SHOWN, per: float = 1000.0, broke: str = "2020-03-01") -> DataFrame:
+    """Two series on two axes by quarter, ready to plot: the outcome in thousands, a panel's place and title, and whether the
+    quarter is from before the measure changed. Groups that are not shown go.
+    """
+    names = F.array(*map(F.lit, shown))
+    date = F.make_date("quarter_end_year", "quarter_end_month", F.lit(1))
+    rows = aligned.where(F.col(group).isin(list(shown))).withColumn("date", date)
+    title = F.element_at(F.array(*map(F.lit, shown.values())), F.array_position(names, F.col(group)).cast("int"))
+    return rows.select(F.array_position(names, F.col(group)).alias("panel"), title.alias("title"), "date", F.col(value), (F.col(outcome) / per).alias(f"{outcome}_thousands"), (F.col("date") < F.lit(broke).cast("date")).alias("before_break"))

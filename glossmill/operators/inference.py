@@ -204,3 +204,25 @@ def trend_robust(df: DataFrame, value: str, outcome: str, group: str, order: lis
     for k in ("raw", "detrended"):
         out = benjamini_hochberg(out, f"p_{k}", [group]).withColumnRenamed("q", f"q_{k}_fdr").withColumn(f"{k}_survives_fdr", F.coalesce(F.col(f"q_{k}_fdr") < 0.05, F.lit(False)))
     return out
+
+
+def subcategory_family(df: DataFrame, features: list[str], outcome: str, group: str, order: list[str], least: int = 5) -> DataFrame:
+    """Each feature of each group against the outcome, as it is and with a line over time taken off both, as one family of tests.
+
+    Rows without an outcome are left out, and ``n`` counts the others of a group; time is their place in the order. Values
+    that are null don't enter a correlation. ``q_raw_fdr`` comes from the raw p-values to six places, over all groups and features.
+    """
+    rows = df.where(F.col(outcome).isNotNull()).withColumn("_t", F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1)
+    sizes = rows.groupBy(group).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    flat = detrended(rows, outcome, [group], order)
+    long = flat.unpivot([group, "_t", outcome, f"{outcome}_detrended"], features, "subcategory", "value")
+    keys = [group, "subcategory"]
+
+    def named(found: DataFrame, kind: str) -> DataFrame:
+        return found.select(*keys, F.round("rho", 4).alias(f"rho_{kind}"), F.round("p", 6).alias(f"p_{kind}"), stars(F.col("p")).alias(f"sig_{kind}"))
+
+    raw = named(rank_correlation(long, "value", outcome, keys, least), "raw")
+    line = named(rank_correlation(detrended(long, "value", keys, order), "value_detrended", f"{outcome}_detrended", keys, least), "detrended")
+    both = raw.join(line, keys, "left").join(sizes, group).withColumn("sig_detrended", F.coalesce("sig_detrended", F.lit("")))
+    tested = benjamini_hochberg(both, "p_raw", keys).withColumnRenamed("q", "q_raw_fdr")
+    return tested.withColumn("survives_fdr", F.coalesce(F.col("q_raw_fdr") <= 0.05, F.lit(False)))

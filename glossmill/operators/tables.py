@@ -149,6 +149,17 @@ def quota_sample(df: DataFrame, label: str, most: int = 200, floor: int = 10, ke
     return some.orderBy(F.xxhash64(F.col(key), F.lit(seed + 1)), F.col(key)).limit(most).drop("_h", "_part", "_r", "_quota").withColumn("human_label", F.lit(""))
 
 
+def stance_sample(scored: DataFrame, stance: DataFrame, key: str = "url", order: str = "url", most: int = 200, floor: int = 10, seed: int = 42) -> DataFrame:
+    """Judged articles with their bodies, drawn by stance label, with an empty column for a reader's label.
+
+    An article that was never scored is not drawn. Only keys are joined before the draw; bodies are read for the rows drawn,
+    each from the first scored row of its key by ``order``.
+    """
+    drawn = quota_sample(stance.join(scored.select(key), key, "left_semi"), "stance_label", most, floor, key, seed)
+    bodies = first_rows(scored.join(drawn.select(key), key, "left_semi").select(*dict.fromkeys([key, "outlet", "body", order])), key, order)
+    return drawn.join(bodies, key).select("outlet", key, "body", "pro_score", "anti_score", "stance_label", "human_label")
+
+
 def top_by_size(df: DataFrame, value: str, n: int, *ties: str) -> DataFrame:
     """The ``n`` rows of the largest absolute value."""
     return df.orderBy(F.abs(F.col(value)).desc_nulls_last(), *ties).limit(n)

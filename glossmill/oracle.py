@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .operators.cleaning import HEADLINE_BLOCK, NEXT_BLOCK, ROUTES, RULES, Rule
+from .operators.lexicons import DEHUMANISATION, OUTRAGE, Term
+from .queries import BOILERPLATE
+
 _WORDS = "len(regexp_extract_all(coalesce({0}, ''), '[^\\s\\x0B\\x{{85}}\\p{{Z}}]+'))"
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
 _SINGLE = "['the','of','and','to','in','is','that','it','for','with']"
@@ -96,3 +100,85 @@ ORACLE_SQL: dict[str, str] = {
     "modal_pronoun_markers": "select doc_id, len(list_filter(k, lambda t: t = 'the')) modal_certainty_count, len(list_filter(k, lambda t: t = 'of')) pron_ingroup_count, len(list_filter(k, lambda t: t = 'and')) pron_outgroup_count, len(list_filter(k, lambda t: t = 'to' or t = 'in')) modal_hedging_count from (select doc_id, regexp_extract_all(text, '\\p{L}+') k from documents where lang = 'en')",
     "page_paragraphs": "with p as (select page_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) l from pages) select page_id, length(array_to_string(l, chr(10))) chars, md5(array_to_string(l, chr(10))) digest from p",
 }
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _put(items: list[str], key: str) -> str:
+    return f"([{', '.join(map(_quoted, items))}])[({key}) % {len(items)} + 1]"
+
+
+def _found(terms: list[Term]) -> str:
+    """Hits of terms: words among the tokens, phrases as literals."""
+    words = ", ".join(_quoted(t.term) for t in terms if " " not in t.term)
+    phrases = [f"(length(said) - length(replace(said, {_quoted(t.term)}, ''))) // {len(t.term)}" for t in terms if " " in t.term]
+    return " + ".join(["0", *([f"len(list_filter(k, lambda t: list_contains([{words}], t)))"] if words else []), *phrases])
+
+
+def _lexicon_sql(terms: list[Term], groups: dict[str, list[Term]], counts: tuple[str, ...], rates: dict[str, str]) -> str:
+    names = [t.term for t in terms]
+    texts = f"said0 as (select doc_id, lower(concat_ws(' ', coalesce(text, ''), {_put(names, 'doc_id')}, {_put(names, 'doc_id * 7 + 3')}, {_put(names, 'doc_id * 11 + 5')})) said from documents)"
+    tokens = "said1 as (select *, regexp_extract_all(said, '[\\p{L}\\p{N}_]+') k, " + _WORDS.format("said") + " w from said0)"
+    hits = f"found as (select doc_id, w, {', '.join(f'({_found(t)})::bigint {g}' for g, t in groups.items())} from said1)"
+    rate = ", ".join(f"coalesce(round({g} / nullif(w / 1000.0, 0), 4), 0) {name}" for name, g in rates.items())
+    return f"with {texts}, {tokens}, {hits} select doc_id, {', '.join(counts)}, {rate} from found"
+
+
+def _of(terms: list[Term], category: str) -> list[Term]:
+    return [t for t in terms if t.category == category]
+
+
+def _rules_sql() -> str:
+    """The rules in the other dialect: white space and words spelt out; a NEXT block as the plain pattern it is."""
+    space = r"\s\x0B\x{85}\p{Z}"
+
+    def pattern(rule: Rule) -> str:
+        if rule.pattern == NEXT_BLOCK:
+            return rf"(?i)\nREAD NEXT(?::|\.{{3}}|…)?(?:[\t\x0B\f\r\x{{85}}\p{{Z}}])*\n+(?:[^\n]+\n?)+"
+        flags = f"(?{rule.flags})" if rule.flags else ""
+        return flags + rule.pattern.replace(r"\s", f"[{space}]").replace(r"\w", r"[\p{L}\p{N}_]")
+
+    columns = []
+    for outlet in ROUTES:
+        text = "said"
+        for r in RULES:
+            if r.outlet == outlet and r.pattern != HEADLINE_BLOCK:
+                to = "chr(10)" if NEXT_BLOCK == r.pattern or r.replacement == "\n" else _quoted(r.replacement)
+                text = f"regexp_replace({text}, {_quoted(pattern(r))}, {to}, 'g')"
+        columns.append(f"md5(regexp_replace({text}, '^[{space}]+|[{space}]+$', '', 'g')) {outlet}")
+    said = f"concat({_put(BOILERPLATE, 'doc_id * 5 + 2')}, coalesce(text, ''), {_put(BOILERPLATE, 'doc_id')}, chr(10), 'The body goes on.', {_put(BOILERPLATE, 'doc_id * 7 + 3')})"
+    return f"with t as (select doc_id, {said} said from documents) select doc_id, {', '.join(columns)} from t"
+
+
+ORACLE_SQL["dehumanisation_features"] = _lexicon_sql(
+    DEHUMANISATION,
+    {"dehum_total": DEHUMANISATION, "dehum_tier1": [t for t in DEHUMANISATION if t.tier == 1], "dehum_tier2": [t for t in DEHUMANISATION if t.tier == 2]}
+    | {c: _of(DEHUMANISATION, c) for c in ("mass_metaphor", "criminalisation", "burden_framing", "threat_framing")},
+    ("dehum_total", "dehum_tier1", "dehum_tier2"),
+    {"dehum_density": "dehum_total", "dehum_tier1_density": "dehum_tier1", "dehum_tier2_density": "dehum_tier2", "dehum_mass_metaphor_density": "mass_metaphor"}
+    | {"dehum_criminalisation_density": "criminalisation", "dehum_burden_density": "burden_framing", "dehum_threat_density": "threat_framing"},
+)
+ORACLE_SQL["outrage_features"] = _lexicon_sql(
+    OUTRAGE,
+    {"outrage_total": OUTRAGE} | {c: _of(OUTRAGE, c) for c in ("moral_condemnation", "institutional_shame", "outrage_intensifier", "tabloid_outrage")},
+    ("outrage_total",),
+    {"outrage_density": "outrage_total", "outrage_condemnation_density": "moral_condemnation", "outrage_shame_density": "institutional_shame"}
+    | {"outrage_intensifier_density": "outrage_intensifier", "outrage_tabloid_density": "tabloid_outrage"},
+)
+ORACLE_SQL["published_rules"] = _rules_sql()
+ORACLE_SQL["subcategory_spearman"] = f"""with {_ALIGNED}, o as (select *, row_number() over (partition by outlet order by y, m) - 1 t from aligned),
+ l as (select outlet, t, net, feature, v from o unpivot (v for feature in (price, rest, sparse))),
+ nets as (select outlet, t, round(net - regr_intercept(net, t) over w - regr_slope(net, t) over w * t, 9) b from o window w as (partition by outlet)),
+ flats as (select l.outlet, feature, b, round(v - regr_intercept(v, t) over w - regr_slope(v, t) over w * t, 9) a from l join nets using (outlet, t) window w as (partition by outlet, feature)),
+ raw as (with {_rho('l', 'v', 'net', 'outlet, feature')} select * from cor), flat as (with {_rho('flats', 'a', 'b', 'outlet, feature')} select * from cor),
+ r as (select raw.outlet, raw.feature, round(raw.rho, 4) rho_raw, round(raw.p, 6) p_raw, {_stars('raw.p')} sig_raw, round(flat.rho, 4) rho_detrended, round(flat.p, 6) p_detrended, {_stars('flat.p')} sig_detrended from raw left join flat using (outlet, feature)),
+ k as (select *, row_number() over (order by p_raw, outlet, feature) i, count(*) over () c from r), q as (select *, round(least(1, min(p_raw * c / i) over (order by i rows between current row and unbounded following)), 6) q_raw_fdr from k)
+ select outlet, feature subcategory, (select count(*) from aligned x where x.outlet = q.outlet) n, rho_raw, p_raw, sig_raw, rho_detrended, p_detrended, sig_detrended, q_raw_fdr, q_raw_fdr <= 0.05 survives_fdr from q"""
+ORACLE_SQL["stance_validation_sample"] = (
+    f"with {_STANCE}, q as (select stance_label, count(*) n, sum(count(*)) over () total from stance group by 1), d as (select stance_label, least(n, greatest(10, floor(200 * n / total)))::bigint n from q) select stance_label, n, n n_urls, n n_same from d"
+)
+ORACLE_SQL["dual_axis_series"] = (
+    f"with {_ALIGNED}, s as (select list_position(['2-HIGH', '1-URGENT', '5-LOW'], outlet)::bigint panel, make_date(y, m, 1) date, * from aligned) select panel, ['High', 'Urgent', 'Low'][panel] title, date, round(rest, 5) rest, net / 1000.0 net_migration_thousands, date < date '1996-06-01' before_break from s where panel > 0"
+)

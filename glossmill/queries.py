@@ -6,14 +6,14 @@ features by outlet (``o_orderpriority``), quarterly sums of ``lineitem`` for the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.text import contains_any, stars, word_count
+from .functions.text import contains_any, stars, word_count, word_tokens
 from .operators import align, inference, tables
-from .operators.cleaning import Rule, apply_rules, clean, cleaning_report
-from .operators.lexicon import lexicon_counts, term_totals
-from .operators.lexicons import PROBE
+from .operators.cleaning import HEADLINE_BLOCK, ROUTES, RULES, Rule, apply_rules, clean, cleaning_report
+from .operators.lexicon import dehumanisation, lexicon_counts, outrage, term_totals
+from .operators.lexicons import DEHUMANISATION, OUTRAGE, PROBE
 from .operators.markers import with_markers
 from .operators.sentences import sentences
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
@@ -291,11 +291,74 @@ def window_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boilerplate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published rules over texts with boilerplate put in."""
     said = F.concat(F.col("body"), F.lit("\nREAD MORE: x\nthe end"))
-    from .operators.cleaning import RULES
-
     return articles(spark, sf_dir).select(F.col("url").alias("doc_id"), *[F.length(apply_rules(said, [r for r in RULES if r.outlet == o])).cast("long").alias(o) for o in ("express", "mirror", "star")])
 
 
+def _put(items: list[str], key: Column) -> Column:
+    """The item that a number falls on."""
+    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(key, F.lit(len(items))) + 1).cast("int"))
+
+
+def _with_terms(spark: SparkSession, sf_dir: str, terms: list) -> DataFrame:
+    """Texts with three terms of the lexicon put in each, their tokens and words."""
+    names, key = [t.term for t in terms], F.col("doc_id")
+    put = F.concat_ws(" ", F.coalesce("text", F.lit("")), _put(names, key), _put(names, key * 7 + 3), _put(names, key * 11 + 5))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.lower(put).alias("lowered"))
+    return rows.withColumns({"tokens": word_tokens(F.col("lowered")), "n_words": word_count(F.col("lowered"))})
+
+
+def dehumanisation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published lexicon, all tiers and categories, over texts with its terms put in."""
+    rows = _with_terms(spark, sf_dir, DEHUMANISATION)
+    found = dehumanisation(F.col("lowered"), F.col("tokens"), F.col("n_words"), DEHUMANISATION)
+    return rows.select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
+def outrage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published lexicon, all categories, over texts with its terms put in."""
+    rows = _with_terms(spark, sf_dir, OUTRAGE)
+    found = outrage(F.col("lowered"), F.col("tokens"), F.col("n_words"), OUTRAGE)
+    return rows.select("doc_id", *[c.alias(k) for k, c in found.items()])
+
+
+#: Boilerplate that the published rules take out, and lines close to it.
+BOILERPLATE = [
+    "\nDON'T MISS: a b", "\nJUST IN: c", "\nRead more: d\nthe end", "\n- Bookmark", "\n- CommentsGo to comments", "\nJoin our commenting forum\nx\nsee their replies\nComments ",
+    "\nDo you have an opinion on the issues raised here? Write.", " Have an opinion on anything you've read today?", "\n• Join the debate – by mail", " Sign up to our weekly email for more. It stays.",
+    "\nSign up here. Get the daily email now! Stays.", "\nTo get more stories, sign up today.", "\nFor the latest breaking news sign up to it", ", sign up for our free Daily Star Hot newsletter now",
+    "\nWant all the biggest news? Sign up. ", ", sign up to one of our newsletters here .", "\nREAD NEXT:\n\nOne line\nTwo lines\n\nGoes on", "\nREAD NEXT...", "\nREAD MORE:  x\nthe end",
+    "\nSign up for all the best news from the Mirror here.", "\nNEWSLETTER: y", "\nREAD MORE: Join our huge WhatsApp group", "\nJoin our WhatsApp now", "\nGet news straight to your WhatsApp",
+    "\nNow the Mirror has launched its very own WhatsApp", "\nWe'll send you the latest on WhatsApp", "\nAll you have to do to join is", "\n* Join The Mirror’s WhatsApp Community here", "\nPARTY GAMES: z", "\nNot a rule: w",
+]
+
+
+def published_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All published rules of the five outlets but the fold over headline blocks, over texts with boilerplate put in."""
+    key = F.col("doc_id")
+    said = F.concat(_put(BOILERPLATE, key * 5 + 2), F.coalesce("text", F.lit("")), _put(BOILERPLATE, key), F.lit("\nThe body goes on."), _put(BOILERPLATE, key * 7 + 3))
+    rules = [r for r in RULES if r.pattern != HEADLINE_BLOCK]
+    cleaned = {o: apply_rules(F.col("said"), [r for r in rules if r.outlet == o]) for o in ROUTES}
+    return table(spark, sf_dir, "documents").select("doc_id", said.alias("said")).select("doc_id", *[F.md5(c.cast("binary")).alias(o) for o, c in cleaned.items()])
+
+
+def subcategory_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inference.subcategory_family(_aligned(spark, sf_dir), FEATURES, "net_migration", "outlet", ["quarter_end_year", "quarter_end_month"])
+
+
+def stance_validation_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles drawn by label; as a hash draws them, labels are counted, and bodies held against those of their articles."""
+    rows = _proxy(spark, sf_dir)
+    drawn = tables.stance_sample(rows.select("url", "outlet", "body"), rows.select("url", "pro_score", "anti_score", "stance_label"))
+    again = drawn.join(rows.select("url", F.md5("body").alias("digest")), "url")
+    same = F.count_if(F.md5("body").eqNullSafe(F.col("digest")))
+    return again.groupBy("stance_label").agg(F.count("*").alias("n"), F.countDistinct("url").alias("n_urls"), same.alias("n_same"))
+
+
+def dual_axis_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shown = {"2-HIGH": "High", "1-URGENT": "Urgent", "5-LOW": "Low"}
+    return align.dual_series(_aligned(spark, sf_dir).withColumn("rest", F.round("rest", 5)), "rest", "net_migration", shown=shown, broke="1996-06-01")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -305,5 +368,6 @@ QUERIES = {
         composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,
         detrended_spearman, first_diff_spearman, bh_fdr, significance_counts, adf_by_group, trend_robustness, confusion_binary, confusion_multiclass,
         stance_label, stratified_sample_sizes, balanced_sample_sizes, score_distribution, sitemap_expand, topic_and_stance, window_share,
+        dehumanisation_features, outrage_features, published_rules, subcategory_spearman, stance_validation_sample, dual_axis_series,
     )
 }
