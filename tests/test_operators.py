@@ -304,3 +304,43 @@ def test_dates_and_outlets_of_both_kinds_of_source(spark):
     names = spark.createDataFrame([("/x/Star_2020.csv",), ("a/express_star.csv",)], "f string")
     assert [r[0] for r in names.select(tables.outlet_of_file(F.col("f"))).collect()] == ["star_2020", "express"]
     assert [r[0] for r in names.select(tables.outlet_of_file(F.col("f"), tables.CLEANING_HINTS)).collect()] == ["star", "express"]
+
+
+def test_subcategory_family_edges(spark):
+    """Nulls leave a correlation, rows without an outcome leave the series, short groups go."""
+    import numpy as np
+
+    from glossmill.operators.inference import subcategory_family
+
+    def ranks(v):
+        return [sum(b < a for b in v) + (sum(b == a for b in v) + 1) / 2 for a in v]
+
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=12), rng.normal(size=12)
+    rows = [("a", i, None if i == 4 else float(x[i]), float(y[i])) for i in range(12)] + [("a", 12, 1.0, None)] + [("b", i, 1.0, 2.0) for i in range(3)]
+    df = spark.createDataFrame(rows, "outlet string, q int, f double, net double")
+    [got] = subcategory_family(df, ["f"], "net", "outlet", ["q"]).collect()
+    t = np.arange(12)
+    keep = t != 4
+    line = lambda v, at: v - np.polyval(np.polyfit(at, v, 1), at)
+    raw = np.corrcoef(ranks(x[keep]), ranks(y[keep]))[0, 1]
+    flat = np.corrcoef(ranks(line(x[keep], t[keep])), ranks(line(y, t)[keep]))[0, 1]
+    assert (got["outlet"], got["n"], got["rho_raw"], got["rho_detrended"]) == ("a", 12, round(raw, 4), round(flat, 4))
+    assert got["q_raw_fdr"] == got["p_raw"]
+
+
+def test_stance_sample_takes_first_bodies(spark):
+    from glossmill.operators.tables import stance_sample
+
+    scored = spark.createDataFrame([("u1", "x", "first", 1), ("u1", "x", "second", 2), ("u2", "y", None, 1)], "url string, outlet string, body string, n int")
+    stance = spark.createDataFrame([("u1", 0.9, 0.1, "pro"), ("u2", 0.2, 0.2, "neutral"), ("u3", 0.1, 0.8, "anti")], "url string, pro_score double, anti_score double, stance_label string")
+    got = {r["url"]: (r["outlet"], r["body"], r["human_label"]) for r in stance_sample(scored, stance, order="n").collect()}
+    assert got == {"u1": ("x", "first", ""), "u2": ("y", None, "")}
+
+
+def test_dual_series_panels(spark):
+    from glossmill.operators.align import dual_series
+
+    df = spark.createDataFrame([("mirror", 2019, 12, 1.5, 2000), ("guardian", 2020, 3, 2.5, None), ("other", 2020, 3, 1.0, 1)], "outlet string, quarter_end_year int, quarter_end_month int, f double, net long")
+    got = sorted((r["panel"], r["title"], str(r["date"]), r["net_thousands"], r["before_break"]) for r in dual_series(df, "f", "net").collect())
+    assert got == [(1, "The Guardian", "2020-03-01", None, False), (4, "Daily Mirror", "2019-12-01", 2.0, True)]
