@@ -19,6 +19,8 @@ from .scratch import partitions, written
 CELL_BITS = 21
 #: Pairs that a task remembers to have handed on, before it starts afresh.
 REMEMBERED = 1_000_000
+#: Members of an index list that a task takes as left sides; longer lists are compared in several tasks.
+LEFT_AT_ONCE = 20_000
 #: Rounds in which sets try one partner only, before all that is left is compared.
 ROUNDS = 3
 
@@ -112,12 +114,13 @@ def _possible(x: str, y: str) -> Column:
 
 
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a list that lead to another component and can be linked; rows come sorted by token, size and place.
+    """All pairs of a list that lead to another component and can be linked; rows come sorted by token, part, size and place.
 
     Members of the list's largest component are not taken as left sides, so what is already one
     component is skipped as a whole. Sets of one size are a block, sorted by place: from the sizes follows
     up to which place a member can be linked, and the rest of the block is skipped by position.
-    Pairs that the task has just handed on are not handed on again.
+    Rows come with ``left``: whether this task takes them as left sides. Pairs that the task has
+    just handed on are not handed on again.
     """
 
     told: set[int] = set()
@@ -125,6 +128,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         if len(told) > REMEMBERED:
             told.clear()
+        left = rows.column("left").to_numpy()
         ids, n, pos, comp = (rows.column(c).to_numpy().astype(np.int64) for c in ("sid", "n", "pos", "comp"))
         names, counts = np.unique(comp, return_counts=True)
         if len(names) < 2:
@@ -132,7 +136,7 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         main = names[counts.argmax()]
         size, first = np.unique(n, return_index=True)  # blocks
         place = (n << 32) + pos
-        for i in np.flatnonzero(comp != main):
+        for i in np.flatnonzero((comp != main) & left):
             block = slice(np.searchsorted(size, -(-4 * int(n[i]) // 5)), np.searchsorted(size, min(5 * int(n[i]) // 4, 9 * int(n[i] - pos[i]) // 4 - int(n[i])), "right"))
             begin, upto = first[block], size[block] - (4 * (n[i] + size[block]) + 8) // 9
             end = np.searchsorted(place, (size[block] << 32) + upto, "right")
@@ -152,10 +156,10 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
-        token = table.column("token").to_numpy()
-        cuts = [0, *(np.flatnonzero(np.diff(token)) + 1).tolist(), len(token)]
+        token, part = table.column("token").to_numpy(), table.column("part").to_numpy()
+        cuts = [0, *(np.flatnonzero((np.diff(token) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(token)]
         for a, b in zip(cuts, cuts[1:]):
-            if held and held[0].column("token")[0].as_py() != token[a]:
+            if held and (held[0].column("token")[0].as_py(), held[0].column("part")[0].as_py()) != (token[a], part[a]):
                 yield from pairs(pa.concat_tables(held))
                 held = []
             held.append(table.slice(a, b - a))
@@ -163,6 +167,15 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pairs(pa.concat_tables(held))
 
 
+def _parts(rows: DataFrame, left_at_once: int) -> DataFrame:
+    """``rows`` with ``part, left``: a list of many left sides stands in several parts, each of which has all members and its share of the left sides."""
+    # rows of the list's first component may turn out to be left sides, so all count
+    long = rows.groupBy("token").count().where(F.col("count") > left_at_once).select("token", F.ceil(F.col("count") / left_at_once).cast("int").alias("k"))
+    rows = rows.join(long, "token", "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    return rows.withColumn("left", F.pmod(F.xxhash64("sid"), F.col("k")) == F.col("part")).drop("k")
+
+
 def _labelled(lists: DataFrame, comps: DataFrame) -> DataFrame:
     """``lists`` with the component of each set; lists that touch one component only are done and left out."""
     rows = lists.join(comps.withColumnRenamed("node", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
@@ -180,7 +193,7 @@ def _best_partners(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("x.sid").alias("a")).agg(F.min(F.struct("p.pos", "p.sid")).alias("p")).select("a", F.col("p.sid").alias("b"))
 
 
-def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> DataFrame:
+def similar_components(docs: DataFrame, size: int = 5, tied: bool = True, left_at_once: int = LEFT_AT_ONCE) -> DataFrame:
     """``doc_id, sig, n_shingles, component_id, is_first``: documents connected by Jaccard >= 0.8 links.
 
     Words are lower-cased (A-Z) runs without ASCII white space; a document's set are its distinct
@@ -191,7 +204,8 @@ def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> Dat
 
     - Equal sets are one set.
     - Index lists are built for the first fifth of each set in one order, common shingles last. They are
-      sorted by size and place; in each block of one size all places beyond a bound are skipped (``_cross``).
+      sorted by size and place; in each block of one size all places beyond a bound are skipped (``_cross``). A list of
+      more than ``left_at_once`` sets is compared in several tasks.
     - A set first tries the member of its lists that stands earliest in the order, the one with
       the least of its own before what they share. If they are linked, it takes that set's answers over by
       joining its component, and only pairs that lead to other components
@@ -229,7 +243,8 @@ def similar_components(docs: DataFrame, size: int = 5, tied: bool = True) -> Dat
     for full in [False] * ROUNDS + [True]:
         rows = _labelled(lists, comps)
         if full:
-            rows = rows.repartition(n, "token").sortWithinPartitions("token", "n", "pos").select("token", "sid", "n", "pos", "comp").mapInArrow(_cross, "a long, b long")
+            rows = _parts(rows, left_at_once).repartition(n, "token", "part").sortWithinPartitions("token", "part", "n", "pos")
+            rows = rows.select("token", "part", "left", "sid", "n", "pos", "comp").mapInArrow(_cross, "a long, b long")
         else:
             rows = _best_partners(rows)
         pairs = rows.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()

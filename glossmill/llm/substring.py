@@ -67,6 +67,16 @@ def _blank_joined(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, to - size
 
 
+def _repeats(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether the pair of row and key came before, and whether it comes more than once."""
+    before, several = np.zeros(len(row), bool), np.zeros(len(row), bool)
+    order = np.lexsort((key, row))
+    same = (row[order[1:]] == row[order[:-1]]) & (key[order[1:]] == key[order[:-1]])
+    before[order[1:]] = several[order[1:]] = same
+    several[order[:-1]] |= same
+    return before, several
+
+
 SPAN = "doc long, sig long, begin int, end int"
 
 
@@ -85,7 +95,8 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
     3. Runs of windows with a shared key go to the key's shard with their words. A shard indexes those of
        its passages that later documents might repeat, each with the least doc that has it, and streams the passages of
        all but a key's first document against the index. Where the matching statistics reach
-       ``window`` words with a smaller doc, the words are reported.
+       ``window`` words with a smaller doc, the words are reported. A document sends a passage once to a shard, however
+       often it repeats it, with the places of the others.
 
     Words are compared as bytes; hashes only decide where they meet.
     """
@@ -137,6 +148,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
             })
             rest = np.flatnonzero(~known)
             first = rest[_runs(starts[rest], key[rest], of[rest], len(rest) + 1)[0]]
+            first = first[~_repeats(of[first], key[first])[0]]  # a document names a key once
             row, none = of[first], np.full(len(first), -1, np.int32)
             yield pa.RecordBatch.from_pydict({"key": pa.array(W.signed(key[first]), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]), "begin": pa.array(none), "end": pa.array(none)})
 
@@ -178,7 +190,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
             inner = spans.flatten()
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(W.signed(W.mix(doc[row].view(np.uint64) ^ sig[row].view(np.uint64))), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
-                "begin": inner.field("begin"), "end": inner.field("end"), "words": pa.nulls(len(row), pa.binary()),
+                "begin": inner.field("begin"), "end": inner.field("end"), "more": pa.nulls(len(row), pa.binary()), "words": pa.nulls(len(row), pa.binary()),
             })
             words = W.split(batch.column("text"))
             starts, key, _, of = keyed(W.hashes(words), words)
@@ -192,12 +204,21 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
             data, at = _blank_joined(words)
             at = np.append(at, len(data))
             text = data.tobytes()
-            begin = start - words.offsets[row]
+            begin = (start - words.offsets[row]).astype(np.int32)
+            said = [text[a : b - 1] for a, b in zip(at[start].tolist(), at[start + count + window - 1].tolist())]
+            # a passage that a document has several times goes once, with its other places
+            alike: dict[tuple[int, int, bytes], list[int]] = {}
+            for i in np.flatnonzero(_repeats(row, key[first])[1]).tolist():
+                alike.setdefault((int(row[i]), int(key[first[i]]), said[i]), []).append(i)
+            once, more = np.ones(len(first), bool), [None] * len(first)
+            for same in alike.values():
+                once[same[1:]] = False
+                more[same[0]] = begin[same[1:]].tobytes() or None
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(W.signed(key[first]), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
-                "begin": pa.array(begin, pa.int32()), "end": pa.array(begin + count + window - 1, pa.int32()),
-                "words": pa.array([text[a : b - 1] for a, b in zip(at[start].tolist(), at[start + count + window - 1].tolist())], pa.binary()),
-            })
+                "begin": pa.array(begin), "end": pa.array(begin + count + window - 1, pa.int32()),
+                "more": pa.array(more, pa.binary()), "words": pa.array(said, pa.binary()),
+            }).filter(pa.array(once))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by key and doc."""
@@ -223,7 +244,9 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
 
             indexed = np.flatnonzero(least < last)
             index = FMIndex(*of(indexed), least[indexed], window)
-            doc, sig, begin, place = (np.array([r[i] for r in streamed], np.int64) for i in range(4))
+            doc, sig, place = (np.array([r[i] for r in streamed], np.int64) for i in range(3))
+            begin = np.array([b for r in streamed for b in r[3]], np.int64)
+            places_of = np.array([len(r[3]) for r in streamed], np.int64)
             asked, where = np.unique(place, return_inverse=True)
             some, bounds = of(asked)
             length, first = index.matching_statistics(some, bounds)
@@ -236,7 +259,12 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
             row = np.repeat(np.arange(len(n)), n)[hit]
             start = inside[hit]
             a, count = _runs(start, np.zeros(len(start), np.uint64), row, len(start) + 1)
-            return spans(doc[row[a]], sig[row[a]], begin[row[a]] + start[a], begin[row[a]] + start[a] + count + window - 1)
+            # and on to all places that a row has its passage in
+            times = places_of[row[a]]
+            to = np.cumsum(times)
+            which = np.arange(int(times.sum())) + np.repeat(np.cumsum(places_of)[row[a]] - to, times)
+            a, count, begin = np.repeat(a, times), np.repeat(count, times), begin[which]
+            return spans(doc[row[a]], sig[row[a]], begin + start[a], begin + start[a] + count + window - 1)
 
         def close() -> None:
             """Ends a key. One with one passage has no other to be found in; its copies are known already."""
@@ -249,7 +277,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
 
         for batch in batches:
             known: list[tuple] = []
-            for key, doc, sig, begin, end, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sig", "begin", "end", "words"))):
+            for key, doc, sig, begin, end, more, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sig", "begin", "end", "more", "words"))):
                 if words is None:
                     known.append((doc, sig, begin, end))
                     continue
@@ -260,16 +288,17 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
                         texts, docs_of, until, streamed, total = [], [], [], [], 0
                     places, current, first_doc = {}, key, doc
                 last_doc = doc
+                begins = (begin, *np.frombuffer(more, np.int32).tolist()) if more else (begin,)
                 place = places.get(words)
                 if place is not None and docs_of[place] < doc:  # all of it stands in an earlier document
-                    known.append((doc, sig, begin, end))
+                    known.extend((doc, sig, b, b + end - begin) for b in begins)
                     continue
                 if place is None:
                     place = places[words] = len(texts)
                     texts.append(words)
                     docs_of.append(doc)
                 if doc > first_doc:
-                    streamed.append((doc, sig, begin, place))
+                    streamed.append((doc, sig, place, begins))
             if known:
                 yield spans(*zip(*known))
         close()
@@ -280,7 +309,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
     is_key = F.col("begin") < 0
     found = found.groupBy("doc", "sig").agg(F.collect_list(F.when(is_key, F.col("key"))).alias("keys"), F.collect_list(F.when(~is_key, F.struct("begin", "end"))).alias("spans"))
     rows = dealt.join(found, ["doc", "sig"]).select("doc", "sig", "text", "keys", "spans")
-    rows = rows.mapInArrow(passages, "key long, doc long, sig long, begin int, end int, words binary")
+    rows = rows.mapInArrow(passages, "key long, doc long, sig long, begin int, end int, more binary, words binary")
     return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(search, SPAN)
 
 

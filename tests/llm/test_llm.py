@@ -76,7 +76,8 @@ def test_jaccard(spark, sf, docs, edge, empty):
     assert similar_components(empty).count() == 0
 
 
-def test_jaccard_chains_and_borders(spark):
+@pytest.mark.parametrize("left_at_once", [20_000, 2])
+def test_jaccard_chains_and_borders(spark, left_at_once):
     from glossmill.llm.jaccard import similar_components
 
     rng, rows = random.Random(3), []
@@ -88,7 +89,7 @@ def test_jaccard_chains_and_borders(spark):
             if rng.random() < 0.4:
                 text.append(f"t{len(rows)}")
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert rows_of(similar_components(frame), "doc_id", "n_shingles", "component_id") == brute.jaccard(rows)
+    assert rows_of(similar_components(frame, left_at_once=left_at_once), "doc_id", "n_shingles", "component_id") == brute.jaccard(rows)
 
 
 def test_jaccard_skips_no_link_within_blocks(spark):
@@ -103,8 +104,8 @@ def test_jaccard_skips_no_link_within_blocks(spark):
     pos = rng.integers(0, n // 5 + 1)
     order = np.lexsort((pos, n))
     n, pos, sid, comp = n[order], pos[order], rng.permutation(300), rng.integers(0, 40, 300)
-    batch = pa.RecordBatch.from_pydict({"token": np.zeros(300, np.int64), "sid": sid, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "comp": comp})
-    got = [tuple(sorted(p)) for b in _cross(iter([batch])) for p in zip(*(b.column(c).to_pylist() for c in "ab"))]
+    part = lambda p: pa.RecordBatch.from_pydict({"token": np.zeros(300, np.int64), "part": np.full(300, p, np.int32), "left": sid % 3 == p, "sid": sid, "n": n.astype(np.int32), "pos": pos.astype(np.int32), "comp": comp})
+    got = [tuple(sorted(p)) for b in _cross(part(p) for p in range(3)) for p in zip(*(b.column(c).to_pylist() for c in "ab"))]
     can = lambda i, j: comp[i] != comp[j] and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
     assert sorted(got) == sorted(tuple(sorted((int(sid[i]), int(sid[j])))) for i in range(300) for j in range(i) if can(i, j))
 
@@ -184,6 +185,16 @@ def test_substring_of_few_words(spark, share):
     assert rows_of(dedup_substrings(frame, crowded_share=share), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
 
 
+@pytest.mark.parametrize("share", [0.0, 1.0])
+def test_substring_of_passages_repeated_within_documents(spark, share):
+    from glossmill.llm.substring import dedup_substrings
+
+    said = [" ".join(f"s{k}w{i}" for i in range(13 + 5 * k)) for k in range(3)]
+    rows = [(d, " ".join(f"{said[(d + i) % 3 if d % 4 else 0]} d{d}i{i}" for i in range(40 + d))) for d in range(8)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert rows_of(dedup_substrings(frame, crowded_share=share), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
+
+
 @pytest.mark.parametrize("share", [0.0, 1.0])
 def test_substring_tells_words_with_equal_half_hashes_apart(spark, share):
     """Words whose 64-bit hashes agree in their lower or upper 32 bits, in documents equal but for them."""
