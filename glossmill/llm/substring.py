@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
             inner = spans.flatten()
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(W.signed(W.mix(doc[row].view(np.uint64) ^ sig[row].view(np.uint64))), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
-                "begin": inner.field("begin"), "end": inner.field("end"), "more": pa.nulls(len(row), pa.binary()), "words": pa.nulls(len(row), pa.binary()),
+                "begin": inner.field("begin"), "end": inner.field("end"), "words": pa.nulls(len(row), pa.binary()),
             })
             words = W.split(batch.column("text"))
             starts, key, _, of = keyed(W.hashes(words), words)
@@ -206,18 +206,18 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
             text = data.tobytes()
             begin = (start - words.offsets[row]).astype(np.int32)
             said = [text[a : b - 1] for a, b in zip(at[start].tolist(), at[start + count + window - 1].tolist())]
-            # a passage that a document has several times goes once, with its other places
+            # a passage that a document has several times goes once, with its other places after a line feed, which no word has
             alike: dict[tuple[int, int, bytes], list[int]] = {}
             for i in np.flatnonzero(_repeats(row, key[first])[1]).tolist():
                 alike.setdefault((int(row[i]), int(key[first[i]]), said[i]), []).append(i)
-            once, more = np.ones(len(first), bool), [None] * len(first)
+            once = np.ones(len(first), bool)
             for same in alike.values():
                 once[same[1:]] = False
-                more[same[0]] = begin[same[1:]].tobytes() or None
+                if len(same) > 1:
+                    said[same[0]] += b"\n" + begin[same[1:]].tobytes()
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array(W.signed(key[first]), pa.int64()), "doc": pa.array(doc[row]), "sig": pa.array(sig[row]),
-                "begin": pa.array(begin), "end": pa.array(begin + count + window - 1, pa.int32()),
-                "more": pa.array(more, pa.binary()), "words": pa.array(said, pa.binary()),
+                "begin": pa.array(begin), "end": pa.array(np.zeros(len(first), np.int32)), "words": pa.array(said, pa.binary()),
             }).filter(pa.array(once))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +277,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
 
         for batch in batches:
             known: list[tuple] = []
-            for key, doc, sig, begin, end, more, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sig", "begin", "end", "more", "words"))):
+            for key, doc, sig, begin, end, words in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "sig", "begin", "end", "words"))):
                 if words is None:
                     known.append((doc, sig, begin, end))
                     continue
@@ -288,10 +288,11 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
                         texts, docs_of, until, streamed, total = [], [], [], [], 0
                     places, current, first_doc = {}, key, doc
                 last_doc = doc
-                begins = (begin, *np.frombuffer(more, np.int32).tolist()) if more else (begin,)
+                words, _, more = words.partition(b"\n")
+                begins = (begin, *np.frombuffer(more, np.int32).tolist())
                 place = places.get(words)
                 if place is not None and docs_of[place] < doc:  # all of it stands in an earlier document
-                    known.extend((doc, sig, b, b + end - begin) for b in begins)
+                    known.extend((doc, sig, b, b + words.count(b" ") + 1) for b in begins)
                     continue
                 if place is None:
                     place = places[words] = len(texts)
@@ -309,7 +310,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
     is_key = F.col("begin") < 0
     found = found.groupBy("doc", "sig").agg(F.collect_list(F.when(is_key, F.col("key"))).alias("keys"), F.collect_list(F.when(~is_key, F.struct("begin", "end"))).alias("spans"))
     rows = dealt.join(found, ["doc", "sig"]).select("doc", "sig", "text", "keys", "spans")
-    rows = rows.mapInArrow(passages, "key long, doc long, sig long, begin int, end int, more binary, words binary")
+    rows = rows.mapInArrow(passages, "key long, doc long, sig long, begin int, end int, words binary")
     return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(search, SPAN)
 
 
