@@ -90,4 +90,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_jaccard, op3_rules, op4_mix, op5_tokens, op6_substring, op7_toxicity, op8_decontam, op9_warc, op10_quality)}
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repair import damaged, repair
+
+    return repair(damaged(table(spark, sf_dir, "conversations")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_jaccard, op3_rules, op4_mix, op5_tokens, op6_substring, op7_toxicity, op8_decontam, op9_warc, op10_quality, op11_repair)}

@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import zlib
 from collections import defaultdict
 
 SPACED = re.compile(r"[^\x20\x09-\x0D]+")
@@ -113,3 +114,64 @@ def targets(sizes, weights=(5, 2, 1), most=3):
             left -= out[s]
         open_ -= full
     return out
+
+
+def repair(rows):
+    """(conv, turn, role, text) -> conv, gaps, counts, cost, audit, digest: all edits of a row tried in turn."""
+    convs = defaultdict(list)
+    for conv, turn, role, text in rows:
+        said = [" " if x is None else x for x in (conv, turn, role, text)]
+        kind = zlib.crc32(f"{said[0]}:{said[1]}".encode()) % 20
+        role, text = said[2:]
+        text = "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text
+        role = "user" if kind == 4 else role
+        order = (turn is not None, turn or 0, role, hashlib.sha256(f"{len(role.encode())}:{role}{text}".encode()).digest())
+        convs[conv] += [(order, turn, role, text)] * {0: 0, 3: 2}.get(kind, 1)
+    out = []
+    for conv, turns in convs.items():
+        turns.sort(key=lambda r: r[0])
+        faults, seen = [], set()
+        for _, _, role, text in turns:
+            bare = text.strip(" \t\n\v\f\r")
+            faults.append("blank" if not bare else "duplicate" if (role, text) in seen else "truncated" if bare[-1] not in ".!?" else "")
+            seen.add((role, text))
+        known = [t for _, t, *_ in turns if t is not None]
+        initials = [r[:1] or " " for _, _, r, _ in turns]
+        # paths as (cost, audit, initials so far), cut where the initials can't be completed
+        paths = {(0, "", "")}
+
+        def fits(made):
+            return re.fullmatch("(s?(ua)*u?)?", made)
+
+        def grown(paths):
+            for _ in range(2):
+                paths = paths | {(c + 5, a + "I", m + r) for c, a, m in paths for r in "ua" if fits(m + r)}
+            return pruned(paths)
+
+        def pruned(paths):
+            best = {}
+            for c, a, m in paths:
+                key = (m[-1:], not m)
+                kept = best.setdefault(key, set())
+                kept.add((c, a, m))
+            return {p for kept in best.values() for p in sorted(kept)[:12]}
+
+        for i, fault in zip(initials, faults):
+            paths = grown(paths)
+            more = 5 * (fault == "truncated")
+            ahead = {(c + 2, a + "D", m) for c, a, m in paths}
+            if fault not in ("blank", "duplicate"):
+                ahead |= {(c + more, a + "K", m + i) for c, a, m in paths if i in "sua" and fits(m + i)}
+                ahead |= {(c + 1 + more, a + "R", m + r) for c, a, m in paths for r in "ua" if fits(m + r)}
+            paths = pruned(ahead)
+        cost, audit, made = min(p for p in grown(paths) if re.fullmatch("(s?(ua)+)?", p[2]))
+        left, at, said = iter(turns), 0, []
+        for edit in audit:
+            row = next(left) if edit != "I" else (0, 0, "", "")
+            if edit != "D":
+                said.append((row[2] if edit == "K" else {"u": "user", "a": "assistant"}[made[at]]) + ":" + row[3])
+                at += 1
+        illegal = sum(a + b not in ("su", "ua", "au") for a, b in zip(initials, initials[1:]))
+        gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
+        out.append((conv, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest()))
+    return sorted(out, key=str)
