@@ -96,4 +96,11 @@ def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_jaccard, op3_rules, op4_mix, op5_tokens, op6_substring, op7_toxicity, op8_decontam, op9_warc, op10_quality, op11_repair)}
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import document_leaves, manifest
+
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    return manifest(document_leaves(table(spark, sf_dir, "documents"), tampered), with_proof=False)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_jaccard, op3_rules, op4_mix, op5_tokens, op6_substring, op7_toxicity, op8_decontam, op9_warc, op10_quality, op11_repair, op12_manifest)}

@@ -175,3 +175,42 @@ def repair(rows):
         gaps = max(known) - min(known) + 1 - len(set(known)) if known else 0
         out.append((conv, gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, hashlib.sha256("\n".join(said).encode()).hexdigest()))
     return sorted(out, key=str)
+
+
+def _sha(said):
+    return hashlib.sha256(said.encode()).hexdigest()
+
+
+def _tree(nodes):
+    """Levels from the leaves up to one node."""
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        now = levels[-1]
+        levels.append([_sha("".join(now[i : i + 8])) for i in range(0, len(now), 8)])
+    return levels
+
+
+def manifest(rows):
+    """(doc_id, source, lang, n_chars, text) -> doc_id, leaf, subroot, root, proof, folded, verified."""
+
+    def leaf(*values):
+        return _sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    groups = defaultdict(list)
+    for doc, source, lang, n, text in rows:
+        groups[lang].append((doc is not None, doc or 0, leaf(doc, source, lang, n, text), doc, leaf(doc, source, lang, n, text.translate(_LOWER) if text else text)))
+    names = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    trees = {g: _tree([r[2] for r in sorted(groups[g], key=lambda r: r[:3])]) for g in names}
+    top = _tree([trees[g][-1][0] for g in names])
+    out = []
+    for at, g in enumerate(names):
+        for i, (_, _, digest, doc, changed) in enumerate(sorted(groups[g], key=lambda r: r[:3])):
+            proof, folded = [], changed if doc is not None and zlib.crc32(str(doc).encode()) % 3 == 0 else digest
+            for levels, place in ((trees[g], i), (top, at)):
+                for level in levels[:-1]:
+                    run, k = level[place // 8 * 8 : place // 8 * 8 + 8], place % 8
+                    proof += run[:k] + run[k + 1 :]
+                    folded = _sha("".join(run[:k] + [folded] + run[k + 1 :]))
+                    place //= 8
+            out.append((doc, digest, trees[g][-1][0], top[-1][0], _sha("".join(proof)), folded, folded == top[-1][0]))
+    return sorted(out, key=str)
