@@ -103,4 +103,10 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(document_leaves(table(spark, sf_dir, "documents"), tampered), with_proof=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_jaccard, op3_rules, op4_mix, op5_tokens, op6_substring, op7_toxicity, op8_decontam, op9_warc, op10_quality, op11_repair, op12_manifest)}
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprint import document_fingerprints
+
+    return document_fingerprints(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_chat, op2_jaccard, op3_rules, op4_mix, op5_tokens, op6_substring, op7_toxicity, op8_decontam, op9_warc, op10_quality, op11_repair, op12_manifest, op13_fingerprints)}

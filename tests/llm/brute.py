@@ -214,3 +214,49 @@ def manifest(rows):
                     place //= 8
             out.append((doc, digest, trees[g][-1][0], top[-1][0], _sha("".join(proof)), folded, folded == top[-1][0]))
     return sorted(out, key=str)
+
+
+words_of = words
+
+
+def tree(text, words=8):
+    """(root, distinct pieces) of a text: pieces in lines, lines in sections."""
+    sections, section, pieces = [], "", set()
+    for line in text.split("\n"):
+        found, now = [], ""
+        for space, word in re.findall(r"([\x20\x09\x0B-\x0D]*)([^\x20\x09-\x0D]*)", line):
+            if not word:
+                now += space
+                continue
+            now += space
+            if now.strip(" \t\v\f\r") and (len(words_of(now)) == words or words_of(now)[-1][-1] in ".!?,;:|"):
+                found.append(now)
+                now = ""
+            now += word
+        found += [now] if now else []
+        digests = [_sha(p) for p in found]
+        pieces |= {d[:12] for d in digests}
+        own = _sha("".join(digests))
+        section += own
+        if not digests or own[0] in "0123":
+            sections.append(_sha(section))
+            section = ""
+    sections += [_sha(section)] if section else []
+    return _sha("".join(sections)), pieces
+
+
+def fingerprints(docs):
+    """(doc, text) with distinct doc_ids -> doc, n_chars, digest of the edited text, both roots, both likenesses."""
+    docs = sorted(((d, t or "") for d, t in docs), key=lambda r: (r[0] is not None, r[0] or 0), reverse=True)
+
+    def near(a, b):
+        (r, x), (s, y) = tree(a), tree(b)
+        return 1.0 if r == s else round(2 * len(x & y) / (len(x) + len(y)), 6) if x or y else 0.0
+
+    out = []
+    for i, (doc, text) in enumerate(docs):
+        after = docs[(i + 1) % len(docs)][1]
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        out.append((doc, len(text), _sha(edited), tree(text)[0], tree(edited)[0], near(text, edited), near(text, after)))
+    return sorted(out, key=str)
