@@ -6,8 +6,8 @@ takes part in the next one. Going down, a superstep sends the path above a node
 its children, each with its own siblings put before it; leaves fold their digests along it and compare with the root.
 
 What a superstep shuffles is an eighth of what the one below it did. The lowest nodes keep the rows of their leaves, so a
-path is sent once for eight rows, and no text leaves the task that reads it. All is lineage over shuffles: a lost executor
-costs what it held, made again.
+path is sent once for eight rows, and no text leaves the task that reads it. Each superstep is one shuffle between two
+tables in the shared folder: a lost executor costs what it was at, and a task has one Python worker at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 from pyspark import RDD
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .scratch import partitions, written
@@ -64,39 +64,55 @@ def numbered(rows: DataFrame, group: str, order: list[str], n: int) -> DataFrame
     return found.withColumn("place", F.col("_before") + F.col("_at") - F.col("_first")).drop("_group", "_in", "_first", "_before", "_part", "_at")
 
 
-class Level:
-    """Nodes of one height: key to (digests of the children in order, the children's rows, how many nodes their level has)."""
+LEVEL = "grp string, place long, size long, digests binary, rows array<struct<doc_id:long,offered:binary>>"
+MESSAGE = "grp string, place long, passed binary, path binary"
 
-    def __init__(self, nodes: RDD) -> None:
-        self.nodes = nodes
 
-    def sent(self) -> RDD:
-        """Key to (digest, nodes of the level in the group, no row): what the next superstep passes up."""
-        return self.nodes.mapValues(lambda v: (_hashed(v[0]), -(-v[2] // ARITY), None))
+def _table(rdd: RDD, schema: str) -> DataFrame:
+    return SparkSession.active().createDataFrame(rdd, schema, verifySchema=False)
 
 
-def _complete(node: tuple[Key, Iterator[tuple]]) -> tuple[Key, tuple]:
+def _parts(data: bytes) -> list[bytes]:
+    return [data[i : i + _SIZE] for i in range(0, len(data), _SIZE)]
+
+
+def _complete(node: tuple[Key, Iterator[tuple]]) -> tuple:
     (group, place), children = node
     children = sorted(children, key=lambda c: c[0])
     size = children[0][2]
     if [c[0] for c in children] != list(range(min(ARITY, size - ARITY * place))):
         raise ValueError(f"node {place} of {group!r} lacks children")
-    return (group, place), ([c[1] for c in children], [c[3] for c in children], size)
+    return group, place, size, b"".join(c[1] for c in children), [c[3] for c in children]
+
+
+def climb(leaves: DataFrame, n: int) -> list[DataFrame]:
+    """The levels above ``leaves`` (grp, place, size, digest, doc_id, offered): a row for each node, with its children's digests and rows.
+
+    ``size`` is how many nodes the level of the children has in the group.
+    """
+
+    def first(r: Row) -> tuple[Key, tuple]:
+        return (r.grp, r.place // ARITY), (r.place % ARITY, bytes(r.digest), r.size, (r.doc_id, r.offered and bytes(r.offered)))
+
+    def further(r: Row) -> tuple[Key, tuple]:
+        return (r.grp, r.place // ARITY), (r.place % ARITY, _hashed(_parts(r.digests)), -(-r.size // ARITY), None)
 
+    levels: list[DataFrame] = []
+    below, send = leaves.where("size > 1"), first
+    while not below.isEmpty():
+        up = below.rdd.map(send).groupByKey(max(1, n // ARITY ** len(levels)), _dealt)
+        levels.append(written(_table(up.map(_complete), LEVEL)))
+        below, send = levels[-1].where(F.col("size") > ARITY), further
+    return levels
 
-def climb(nodes: RDD, height: int, n: int) -> tuple[list[Level], RDD]:
-    """The levels above ``nodes`` (key to digest, size, row), and the roots: group to (digest, height, row)."""
-    levels: list[Level] = []
-    roots = []
-    for k in range(height + 1):
-        roots.append(nodes.filter(lambda kv: kv[1][1] == 1).map(lambda kv, k=k: (kv[0][0], (kv[1][0], k, kv[1][2]))))
-        if k == height:
-            break
-        up = nodes.filter(lambda kv: kv[1][1] > 1).map(lambda kv: ((kv[0][0], kv[0][1] // ARITY), (kv[0][1] % ARITY, *kv[1])))
-        parts = max(1, n // ARITY**k)
-        levels.append(Level(up.groupByKey(parts, _dealt).map(_complete, preservesPartitioning=True)))
-        nodes = levels[-1].sent()
-    return levels, nodes.context.union(roots)
+
+def roots(leaves: DataFrame, levels: list[DataFrame]) -> DataFrame:
+    """``grp, digest, height, doc_id, offered`` of the root of each group; the last two where it is a leaf."""
+    found = leaves.where("size = 1").select("grp", "digest", F.lit(0).alias("height"), "doc_id", "offered")
+    for k, level in enumerate(levels, 1):
+        top = level.where(F.col("size") <= ARITY)
+        found = found.unionByName(top.select("grp", F.unhex(F.sha2(F.lower(F.hex("digests")).cast("binary"), 256)).alias("digest"), F.lit(k).alias("height"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("offered")))
+    return found
 
 
 def _step(place: int, digests: list[bytes]) -> bytes:
@@ -104,33 +120,35 @@ def _step(place: int, digests: list[bytes]) -> bytes:
     return bytes([place, len(digests) - 1]) + b"".join(digests[:place] + digests[place + 1 :])
 
 
-def descend(levels: list[Level], starts: RDD, leaf: Callable, n: int) -> RDD:
+def descend(levels: list[DataFrame], starts: DataFrame, leaf: Callable[[tuple, bytes, bytes, bytes], tuple], schema: str, n: int) -> DataFrame:
     """What ``leaf`` makes of each row, its digest, what its root was sent, and the path above it.
 
-    ``starts``: group to (height of its root, what is passed on unchanged, path above the root).
+    ``starts``: ``grp, height`` (of its root, 1 or more), ``passed`` (handed on as it is), ``path`` (above the root).
     """
-    context, down, out = starts.context, None, []
-    for k in range(len(levels), 0, -1):
-        parts = max(1, n // ARITY ** (k - 1))
-        begun = starts.filter(lambda kv, k=k: kv[1][0] == k).map(lambda kv: ((kv[0], 0), kv[1][1:]))
-        at = begun if down is None else context.union([begun, down])
-        met = levels[k - 1].nodes.join(at.partitionBy(parts, _dealt), parts)
-
-        def spread(met: tuple[Key, tuple]) -> Iterator[tuple[Key, tuple]]:
-            (group, place), ((digests, _, _), (passed, above)) = met
-            for i in range(len(digests)):
-                yield (group, place * ARITY + i), (passed, _step(i, digests) + above)
-
-        def told(met: tuple[Key, tuple]) -> Iterator[tuple]:
-            _, ((digests, rows, _), (passed, above)) = met
-            for i, row in enumerate(rows):
-                yield leaf(row, digests[i], passed, _step(i, digests) + above)
 
+    def keyed(r: Row) -> tuple[Key, tuple]:
+        known = (_parts(r.digests), [tuple(x) if x else None for x in r.rows]) if r.digests is not None else None
+        return (r.grp, r.place), (known, None if known else (bytes(r.passed), bytes(r.path)))
+
+    def met(node: tuple[Key, Iterator[tuple]]) -> Iterator[tuple[Key, list, bytes, bytes, int]]:
+        (group, place), both = node
+        known = sent = None
+        for a, b in both:
+            known, sent = a or known, b or sent
+        if known is None or sent is None:
+            raise ValueError(f"node {place} of {group!r} was not met")
+        for i in range(len(known[0])):
+            yield (group, place * ARITY + i), known, sent[0], _step(i, known[0]) + sent[1], i
+
+    down = None
+    for k in range(len(levels), 0, -1):
+        at = starts.where(F.col("height") == k).select("grp", F.lit(0).cast("long").alias("place"), "passed", "path")
+        at = at if down is None else at.unionByName(down)
+        both = levels[k - 1].select("grp", "place", "digests", "rows").unionByName(at, allowMissingColumns=True)
+        found = both.rdd.map(keyed).groupByKey(max(1, n // ARITY ** (k - 1)), _dealt).flatMap(met)
         if k > 1:
-            down = met.flatMap(spread)
-        else:
-            out.append(met.flatMap(told))
-    return context.union(out) if out else context.emptyRDD()
+            down = written(_table(found.map(lambda m: (*m[0], m[2], m[3])), MESSAGE))
+    return _table(found.map(lambda m: leaf(m[1][1][m[4]], m[1][0][m[4]], m[2], m[3])), schema)
 
 
 def fold(digest: bytes, path: bytes) -> tuple[bytes, bytes]:
@@ -145,19 +163,13 @@ def fold(digest: bytes, path: bytes) -> tuple[bytes, bytes]:
     return digest, b"".join(siblings)
 
 
-def _height(size: int) -> int:
-    height = 0
-    while size > 1:
-        size, height = -(-size // ARITY), height + 1
-    return height
-
-
 SCHEMA = "doc_id long, leaf string, subroot string, root string, proof_sha256 string, folded_root string, verified boolean, proof binary"
 
 
-def _leaf(row: tuple, digest: bytes, passed: tuple[bytes, bytes], path: bytes) -> tuple:
-    (doc, offered), (subroot, root) = row, passed
-    folded, siblings = fold(digest if offered is None else offered, path)
+def _told(row: tuple, digest: bytes, passed: bytes, path: bytes) -> tuple:
+    """``passed``: the group's root, then the dataset's."""
+    (doc, offered), subroot, root = row, passed[:_SIZE], passed[_SIZE:]
+    folded, siblings = fold(digest if offered is None else bytes(offered), path)
     return (doc, digest.hex(), subroot.hex(), root.hex(), hashlib.sha256(siblings.hex().encode()).hexdigest(), folded.hex(), folded == root, path)
 
 
@@ -173,36 +185,26 @@ def manifest(leaves: DataFrame, with_proof: bool = True) -> DataFrame:
     level from the leaf up the node's place, the number of siblings, and these. Equal rows are leaves of their own.
     An empty table has no rows and no root.
     """
-    spark = leaves.sparkSession
-    n = partitions(spark)
-    shape = SCHEMA if with_proof else SCHEMA.rsplit(",", 1)[0]
-    rows = numbered(written(leaves.select("doc_id", "grp", "leaf", "offered")), "grp", ["doc_id", "leaf"], n)
-    most = rows.agg(F.max("size")).first()[0]
-    if not most:
-        return spark.createDataFrame([], shape)
-
-    def node(r: Row) -> tuple[Key, tuple]:
-        return (r.grp, r.place), (bytes(r.leaf), r.size, (r.doc_id, r.offered and bytes(r.offered)))
-
-    levels, roots = climb(rows.rdd.map(node), _height(most), n)
-    named = written(spark.createDataFrame(roots.map(lambda kv: (kv[0], *kv[1][:2], *(kv[1][2] or (None, None)))), "grp string, digest binary, height int, doc_id long, offered binary", verifySchema=False))
-    tops = numbered(named.withColumn("all", F.lit("")), "all", ["grp"], n)
-    count = named.count()
-
-    def top(r: Row) -> tuple[Key, tuple]:
-        return ("", r.place), (bytes(r.digest), r.size, (r.grp, r.height, r.doc_id, r.offered and bytes(r.offered)))
-
-    above, root = climb(tops.rdd.map(top), _height(count), n)
-    # the root goes down to the roots of groups, and on to their leaves
+    n = partitions(leaves.sparkSession)
+    rows = numbered(written(leaves.select("doc_id", "grp", F.col("leaf").alias("digest"), "offered")), "grp", ["doc_id", "digest"], n)
+    rows = written(rows)
+    levels = climb(rows, n)
+    # the roots of groups are the leaves of one more tree; what comes down to them goes on to their leaves
+    tops = numbered(written(roots(rows, levels)).withColumnRenamed("grp", "name").withColumn("grp", F.lit("")), "grp", ["name"], n)
+    tops = written(tops.withColumn("doc_id", F.col("place")))
+    names = tops.select("place", F.col("name").alias("grp"), "height", F.col("digest").alias("subroot"))
+    above = climb(tops, n)
+    root = roots(tops, above)
     if above:
-        begin = root.map(lambda kv: (kv[0], (kv[1][1], (kv[1][0],), b"")))
-        starts = descend(above, begin, lambda row, digest, passed, path: (row[0], (row[1], (digest, *passed), path, row[2:])), n)
+        begin = root.select("grp", "height", F.col("digest").alias("passed"), F.lit(b"").alias("path"))
+        sent = descend(above, begin, lambda row, digest, passed, path: (row[0], passed, path), "place long, root binary, path binary", n)
     else:
-        starts = root.map(lambda kv: (kv[1][2][0], (kv[1][2][1], (kv[1][0], kv[1][0]), b"", kv[1][2][2:])))
-    lone = starts.filter(lambda kv: kv[1][0] == 0).map(lambda kv: _leaf(kv[1][3], kv[1][1][0], kv[1][1], kv[1][2]))
-    told = descend(levels, starts.filter(lambda kv: kv[1][0] > 0).mapValues(lambda v: v[:3]), _leaf, n)
-    found = told.context.union([told, lone])
-    return spark.createDataFrame(found if with_proof else found.map(lambda r: r[:-1]), shape, verifySchema=False)
+        sent = root.select(F.lit(0).cast("long").alias("place"), F.col("digest").alias("root"), F.lit(b"").alias("path"))
+    starts = written(names.join(sent, "place").select("grp", "height", F.concat("subroot", "root").alias("passed"), "path"))
+    lone = rows.where("size = 1").alias("l").join(starts.where("height = 0").alias("s"), F.col("l.grp").eqNullSafe(F.col("s.grp")))
+    alone = _table(lone.select("doc_id", "offered", "digest", "passed", "path").rdd.map(lambda r: _told((r.doc_id, r.offered), bytes(r.digest), bytes(r.passed), bytes(r.path))), SCHEMA)
+    found = descend(levels, starts.where("height > 0"), _told, SCHEMA, n).union(alone) if levels else alone
+    return found if with_proof else found.drop("proof")
 
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
