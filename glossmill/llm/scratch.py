@@ -6,10 +6,14 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: list[str] = []
+#: Tables of the innermost scope that is open in this thread or task.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -25,23 +29,44 @@ def scratch_dir(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="spark-")
         atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{_home(spark, root)}/{uuid.uuid4().hex}"
+
+
+def _home(spark: SparkSession, root: str) -> str:
+    """The folder of this application's tables."""
+    return f"{root.rstrip('/')}/glossmill-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder and read again."""
     path = scratch_dir(df.sparkSession)
     df.write.parquet(path)
-    _WRITTEN.append(path)
+    if (scope := _SCOPE.get()) is not None:
+        scope.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_written(spark: SparkSession, *others: str) -> None:
-    """Removes what ``written`` has left so far, and ``others``; call it when no result that reads them is still to be computed."""
-    for path in (*_WRITTEN, *others):
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that ``written`` makes inside are removed at the end, and no others; results that read them have to be computed by then."""
+    token = _SCOPE.set([])
+    try:
+        yield
+    finally:
+        drop(spark, *_SCOPE.get())
+        _SCOPE.reset(token)
+
+
+def drop(spark: SparkSession, *paths: str) -> None:
+    for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _WRITTEN.clear()
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Removes all tables that this application has left in the shared folder; call it when no result is still to be computed."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        drop(spark, _home(spark, root))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -26,6 +26,7 @@ CROWDED_SHARE, CROWDED = 1 / 16384, 100_000
 WORDS_AT_ONCE = 1_500_000
 #: Windows of one passage; longer runs are cut.
 WINDOWS_AT_ONCE = 64
+#: Where rows without a doc_id stand in the order.
 _NO_ID = 2**63 - 1
 
 
@@ -67,6 +68,24 @@ def _blank_joined(words: W.Words) -> tuple[np.ndarray, np.ndarray]:
     return out, to - size
 
 
+def _same_words(words: W.Words, a: np.ndarray, b: np.ndarray, window: int) -> np.ndarray:
+    """Whether the bytes of the ``window`` words from each place of ``a`` are those from ``b``; each pair of words is compared once."""
+    if not len(a):
+        return np.empty(0, bool)
+    steps = np.arange(window)
+    n_words = len(words.starts)
+    pairs, where = np.unique(((a[:, None] + steps) * n_words + b[:, None] + steps).ravel(), return_inverse=True)
+    x, y = pairs // n_words, pairs % n_words
+    size = words.ends[x] - words.starts[x]
+    alike = size == words.ends[y] - words.starts[y]
+    some = np.flatnonzero(alike & (x != y))
+    n = size[some]
+    inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    differs = words.data[np.repeat(words.starts[x[some]], n) + inside] != words.data[np.repeat(words.starts[y[some]], n) + inside]
+    alike[np.repeat(some, n)[differs]] = False
+    return alike[where.ravel()].reshape(-1, window).all(axis=1)
+
+
 def _repeats(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether the pair of row and key came before, and whether it comes more than once."""
     before, several = np.zeros(len(row), bool), np.zeros(len(row), bool)
@@ -80,7 +99,7 @@ def _repeats(row: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SPAN = "doc long, sig long, begin int, end int"
 
 
-def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor: int = ANCHOR, crowded_share: float = CROWDED_SHARE) -> DataFrame:
+def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor: int = ANCHOR, crowded_share: float = CROWDED_SHARE, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """Spans of words that a document of smaller ``doc`` has too: ``doc, sig, begin, end``, maybe overlapping.
 
     ``docs`` has ``doc`` (long), ``sig`` (tells apart rows that share a doc) and ``text``; ``dealt`` are the
@@ -98,7 +117,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
        ``window`` words with a smaller doc, the words are reported. A document sends a passage once to a shard, however
        often it repeats it, with the places of the others.
 
-    Words are compared as bytes; hashes only decide where they meet.
+    Words are compared as bytes; hashes only decide where they meet, and which words are compared.
     """
     spark = docs.sparkSession
     n = partitions(spark)
@@ -137,6 +156,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
                 same = doc[of[least]] < doc[of[at]]
                 for j in range(window):
                     same &= h[starts[at] + j] == h[starts[least] + j]
+                same[same] = _same_words(words, starts[at[same]], starts[least[same]], window)
                 known[at[same]] = True
             told = np.flatnonzero(known)
             first, count = _runs(starts[told], np.zeros(len(told), np.uint64), of[told], len(told) + 1)
@@ -283,8 +303,9 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
                     continue
                 if key != current:
                     close()
-                    if total >= WORDS_AT_ONCE:
-                        yield judged()
+                    if total >= words_at_once:
+                        if streamed:  # without any, all passages of the piece were settled as equal ones
+                            yield judged()
                         texts, docs_of, until, streamed, total = [], [], [], [], 0
                     places, current, first_doc = {}, key, doc
                 last_doc = doc
@@ -314,7 +335,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
     return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(search, SPAN)
 
 
-def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True, crowded_share: float = CROWDED_SHARE, carry: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True, crowded_share: float = CROWDED_SHARE, carry: bool = False, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """``docs`` without words of any ``window``-word passage that an earlier document has too.
 
     A word goes if a window over it has the words of a window in a document of smaller doc_id;
@@ -322,24 +343,24 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True,
     ``kept_text``: the text as it was where nothing goes, else its kept words joined by one
     space (null stays null), and with ``carry`` also ``row``, a struct of the columns as they came.
 
-    A null or empty text has no words. A null doc_id counts as larger than all others. Rows that
-    repeat a doc_id never remove each other's words, and each gives a row; rows with one doc_id and one
+    A null or empty text has no words. A null doc_id counts as larger than all others (2^63-1 is its equal: neither takes
+    words from the other). Rows that repeat a doc_id never remove each other's words, and each gives a row; rows with one doc_id and one
     text are alike and meet in one task, a batch at a time. A text of any length is worked on whole. Further
     columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("text").cast("string").alias("text"), *([F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if carry else []))
-    rows = rows.withColumn("sig", F.xxhash64("text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if carry else []))
+    rows = rows.withColumn("sig", F.xxhash64("text", "doc_id"))
     dealt = rows.repartition(n, "doc", "sig")
-    spans = repeated_spans(rows.drop("row"), dealt, window, crowded_share=crowded_share).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc", "text", "spans", *["row"] * carry)
+    spans = repeated_spans(rows.select("doc", "sig", "text"), dealt.select("doc", "sig", "text"), window, crowded_share=crowded_share, words_at_once=words_at_once).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc_id", "text", "spans", *["row"] * carry)
     made = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())][: 4 + with_text]
     schema = StructType([*made, *([rows.schema["row"]] if carry else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
             out: list[tuple] = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "spans"))):
+            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
                 words = (text or "").encode().split()  # bytes are split at exactly ASCII white space
                 kept, at = [], 0
                 for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
@@ -348,7 +369,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True,
                         at = end
                 kept += words[at:]
                 joined = b" ".join(kept)
-                out.append((None if doc == _NO_ID else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
+                out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in out], kinds[i]) for i in range(4 + with_text)]
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if carry else [])], names=schema.fieldNames())

@@ -195,6 +195,33 @@ def test_substring_of_passages_repeated_within_documents(spark, share):
     assert rows_of(dedup_substrings(frame, crowded_share=share), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
 
 
+@pytest.mark.parametrize("copies", [2, 5])
+@pytest.mark.parametrize("at_once", [20, 1_500_000])
+def test_substring_of_copies_that_repeat_themselves(spark, copies, at_once):
+    """A piece may be full while all its later passages were settled as equal ones; pieces of one key, too."""
+    from glossmill.llm.substring import dedup_substrings
+
+    rng = random.Random(3)
+    text = " ".join(rng.choice("abcdefgh") for _ in range(30_000))
+    rows = [(i, text) for i in range(copies)] + [(90, "x " * 40 + text[:2_000]), (2**63 - 1, text[:500]), (None, "y " * 30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    for share in (0.0, 1.0):
+        found = dedup_substrings(frame, crowded_share=share, words_at_once=at_once)
+        assert rows_of(found, "doc_id", "n_words", "n_removed", "kept_sha256") == brute.substring(rows)
+
+
+def test_same_words():
+    import numpy as np
+    import pyarrow as pa
+
+    from glossmill.llm import words as W
+    from glossmill.llm.substring import _same_words
+
+    words = W.split(pa.array(["a bb c a bb c a bx c", "a bb c"]))
+    assert _same_words(words, np.array([0, 0, 0, 3]), np.array([3, 6, 9, 3]), 3).tolist() == [True, False, True, True]
+    assert not len(_same_words(words, np.array([], int), np.array([], int), 3))
+
+
 @pytest.mark.parametrize("share", [0.0, 1.0])
 def test_substring_tells_words_with_equal_half_hashes_apart(spark, share):
     """Words whose 64-bit hashes agree in their lower or upper 32 bits, in documents equal but for them."""
@@ -364,6 +391,22 @@ def test_pipeline(spark, sf):
     assert [n for n, _ in P.STAGES][-1] == "mixing"
 
 
+def test_pipeline_leaves_tables_of_others(spark, sf):
+    """What a query has made before a run of the pipeline can be read after it, and the run leaves one table."""
+    import os
+
+    import corpus_pipeline as P
+    from glossmill.llm.scratch import drop_all, scratch_dir
+
+    before = Q.op4_mix(spark, sf)
+    folder = os.path.dirname(scratch_dir(spark))
+    had = set(os.listdir(folder))
+    after = P.run(spark, sf)
+    assert before.count() and after.count() and len(set(os.listdir(folder)) - had) == 1
+    drop_all(spark)
+    assert not os.path.exists(folder)
+
+
 def test_pipeline_decides_by_row(spark, tmp_path):
     """Null and repeated doc_ids, null and empty texts, extra columns and an empty table, stage by stage."""
     import corpus_pipeline as P
