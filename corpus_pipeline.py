@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glossmill.llm.decontam import decontaminate
 from glossmill.llm.jaccard import similar_components
 from glossmill.llm.mixing import mix
-from glossmill.llm.scratch import drop_written, scratch_dir
+from glossmill.llm.scratch import drop, scope, scratch_dir
 from glossmill.llm.substring import dedup_substrings
 from glossmill.llm.toxicity import score_toxicity
 
@@ -89,7 +89,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
         path = scratch_dir(spark)
-        stage(spark, docs, sf_dir).write.parquet(path)
-        drop_written(spark, *before)  # the tables that this stage's operators wrote, and what it read
+        with scope(spark):  # removes the tables that this stage's operators wrote, and no others
+            stage(spark, docs, sf_dir).write.parquet(path)
+        drop(spark, *before)
         docs, before = spark.read.parquet(path), [path]
     return docs
