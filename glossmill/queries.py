@@ -17,7 +17,8 @@ from .operators.lexicons import DEHUMANISATION, OUTRAGE, PROBE
 from .operators.markers import with_markers
 from .operators.sentences import sentences
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
-from .sources import web
+from .shared import shared_folder
+from .sources import paged, web
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -114,6 +115,17 @@ def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return web.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "body", "date")
 
 
+def paged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as recorded answers of a paged interface (ten years of months, about 200 to a page), asked for page by page."""
+    docs, at = table(spark, sf_dir, "documents"), shared_folder(spark)
+    made = docs.select((F.lit(2010) + F.pmod("doc_id", F.lit(10))).cast("int").alias("year"), (F.pmod("doc_id", F.lit(12)) + 1).cast("int").alias("month"), F.col("doc_id"), F.col("source").alias("section"), F.coalesce("text", F.lit("")).alias("body"))
+    made = made.withColumns({"date": F.format_string("%d-%02d-01T00:00:00Z", "year", "month"), "title": F.concat(F.lit("Document "), "doc_id"), "url": F.concat(F.lit("https://example.org/"), "doc_id")})
+    paged.record(made, f"{at}/recorded", F.floor(F.col("doc_id") / (60 * 200)).cast("int") + 1)
+    months = [(y, m) for y in range(2010, 2020) for m in range(1, 13) if (y - m) % 2]
+    answers = paged.crawl(spark, f"{at}/read", "glossmill.sources.paged:Recorded", months, lanes=8, pace=0, pause=0, recorded=f"{at}/recorded")
+    return paged.articles_of(answers).select("year", "month", "date", "url", "title", "section", "wordcount", F.length("body").alias("n_chars"), F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def url_host_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").groupBy(F.regexp_extract("url", r"^https?://([^/?#]+)", 1).alias("host")).agg(F.count("*").alias("n"))
 
@@ -363,7 +375,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexicon_density_by_source, lexicon_wide_features, phrase_hits, term_totals_by_language, sentence_stats, modal_pronoun_markers, article_feature_table,
-        keyword_filter, keyword_query_difference, clean_rules_apply, clean_word_delta, boilerplate_rules, page_paragraphs, page_text_extract, url_host_counts,
+        keyword_filter, keyword_query_difference, clean_rules_apply, clean_word_delta, boilerplate_rules, page_paragraphs, page_text_extract, paged_articles, url_host_counts,
         dedup_first_text, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
         composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,
         detrended_spearman, first_diff_spearman, bh_fdr, significance_counts, adf_by_group, trend_robustness, confusion_binary, confusion_multiclass,

@@ -1,9 +1,9 @@
-"""Sitemaps, pages and paged interfaces as tables. Fetching is given from outside."""
+"""Sitemaps and pages as tables. Fetching is given from outside."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -111,33 +111,6 @@ def paragraphs(html: Column) -> Column:
     return F.array_join(F.transform(found, lambda p: F.trim(F.regexp_replace(F.regexp_replace(p, r"<[^>]*>", " "), r"[ \t\n\r]+", " "))), "\n")
 
 
-RESULTS = "response struct<pages:int,results:array<struct<webTitle:string,webUrl:string,webPublicationDate:string,sectionName:string,fields:struct<wordcount:string,bodyText:string>>>>"
-
-
-def paged_articles(months: DataFrame, fetch: Callable[[int, int, int], str | None], least_words: int = 200) -> DataFrame:
-    """Articles of a paged interface, a task for each month: ``fetch(year, month, page)`` gives a page's JSON.
-
-    A month ends at its last page, or when ``fetch`` returns null. Rows without a body or with
-    fewer words are left out. Pages are handed on as they come and parsed by Spark.
-    """
-
-    def pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import json
-
-        for batch in batches:
-            for year, month in zip(batch["year"], batch["month"]):
-                page = last = 1
-                while page <= last and (text := fetch(int(year), int(month), page)) is not None:
-                    last = int(json.loads(text)["response"].get("pages") or 1)
-                    yield pd.DataFrame({"year": [year], "month": [month], "json": [text]})
-                    page += 1
-
-    raw = months.select("year", "month").distinct().repartition("year", "month").mapInPandas(pages, "year int, month int, json string")
-    rows = raw.select("year", "month", F.explode(F.from_json("json", RESULTS)["response"]["results"]).alias("r"))
-    words = F.col("r.fields.wordcount").try_cast("int")
-    return rows.where((words >= least_words) & (F.length("r.fields.bodyText") > 0)).select("year", "month", F.col("r.webPublicationDate").alias("date"), F.col("r.webTitle").alias("title"), F.col("r.webUrl").alias("url"), F.col("r.sectionName").alias("section"), words.alias("wordcount"), F.col("r.fields.bodyText").alias("body"))
-
-
 def compare_queries(texts: DataFrame, first: list[str], second: list[str], body: str = "body") -> DataFrame:
     """How many texts two keyword lists find, their difference in per cent of the first, and a verdict by bands of 5 and 15."""
     from ..functions.text import contains_any

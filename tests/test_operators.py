@@ -1,7 +1,6 @@
 """Hand-written cases, one for each behaviour."""
 
 import io
-import json
 import random
 import zipfile
 
@@ -261,17 +260,6 @@ def test_pages(spark):
     assert [(r.body, r.date) for r in rows] == [("Head\nOne & two", "2016-03-04"), (None, None), ("bare", None)]
 
 
-def test_paged_interface(spark):
-    def fetch(year, month, page):
-        if month == 4:
-            return None
-        item = {"webTitle": f"t{page}", "webUrl": f"u{page}", "webPublicationDate": "2016-03-01T00:00:00Z", "sectionName": "s", "fields": {"wordcount": str(199 + page), "bodyText": "b" if page < 3 else ""}}
-        return json.dumps({"response": {"pages": 3, "results": [item]}})
-
-    months = spark.createDataFrame([(2016, 3), (2016, 4)], "year int, month int")
-    assert [(r.url, r.wordcount) for r in web.paged_articles(months, fetch).orderBy("url").collect()] == [("u1", 200), ("u2", 201)]
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rows = [("express", f"u{i}", "w " * 60 + f"a word {i} and we will go\nREAD MORE: x") for i in range(30)]
     schema = "outlet string, url string, body string"
