@@ -60,6 +60,7 @@ ORACLE_SQL: dict[str, str] = {
     "term_totals_by_language": f"select lang, term, case when term = 'idiot' then 2 else 1 end::int tier, count(*) hits from (select lang, unnest({_TOKENS}) term from documents) where list_contains({_SINGLE}, term) or term = 'idiot' group by all",
     "paged_articles": f"""select (2010 + doc_id % 10)::int "year", (doc_id % 12 + 1)::int "month", printf('%d-%02d-01T00:00:00Z', 2010 + doc_id % 10, doc_id % 12 + 1) date, concat('https://example.org/', doc_id) url, concat('Document ', doc_id) title,
         source section, {_WORDS.format('text')}::int wordcount, length(text) n_chars, md5(text) body_md5 from documents where {_WORDS.format('text')} >= 200""",
+    "stream_first_rows": "select doc_id, lang, source, md5(coalesce(text, '')) text_md5 from documents qualify row_number() over (partition by coalesce(text, '') order by doc_id) = 1",
     "sentence_stats": f"""select doc_id, len(list_filter(str_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[\\s\\x0B\\x{{85}}\\p{{Z}}]+', concat('\\1', chr(10)), 'g'), '\\n+'), lambda s: {_WORDS.format('s')} >= 10)) n_sentences, {_WORDS.format('text')} n_words from documents""",
     "keyword_filter": "select source, count(*) n from documents where contains(lower(text), 'idiot') or contains(lower(text), 'licensed') or contains(lower(text), 'threat') group by source",
     "keyword_query_difference": "select n_first, n_second, round(d, 4) diff_pct, case when d < 5 then 'minor' when d < 15 then 'moderate' else 'large' end verdict from (select *, abs(100.0 * (n_second - n_first) / nullif(n_first, 0))::double d from (select count_if(contains(lower(text), 'idiot') or contains(lower(text), 'licensed'))::bigint n_first, count_if(contains(lower(text), 'idiot') or contains(lower(text), 'licensed') or contains(lower(text), 'threat'))::bigint n_second from documents))",

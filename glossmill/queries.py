@@ -19,6 +19,7 @@ from .operators.sentences import sentences
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
 from .shared import shared_folder
 from .sources import paged, web
+from .streaming.incremental import process_new
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -134,6 +135,16 @@ def dedup_first_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.first_rows(table(spark, sf_dir, "documents").select("text", "doc_id", "source"), "text", "doc_id").select("doc_id", "source")
 
 
+def stream_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as a stream of files: of each text, the row with the least doc_id, with the batch that brought it."""
+    at = shared_folder(spark)
+    hashed = lambda df: df.select("doc_id", "lang", "source", F.col("url").alias("text_md5"))
+    made = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("url"))
+    made.write.parquet(f"{at}/in")
+    process_new(spark, f"{at}/in", f"{at}/out", f"{at}/ledger", f"{at}/checkpoint", made.schema.simpleString()[7:-1].replace(":", " "), hashed, files_at_once=100_000, order=["doc_id"]).awaitTermination()
+    return spark.read.parquet(f"{at}/out").drop("batch")
+
+
 def resume_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = table(spark, sf_dir, "documents").select("doc_id", "source")
     labels = table(spark, sf_dir, "labels")
@@ -376,7 +387,7 @@ QUERIES = {
     for f in (
         lexicon_density_by_source, lexicon_wide_features, phrase_hits, term_totals_by_language, sentence_stats, modal_pronoun_markers, article_feature_table,
         keyword_filter, keyword_query_difference, clean_rules_apply, clean_word_delta, boilerplate_rules, page_paragraphs, page_text_extract, paged_articles, url_host_counts,
-        dedup_first_text, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
+        dedup_first_text, stream_first_rows, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
         composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,
         detrended_spearman, first_diff_spearman, bh_fdr, significance_counts, adf_by_group, trend_robustness, confusion_binary, confusion_multiclass,
         stance_label, stratified_sample_sizes, balanced_sample_sizes, score_distribution, sitemap_expand, topic_and_stance, window_share,

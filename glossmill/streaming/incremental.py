@@ -10,40 +10,36 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.cleaning import clean
 from ..plans.features import article_features, usable
+from .ledger import first_seen
 
+#: Where a row of a file stream stands: by file and block, then by its number, which only Parquet tells (else by its hash).
+_PLACE = {"_time": "file_modification_time", "_path": "file_path", "_block": "file_block_start"}
 
-def process_new(spark: SparkSession, source: str, out: str, ledger: str, checkpoint: str, schema: str, transform: Callable[[DataFrame], DataFrame] | None = None, files_at_once: int = 200, file_format: str = "parquet") -> StreamingQuery:
+
+def process_new(spark: SparkSession, source: str, out: str, ledger: str, checkpoint: str, schema: str, transform: Callable[[DataFrame], DataFrame] | None = None, files_at_once: int = 200, file_format: str = "parquet", order: list[str] | None = None, expire_hours: float | None = None) -> StreamingQuery:
     """Processes files that earlier calls have not seen, then stops.
 
-    Every URL tried goes to the ledger with its batch, kept or not; a URL that is in the ledger
-    from another batch is not tried again. A batch that is run again, after a loss of the driver,
-    replaces what it wrote before, so each row is written once.
+    Of each URL the first row is tried (by ``order``, or else by time and path of its file and place in it), once over all
+    calls. Which URLs were seen is state of the stream (see ``ledger.first_seen``): a batch looks up its own. Every URL tried goes to
+    the table ``ledger`` with its batch, kept or not, for readers; the stream never reads it. A batch that is run again, after a
+    loss of the driver, replaces what it wrote before, so each row is written once.
     """
     transform = transform or (lambda df: article_features(usable(clean(df))))
     incoming = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).format(file_format).load(source)
+    number = F.col("_metadata.row_index") if file_format == "parquet" else F.xxhash64(*incoming.columns)
+    placed = incoming.select("*", *(F.col(f"_metadata.{c}").alias(n) for n, c in _PLACE.items()), number.alias("_row"))
+    fresh = first_seen(placed, "url", order or [*_PLACE, "_row"], expire_hours).drop(*_PLACE, "_row")
 
     def batch(df: DataFrame, number: int) -> None:
-        session = df.sparkSession
-        seen = _read(session, ledger, "url string, batch long").where(F.col("batch") != number).select("url")
-        fresh = df.dropDuplicates(["url"]).join(seen, "url", "left_anti").persist()
+        df = df.persist()
         try:
-            transform(fresh).withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(out)
-            fresh.select("url").withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(ledger)
+            by_batch = lambda rows: rows.withColumn("batch", F.lit(number).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch")
+            by_batch(transform(df)).parquet(out)
+            by_batch(df.select("url")).parquet(ledger)
         finally:
-            fresh.unpersist()
-
-    return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    from pyspark.errors import AnalysisException
+            df.unpersist()
 
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    return fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def deduplicated(stream: DataFrame, key: str = "url", time: str | None = None, late: str = "7 days") -> DataFrame:

@@ -277,6 +277,47 @@ def test_stream_equals_batch(spark, tmp_path):
     assert spark.read.parquet(at["ledger"]).count() == 30
 
 
+def _started(spark, at, transform, schema="url string, n long, body string", **options):
+    return process_new(spark, at["in"], at["out"], at["ledger"], at["check"], schema, transform=transform, **options)
+
+
+def test_first_rows_of_a_stream_and_what_a_batch_reads(spark, tmp_path):
+    """The first row of a url is kept, over batches and in one; a batch asks the state for its own keys only, and never reads the ledger."""
+    import shutil
+
+    at = {k: str(tmp_path / k) for k in ("in", "out", "ledger", "check")}
+    schema = "url string, n long, body string"
+    spark.createDataFrame([(f"u{i % 500}", i, "b") for i in range(1500)], schema).write.parquet(at["in"])
+    _started(spark, at, lambda df: df, order=["n"]).awaitTermination()
+    shutil.rmtree(at["ledger"])
+    spark.createDataFrame([("u7", -1, "late"), (None, 2, "b"), (None, 1, "a"), ("new", 3, "c")], schema).write.mode("append").parquet(at["in"])
+    query = _started(spark, at, lambda df: df, order=["n"])
+    query.awaitTermination()
+    got = {(r.url, r.n) for r in spark.read.parquet(at["out"]).collect()}
+    assert got == {(f"u{i}", i) for i in range(500)} | {(None, 1), ("new", 3)}
+    state = [p["stateOperators"][0] for p in query.recentProgress if p["numInputRows"]][0]
+    assert state["numRowsTotal"] == 502 and state["customMetrics"]["rocksdbGetCount"] <= 6
+    assert {r.url for r in spark.read.parquet(at["ledger"]).collect()} == {None, "new"}
+
+
+def test_a_stream_that_fails_goes_on(spark, tmp_path):
+    """A batch that fails after it has written is run again, and what it wrote is there once."""
+    at = {k: str(tmp_path / k) for k in ("in", "out", "ledger", "check")}
+    schema = "url string, n long, body string"
+    spark.createDataFrame([(f"u{i % 40}", i, "b") for i in range(100)], schema).write.parquet(at["in"])
+
+    def failing(df):
+        df.withColumn("batch", F.lit(0).cast("long")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(at["out"])
+        raise RuntimeError("lost")
+
+    with pytest.raises(Exception, match="lost"):
+        _started(spark, at, failing, order=["n"]).awaitTermination()
+    for _ in range(2):
+        _started(spark, at, lambda df: df, order=["n"]).awaitTermination()
+    assert sorted((r.url, r.n) for r in spark.read.parquet(at["out"]).collect()) == sorted((f"u{i}", i) for i in range(40))
+    assert spark.read.parquet(at["ledger"]).count() == 40
+
+
 def test_model_input_or_query_and_labels(spark):
     rows = spark.createDataFrame([("t", "b"), (None, "b"), ("t", None)], "title string, body string")
     assert [r[0] for r in rows.select(text.model_input(F.col("title"), F.col("body"))).collect()] == ["t. b", "nan. b", "t. nan"]
