@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 LAST_DAY = 28  #: windows end on this day of the quarter's last month
 
 
@@ -60,9 +62,11 @@ def descriptives(df: DataFrame, features: list[str], group: str = "outlet") -> D
     """Size, mean, deviation, median, extremes and quartiles of each feature in each group."""
     long = df.unpivot([group], features, "feature", "value").where("value is not null")
     r = lambda c: F.round(c, 4)
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    found = long.groupBy(group, "feature").agg(F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"), q.alias("_q"), r(F.min("value")).alias("min"), r(F.max("value")).alias("max"))
-    return found.select(group, "feature", "n", "mean", "std", r(F.col("_q")[1]).alias("median"), "min", "max", r(F.col("_q")[0]).alias("q25"), r(F.col("_q")[2]).alias("q75"))
+    keys = [group, "feature"]
+    found = long.groupBy(*keys).agg(F.count("value").alias("n"), r(F.avg("value")).alias("mean"), r(F.stddev_samp("value")).alias("std"), r(F.min("value")).alias("min"), r(F.max("value")).alias("max"))
+    cut = quantiles(long, "value", keys, [0.25, 0.5, 0.75]).withColumnRenamed(group, "_group").withColumnRenamed("feature", "_feature")
+    both = found.join(cut, F.col(group).eqNullSafe(F.col("_group")) & (F.col("feature") == F.col("_feature")))
+    return both.select(group, "feature", "n", "mean", "std", r(F.col("q")[1]).alias("median"), "min", "max", r(F.col("q")[0]).alias("q25"), r(F.col("q")[2]).alias("q75"))
 
 
 def annual_means(df: DataFrame, features: list[str], group: str = "outlet", year: str = "year") -> DataFrame:

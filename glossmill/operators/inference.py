@@ -8,20 +8,23 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, f_two, student_t, t_quantile
 from ..functions.text import stars
-
-
-def average_rank(x: Column, *keys: str) -> Column:
-    """Rank within the keys, equal values sharing the mean of their places."""
-    return F.rank().over(Window.partitionBy(*keys).orderBy(x)) + (F.count("*").over(Window.partitionBy(*keys, x)) - 1) / 2.0
+from .order import quantiles, with_rank
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5) -> DataFrame:
-    """``keys, n, rho, p``: Spearman's correlation of pairs without nulls; null without variance, no row under ``least`` pairs."""
+    """``keys, n, rho, p``: Spearman's correlation of pairs without nulls; null without variance, no row under ``least`` pairs.
+
+    Equal pairs are counted before they are ranked. Ranks come from counts of values, so no group is sorted in one task.
+    """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = rows.select(*keys, average_rank(F.col(x), *keys).alias("rx"), average_rank(F.col(y), *keys).alias("ry"))
-    sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry")).alias("rho"))
+    pairs = rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m"))
+    ranked = with_rank(with_rank(pairs, "_x", keys, "rx", "_m", centred=True), "_y", keys, "ry", "_m", centred=True)
+    a, b, m = F.col("rx"), F.col("ry"), F.col("_m")
+    s = ranked.groupBy(*keys).agg(F.sum(m).alias("n"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
+    s = s.withColumn("rho", F.try_divide(F.col("ab"), F.sqrt("aa") * F.sqrt("bb")))
     rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round("rho", 12)))
-    return sums.where(F.col("n") >= least).withColumn("rho", F.when(F.col("rho").isNotNull(), rho)).withColumn("p", F.when(F.col("rho").isNotNull(), correlation_p(F.col("rho"), F.col("n"))))
+    s = s.where(F.col("n") >= least).select(*keys, "n", F.when(F.col("rho").isNotNull(), rho).alias("rho"))
+    return s.withColumn("p", F.when(F.col("rho").isNotNull(), correlation_p(F.col("rho"), F.col("n"))))
 
 
 def spearman(df: DataFrame, features: list[str], outcome: str, group: str = "outlet", least: int = 5) -> DataFrame:
@@ -43,9 +46,9 @@ def anova(df: DataFrame, features: list[str], outcome: str, group: str = "outlet
     rows and three tertiles of two rows or more.
     """
     rows = df.where(F.col(outcome).isNotNull())
-    cuts = rows.groupBy(group).agg(F.percentile(outcome, F.array(F.lit(1 / 3), F.lit(2 / 3))).alias("cuts"), F.min(outcome).alias("lo"), F.max(outcome).alias("hi"))
-    cuts = cuts.where((F.col("lo") < F.col("cuts")[0]) & (F.col("cuts")[1] < F.col("hi"))).drop("lo", "hi")
-    tagged = rows.join(F.broadcast(cuts), group).withColumn("tertile", tertile(F.col(outcome), F.col("cuts"))).where("tertile is not null")
+    cuts = quantiles(rows, outcome, [group], [0.0, 1 / 3, 2 / 3, 1.0])
+    cuts = cuts.where((F.col("q")[0] < F.col("q")[1]) & (F.col("q")[2] < F.col("q")[3])).select(group, F.slice("q", 2, 2).alias("cuts"))
+    tagged = rows.join(cuts, group).withColumn("tertile", tertile(F.col(outcome), F.col("cuts"))).where("tertile is not null")
     long = tagged.unpivot([group, "tertile"], features, "feature", "value").where("value is not null")
     cells = long.groupBy(group, "feature", "tertile").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.var_samp("value").alias("v"))
     each = [F.max(F.when(F.col("tertile") == t, F.col(c))).alias(f"{c}_{t}") for t in ("low", "mid", "high") for c in ("n", "m", "v")]

@@ -7,6 +7,8 @@ import warnings
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order import quantiles
+
 #: Spellings of outlets and their codes.
 OUTLETS = {
     "guardian": "guardian", "the guardian": "guardian", "daily express": "express", "express": "express", "the independent": "independent",
@@ -98,7 +100,9 @@ def score_counts(df: DataFrame, score: str, cuts: tuple[float, ...] = (0.5, 0.7,
     """Mean, median, deviation, and how many rows lie above each cut."""
     c = F.col(score)
     above = [F.count_if(c > x).alias(f"above_{str(x).replace('.', '_')}") for x in cuts]
-    return df.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.median(c), 6).alias("median"), F.round(F.stddev_samp(c), 6).alias("std"), *above)
+    found = df.agg(F.count(c).alias("n"), F.round(F.avg(c), 6).alias("mean"), F.round(F.stddev_samp(c), 6).alias("std"), *above)
+    half = quantiles(df.select(F.lit(0).alias("_all"), c.alias("_score")), "_score", ["_all"], [0.5]).select(F.round(F.col("q")[0], 6).alias("median"))
+    return found.join(half, how="left").select("n", "mean", "median", "std", *(n for n in found.columns if n.startswith("above_")))  # a row each, or none
 
 
 def binary_agreement(df: DataFrame, human: str, machine: str) -> DataFrame:

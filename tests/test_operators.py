@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glossmill.functions import pvalues, text
-from glossmill.operators import align, inference, tables
+from glossmill.operators import align, inference, order, tables
 from glossmill.operators.cleaning import RULES, clean, cleaning_report
 from glossmill.operators.lexicon import lexicon_counts
 from glossmill.operators.lexicons import DEHUMANISATION, OUTRAGE
@@ -130,12 +130,64 @@ def test_rolling_year_equals_the_range_join(spark):
 
 def test_rank_statistics(spark):
     rows = spark.createDataFrame([("a", float(x)) for x in (1, 1, 2, 4)], "g string, x double")
-    assert sorted(r[0] for r in rows.select(inference.average_rank(F.col("x"), "g")).collect()) == [1.5, 1.5, 3, 4]
+    assert sorted(r[0] for r in order.with_rank(rows, "x", ["g"], "r").select("r").collect()) == [1.5, 1.5, 3, 4]
     flat = spark.createDataFrame([("a", 1.0, float(i)) for i in range(6)] + [("b", float(i), float(i * i)) for i in range(6)] + [("c", 1.0, 2.0)] * 4, "outlet string, x double, y double")
     got = {r.outlet: r for r in inference.rank_correlation(flat, "x", "y", ["outlet"]).collect()}
     assert got["a"].rho is None and got["a"].p is None and got["b"].rho == 1 and got["b"].p == 0 and "c" not in got
 
 
+def ranks(values):
+    """Places from 1, equal values sharing their mean."""
+    return [sum(v < x for v in values) + (values.count(x) + 1) / 2 for x in values]
+
+
+def _skewed(spark):
+    """Groups of four sizes, one with most of the rows, one full of one value, a null group, null values and extremes."""
+    dice = random.Random(11)
+    rows = [("big", dice.choice([0.0, dice.gauss(0, 9), float(dice.randint(0, 50))]), float(dice.randint(0, 9))) for _ in range(6000)]
+    rows += [("flat", 1.0, float(i)) for i in range(700)] + [("one", 5.0, 1.0), (None, 2.0, 1.0), (None, 4.0, 2.0), (None, 9.0, 0.0)]
+    rows += [("some", dice.choice([None, -1e300, 1e300, 0.25, 0.5]), dice.choice([None, 1.0, 2.0])) for _ in range(60)]
+    return rows, spark.createDataFrame(rows, "g string, x double, y double")
+
+
+def test_quantiles_of_groups_of_any_size(spark):
+    import numpy as np
+
+    rows, frame = _skewed(spark)
+    parts = [0.0, 0.25, 1 / 3, 0.5, 0.9, 1.0]
+    found = order.quantiles(frame, "x", ["g"], parts)
+    said = {r.g: r.q for r in found.collect()}
+    for g in {r[0] for r in rows}:
+        values = [x for k, x, _ in rows if k == g and x is not None]
+        assert said[g] == pytest.approx(list(np.quantile(values, parts)), rel=1e-12), g
+    exact = {r.g: r.q for r in frame.groupBy("g").agg(F.percentile("x", F.array(*map(F.lit, parts))).alias("q")).collect()}
+    assert said == exact
+    assert order.quantiles(frame.where("false"), "x", ["g"], [0.5]).count() == 0
+
+
+def test_ranks_of_groups_of_any_size(spark):
+    rows, frame = _skewed(spark)
+    found = order.with_rank(frame, "x", ["g"], "rank")
+    want = []
+    for g in {r[0] for r in rows}:
+        values = [x for k, x, _ in rows if k == g and x is not None]
+        want += [(g, x, r) for x, r in zip(values, ranks(values))]
+    assert sorted(map(str, want)) == sorted(str((r.g, r.x, r["rank"])) for r in found.collect())
+    plan = found._jdf.queryExecution().toString()
+    assert "rank(" not in plan  # no window over a group orders its rows
+
+
+def test_rank_correlation_of_groups_of_any_size(spark):
+    import numpy as np
+    rows, frame = _skewed(spark)
+    found = {r.g: r for r in inference.rank_correlation(frame, "x", "y", ["g"], 3).collect()}
+    for g in ("big", "some", None):
+        pairs = [(x, y) for k, x, y in rows if k == g and x is not None and y is not None]
+        a, b = (np.array(ranks([p[i] for p in pairs])) for i in (0, 1))
+        assert found[g].n == len(pairs) and found[g].rho == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-10)
+    assert found["flat"].rho is None and "one" not in found
+
+
 def test_q_values(spark):
     rows = spark.createDataFrame([(p, i) for i, p in enumerate((0.01, 0.04, 0.03, 0.5, 0.02))], "p double, i int")
     assert [r.q for r in inference.benjamini_hochberg(rows, "p", ["i"]).orderBy("i").collect()] == [0.05, 0.05, 0.05, 0.5, 0.05]
