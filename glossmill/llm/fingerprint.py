@@ -81,7 +81,8 @@ def fingerprint(text: Column) -> Column:
 
 def piece_digests(fp: Column) -> Column:
     """The distinct digests of a fingerprint's pieces."""
-    return F.array_distinct(F.regexp_extract_all(F.regexp_replace(fp, r"[0-9a-f]+[(:=]", ""), F.lit(f"[0-9a-f]{{{PIECE_HEX}}}"), F.lit(0)))
+    runs = F.regexp_extract_all(fp, F.lit("=([0-9a-f]*+)"), F.lit(1))
+    return F.array_distinct(F.regexp_extract_all(F.array_join(runs, ""), F.lit(f"[0-9a-f]{{{PIECE_HEX}}}"), F.lit(0)))
 
 
 def likeness(a: Column, b: Column, of: tuple[Column, Column] | None = None) -> Column:
@@ -93,9 +94,9 @@ def likeness(a: Column, b: Column, of: tuple[Column, Column] | None = None) -> C
 
 def edited_places(a: Column, b: Column) -> Column:
     """Numbers, from 1, of the paragraphs of ``a`` that ``b`` hasn't. Sections that both have are passed over whole."""
-    parts = lambda fp: F.regexp_extract_all(fp, F.lit(r"([0-9a-f]+)\("), F.lit(1))
+    parts = lambda fp: F.regexp_extract_all(fp, F.lit(r"[:)]([0-9a-f]++)\("), F.lit(1))
     held = lambda fp: F.regexp_extract_all(fp, F.lit(r"\(([^)]*)\)"), F.lit(1))
-    names = lambda fp: F.regexp_extract_all(fp, F.lit("([0-9a-f]+)="), F.lit(1))
+    names = lambda fp: F.regexp_extract_all(fp, F.lit("[(,]([0-9a-f]++)="), F.lit(1))
     differing = F.array_except(parts(a), parts(b))
     said = F.zip_with(parts(a), held(a), lambda d, s: F.transform(F.split(s, ","), lambda p: F.struct(F.array_contains(differing, d).alias("look"), F.substring_index(p, "=", 1).alias("name"))))
     theirs = names(b)
