@@ -349,18 +349,18 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True,
     columns are ignored.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *([F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if carry else []))
-    rows = rows.withColumn("sig", F.xxhash64("text", "doc_id"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"), F.xxhash64("text").bitwiseAND(F.lit(-2)).bitwiseOR(F.col("doc_id").isNull().cast("long")).alias("sig"), F.col("text").cast("string").alias("text"), *([F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row")] if carry else []))
+    # the last bit of sig says that there is no doc_id; a further column would cost a second shuffle of the texts
     dealt = rows.repartition(n, "doc", "sig")
-    spans = repeated_spans(rows.select("doc", "sig", "text"), dealt.select("doc", "sig", "text"), window, crowded_share=crowded_share, words_at_once=words_at_once).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
-    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc_id", "text", "spans", *["row"] * carry)
+    spans = repeated_spans(rows.drop("row"), dealt, window, crowded_share=crowded_share, words_at_once=words_at_once).groupBy("doc", "sig").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
+    joined = dealt.join(spans, ["doc", "sig"], "left").select("doc", "sig", "text", "spans", *["row"] * carry)
     made = [StructField("doc_id", LongType()), StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("kept_sha256", StringType()), StructField("kept_text", StringType())][: 4 + with_text]
     schema = StructType([*made, *([rows.schema["row"]] if carry else [])])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(batches):
             out: list[tuple] = []
-            for doc, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "spans"))):
+            for doc, sig, text, spans in zip(*(batch.column(c).to_pylist() for c in ("doc", "sig", "text", "spans"))):
                 words = (text or "").encode().split()  # bytes are split at exactly ASCII white space
                 kept, at = [], 0
                 for begin, end in sorted((s["begin"], s["end"]) for s in spans or ()):
@@ -369,7 +369,7 @@ def dedup_substrings(docs: DataFrame, window: int = 13, with_text: bool = True,
                         at = end
                 kept += words[at:]
                 joined = b" ".join(kept)
-                out.append((doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
+                out.append((None if sig & 1 else doc, len(words), len(words) - len(kept), hashlib.sha256(joined).hexdigest(), text if len(kept) == len(words) else joined.decode()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             columns = [pa.array([r[i] for r in out], kinds[i]) for i in range(4 + with_text)]
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column("row")] if carry else [])], names=schema.fieldNames())
