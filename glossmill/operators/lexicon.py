@@ -2,48 +2,56 @@
 
 from __future__ import annotations
 
-import re
-from functools import reduce
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import density, phrase_count, word_count, word_tokens
+from ..functions.text import density, word_count, word_tokens
+from .automaton import group_counts, terms_of
 from .lexicons import Term
 
+Lexicon = Sequence[Term] | DataFrame
 
-def term_count(lowered: Column, tokens: Column, terms: list[Term]) -> Column:
-    """Hits of all terms, each counted by itself: single words as whole words, phrases as literals."""
-    single = [t.term for t in terms if " " not in t.term]
-    phrases = [t.term for t in terms if " " in t.term]
-    n = F.size(F.filter(tokens, lambda t: t.isin(single))).cast("long") if single else F.lit(0).cast("long")
-    if phrases:
-        some = lowered.rlike("|".join(re.escape(p).replace(r"\ ", " ") for p in phrases))
-        n = n + F.when(some, reduce(lambda a, b: a + b, [phrase_count(lowered, p) for p in phrases])).otherwise(F.lit(0))
-    return n
 
+def _terms(lexicon: Lexicon) -> list[Term]:
+    return terms_of(lexicon) if isinstance(lexicon, DataFrame) else list(lexicon)
 
-def lexicon_counts(docs: DataFrame, lexicon: list[Term], body: str = "body", by: str = "category") -> DataFrame:
-    """``docs`` with ``n_words`` and a column ``n_<value>`` for each tier or category of the lexicon.
 
-    Tokens of no term are dropped in one pass; each group counts what is left. A null body has no hits.
+def lexicon_counts(docs: DataFrame, lexicon: Lexicon, body: str = "body", by: str = "category") -> DataFrame:
+    """``docs`` with ``n_words`` and a column ``n_<value>`` for each tier or category of the lexicon, a list or a table of terms.
+
+    A null body has no hits.
     """
-    lowered = F.lower(F.coalesce(F.col(body), F.lit("")))
-    single = sorted({t.term for t in lexicon if " " not in t.term})
-    hits = F.filter(word_tokens(F.col("_lowered")), lambda t: t.isin(single))
-    rows = docs.withColumn("_lowered", lowered).withColumn("_hits", hits)
-    groups: dict[str, list[Term]] = {}
-    for t in lexicon:
-        groups.setdefault(str(getattr(t, by)), []).append(t)
-    counted = {f"n_{g}": term_count(F.col("_lowered"), F.col("_hits"), terms) for g, terms in groups.items()}
-    return rows.withColumns({"n_words": word_count(F.col("_lowered")), **counted}).drop("_lowered", "_hits")
-
-
-def dehumanisation(lowered: Column, tokens: Column, words: Column, lexicon: list[Term]) -> dict[str, Column]:
+    rows = docs.withColumn("_lowered", F.lower(F.coalesce(F.col(body), F.lit(""))))
+    counted = {f"n_{g}": c for g, c in group_counts(F.col("_lowered"), _terms(lexicon), by).items()}
+    return rows.withColumns({"n_words": word_count(F.col("_lowered")), **counted}).drop("_lowered")
+
+
+Counts = Callable[..., Column]
+
+
+def counts_of(docs: DataFrame, lowered: Column, lexicons: dict[str, Lexicon]) -> tuple[DataFrame, Callable[[str], Counts]]:
+    """``docs`` with the hits of all terms of all lexicons in one pass, and a function that sums those of a name by tier and category."""
+    named = [Term(name, t.term, t.tier, t.category) for name, lexicon in lexicons.items() for t in _terms(lexicon)]
+    found = group_counts(lowered, named)
+    rows = docs.withColumn("_found", F.array(*found.values()) if found else F.array().cast("array<bigint>"))
+    place = {g: F.col("_found")[i] for i, g in enumerate(found)}
+
+    def of(name: str) -> Counts:
+        def total(tier: int | None = None, category: str | None = None) -> Column:
+            some = [c for (lexicon, t, k), c in place.items() if lexicon == name and tier in (None, t) and category in (None, k)]
+            return sum(some, F.lit(0).cast("long"))
+
+        return total
+
+    return rows, of
+
+
+def dehumanisation(count: Counts, words: Column) -> dict[str, Column]:
     """Totals by tier and densities by tier and category; all 0 for a text of no words."""
-    zero = F.lit(0).cast("long")
-    tier = {k: F.when(words > 0, term_count(lowered, tokens, [t for t in lexicon if t.tier == k])).otherwise(zero) for k in (1, 2)}
-    cat = lambda c: density(term_count(lowered, tokens, [t for t in lexicon if t.category == c]), words)
+    tier = {k: F.when(words > 0, count(tier=k)).otherwise(F.lit(0).cast("long")) for k in (1, 2)}
+    cat = lambda c: density(count(category=c), words)
     total = tier[1] + tier[2]
     return {
         "dehum_total": total, "dehum_tier1": tier[1], "dehum_tier2": tier[2],
@@ -53,9 +61,9 @@ def dehumanisation(lowered: Column, tokens: Column, words: Column, lexicon: list
     }
 
 
-def outrage(lowered: Column, tokens: Column, words: Column, lexicon: list[Term]) -> dict[str, Column]:
-    total = F.when(words > 0, term_count(lowered, tokens, lexicon)).otherwise(F.lit(0).cast("long"))
-    cat = lambda c: density(term_count(lowered, tokens, [t for t in lexicon if t.category == c]), words)
+def outrage(count: Counts, words: Column) -> dict[str, Column]:
+    total = F.when(words > 0, count()).otherwise(F.lit(0).cast("long"))
+    cat = lambda c: density(count(category=c), words)
     return {
         "outrage_total": total, "outrage_density": density(total, words), "outrage_condemnation_density": cat("moral_condemnation"),
         "outrage_shame_density": cat("institutional_shame"), "outrage_intensifier_density": cat("outrage_intensifier"), "outrage_tabloid_density": cat("tabloid_outrage"),

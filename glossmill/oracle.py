@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .operators.cleaning import HEADLINE_BLOCK, NEXT_BLOCK, ROUTES, RULES, Rule
-from .operators.lexicons import DEHUMANISATION, OUTRAGE, Term
-from .queries import BOILERPLATE
+from .operators.lexicons import CERTAINTY, DEHUMANISATION, HEDGING, INGROUP, NOT_EPISTEMIC, OUTGROUP, OUTRAGE, TITLES, Term
+from .operators.sentences import ASK, ASK_MOST, BOOST, BOOSTERS, CAPS, DAMPENERS, DEMO_VALENCE, EXCLAIM, EXCLAIM_MOST, NEGATED, NEGATIONS, NEVER_SO, NORMAL
+from .queries import BOILERPLATE, PUT_FEELINGS, PUT_MARKERS
 
 _WORDS = "len(regexp_extract_all(coalesce({0}, ''), '[^\\s\\x0B\\x{{85}}\\p{{Z}}]+'))"
 _TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')"
@@ -19,6 +20,73 @@ _ALIGNED = f"""{_DATED}, {_SERIES}, aligned as (select outlet, y, m, net, count(
 _LONG = "long as (select outlet, y, m, net, feature, v from aligned unpivot (v for feature in (price, rest, sparse)))"
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _listed(words: list[str]) -> str:
+    return "(" + ", ".join(map(_quoted, words)) + ")"
+
+
+def _with_words_put(put: dict[str, str]) -> str:
+    """The text of ``documents`` with whole words replaced by others."""
+    cases = " ".join(f"when {_quoted(k)} then {_quoted(v)}" for k, v in put.items())
+    return f"array_to_string(list_transform(regexp_extract_all(coalesce(text, ''), '\\p{{L}}+|\\P{{L}}+'), lambda x: case x {cases} else x end), '')"
+
+
+def _markers() -> str:
+    """Tokens with the token before each; counts, then rates and ratios."""
+    split = f"regexp_replace({_with_words_put(PUT_MARKERS)}, '(?i)(\\p{{L}})(n''t|''ll|''re|''ve|''s|''d|''m)(\\P{{L}}|$)', '\\1 \\2\\3', 'g')"
+    tokens = f"regexp_extract_all({split}, 'n''t|''\\p{{L}}+|\\p{{L}}+|[.!?\\n]|[^\\s\\p{{L}}.!?]+')"
+    count = lambda words: f"len(list_filter(t, lambda x: lower(x) in {_listed(words)}))"
+    modal = lambda word: f"len(list_filter(t, lambda x, i: lower(x) = '{word}' and (i = 1 or t[i - 1] in ('.', '!', '?', chr(10)) or not regexp_matches(x, '^\\p{{Lu}}') or lower(t[i - 1]) not in {_listed(TITLES)})))"
+    counts = {
+        "w": "len(list_filter(t, lambda x: regexp_full_match(x, '\\p{L}+')))", "c": count(CERTAINTY), "s": count([x for x in CERTAINTY if x not in NOT_EPISTEMIC]),
+        "h": count(HEDGING), "may": modal("may"), "would": modal("would"), "i": count(INGROUP), "o": count(OUTGROUP),
+    }
+    said = ", ".join(f"{v} {k}" for k, v in counts.items())
+    rate = lambda x: f"round(coalesce(({x}) * 1000.0::double / nullif(w, 0), 0), 4)"
+    part = lambda x, y: f"round(({x})::double / nullif({y}, 0), 4)"
+    return f"""with k as (select doc_id, {tokens} t from documents), n as (select doc_id, {said} from k)
+        select doc_id, c modal_certainty_count, h + may + would modal_hedging_count, w modal_word_count, {rate('c')} modal_certainty_per1k, {rate('h + may + would')} modal_hedging_per1k,
+        {part('c', 'c + h + may + would')} modal_certainty_ratio, {part('s', 's + h + may')} modal_epistemic_ratio, {rate('c - h - may - would')} modal_balance, {rate('s - h - may')} modal_epi_balance,
+        i pron_ingroup_count, o pron_outgroup_count, {rate('i')} pron_ingroup_per1k, {rate('o')} pron_outgroup_per1k, {rate('i - o')} pron_inclusion_index, {part('i', 'i + o')} pron_ingroup_ratio from n"""
+
+
+def _sentiment() -> str:
+    """Words of sentences as rows that look up to three rows back; one step of the rules in each of the tables v0 to v4."""
+    pieces = f"""list_filter(str_split_regex(regexp_replace({_with_words_put(PUT_FEELINGS)}, '([.!?])[\\s\\x0B\\x{{85}}\\p{{Z}}]+', concat('\\1', chr(10)), 'g'), '\\n+'), lambda s: {_WORDS.format('s')} >= 10)"""
+    known = ", ".join(f"({_quoted(k)}, {v}::double)" for k, v in DEMO_VALENCE.items())
+    boost = ", ".join([f"({_quoted(k)}, {BOOST}::double)" for k in BOOSTERS] + [f"({_quoted(k)}, -{BOOST}::double)" for k in DAMPENERS])
+    marks = "[!-/:-@\\[-`{-~]+"
+    step = lambda k, fade: f"""v{k - 1} + coalesce(case when k{k} is null and l{k} is not null then {fade} * (case when v{k - 1} < 0 then -b{k} else b{k} end
+            + case when mixed and u{k} then case when v{k - 1} > 0 then {CAPS} else -{CAPS} end else 0 end) end, 0)"""
+    no = lambda k: f"(l{k} in {_listed(NEGATIONS)} or contains(l{k}, 'n''t'))"
+    turn = lambda k, between: f"case when l{k} is null or k{k} is not null then 1 {between} when {no(k)} then {NEGATED} else 1 end"
+    two = f"when l2 = 'never' and l1 in ('so', 'this') then {NEVER_SO} when l2 = 'without' and l1 = 'doubt' then 1"
+    three = f"when l3 = 'never' and (l1 in ('so', 'this') or l2 in ('so', 'this')) then {NEVER_SO} when l3 = 'without' and (l1 = 'doubt' or l2 = 'doubt') then 1"
+    back = ", ".join(f"lag({c}, {k}) over o {c}{k}" for k in (1, 2, 3) for c in "lku")
+    return f"""with s as (select doc_id, generate_subscripts(x, 1) s, unnest(x) said from (select doc_id, {pieces} x from documents)),
+        w as (select doc_id, s, said, generate_subscripts(x, 1) i, unnest(x) raw from (select doc_id, s, said, regexp_extract_all(said, '[^\\s\\x0B\\x{{85}}\\p{{Z}}]+') x from s)),
+        b as (select *, regexp_replace(regexp_replace(raw, '^{marks}', ''), '{marks}$', '') bare from w),
+        t as (select * exclude (raw, bare), case when length(bare) <= 2 then raw else bare end word from b),
+        known as (select * from (values {known}) x(term, v)), boost as (select * from (values {boost}) x(term, b)),
+        r as (select t.*, lower(word) l, known.v k, word = upper(word) and word <> lower(word) u from t left join known on known.term = lower(word)),
+        q as (select *, {back}, lead(l) over o n1, lead(k) over o nk, count_if(u) over p shouted, count(*) over p total, min(case when l = 'but' then i end) over p turn
+            from r window o as (partition by doc_id, s order by i), p as (partition by doc_id, s)),
+        h as (select q.*, 0 < shouted and shouted < total mixed, x1.b b1, x2.b b2, x3.b b3, coalesce(y2.b, 0) + coalesce(y3.b, 0) pairs from q left join boost x1 on x1.term = l1
+            left join boost x2 on x2.term = l2 left join boost y2 on y2.term = concat(l2, ' ', l1) left join boost x3 on x3.term = l3 left join boost y3 on y3.term = concat(l3, ' ', l2) where k is not null),
+        v0 as (select *, case when l1 = 'no' or l2 = 'no' or l3 = 'no' and l1 in ('or', 'nor') then k * {NEGATED} else k end base from h),
+        v1 as (select *, base + case when mixed and u then case when base > 0 then {CAPS} else -{CAPS} end else 0 end v0 from v0),
+        v2 as (select *, ({step(1, 1.0)}) * {turn(1, '')} v1 from v1), v3 as (select *, ({step(2, 0.95)}) * {turn(2, two)} v2 from v2), v4 as (select *, ({step(3, 0.9)}) * {turn(3, three)} + case when l3 is not null and k3 is null then pairs else 0 end v3 from v3),
+        z as (select doc_id, s, said, sum(v3 * case when l1 = 'least' and coalesce(l2, '') not in ('at', 'very') then {NEGATED} else 1 end * case when turn is null or i = turn then 1 when i < turn then 0.5 else 1.5 end) v from v4 group by all),
+        e as (select *, least(length(said) - length(replace(said, '!', '')), {EXCLAIM_MOST}) * {EXCLAIM} + case when n < 2 then 0 when n <= 3 then n * {ASK} else {ASK_MOST} end more from (select *, length(said) - length(replace(said, '?', '')) n from z)),
+        c as (select s.doc_id, s.s, coalesce(round((v + sign(v) * more) / sqrt(pow(v + sign(v) * more, 2) + {NORMAL}), 4), 0) compound from s left join e using (doc_id, s)),
+        g as (select doc_id, count(*) n, round(sum(compound) * 10000)::bigint total, count_if(compound >= 0.05) pos, count_if(compound <= -0.05) neg from c group by doc_id)
+        select documents.doc_id, (sign(total) * ((2 * abs(total) + n) // (2 * n)))::double / 10000 sentiment_compound, round(pos / n, 4) sentiment_pos_ratio, round(neg / n, 4) sentiment_neg_ratio, round((n - pos - neg) / n, 4) sentiment_neu_ratio, coalesce(n, 0) sentiment_n_sentences
+        from documents left join g using (doc_id)"""
+
+
 def _t_p(t: str, df: str) -> str:
     angle, cos = f"atan(abs({t}) / sqrt({df}))", f"cos(atan(abs({t}) / sqrt({df})))"
     even = f"sin({angle}) * list_sum(list_transform(range(0, greatest({df} // 2, 1)), lambda i: exp(lgamma(2 * i + 1) - 2 * lgamma(i + 1) - i * ln(4)) * pow({cos}, 2 * i)))"
@@ -61,6 +129,8 @@ ORACLE_SQL: dict[str, str] = {
     "paged_articles": f"""select (2010 + doc_id % 10)::int "year", (doc_id % 12 + 1)::int "month", printf('%d-%02d-01T00:00:00Z', 2010 + doc_id % 10, doc_id % 12 + 1) date, concat('https://example.org/', doc_id) url, concat('Document ', doc_id) title,
         source section, {_WORDS.format('text')}::int wordcount, length(text) n_chars, md5(text) body_md5 from documents where {_WORDS.format('text')} >= 200""",
     "stream_first_rows": "select doc_id, lang, source, md5(coalesce(text, '')) text_md5 from documents qualify row_number() over (partition by coalesce(text, '') order by doc_id) = 1",
+    "modal_pronoun_markers": _markers(),
+    "sentence_sentiment": _sentiment(),
     "sentence_stats": f"""select doc_id, len(list_filter(str_split_regex(regexp_replace(coalesce(text, ''), '([.!?])[\\s\\x0B\\x{{85}}\\p{{Z}}]+', concat('\\1', chr(10)), 'g'), '\\n+'), lambda s: {_WORDS.format('s')} >= 10)) n_sentences, {_WORDS.format('text')} n_words from documents""",
     "keyword_filter": "select source, count(*) n from documents where contains(lower(text), 'idiot') or contains(lower(text), 'licensed') or contains(lower(text), 'threat') group by source",
     "keyword_query_difference": "select n_first, n_second, round(d, 4) diff_pct, case when d < 5 then 'minor' when d < 15 then 'moderate' else 'large' end verdict from (select *, abs(100.0 * (n_second - n_first) / nullif(n_first, 0))::double d from (select count_if(contains(lower(text), 'idiot') or contains(lower(text), 'licensed'))::bigint n_first, count_if(contains(lower(text), 'idiot') or contains(lower(text), 'licensed') or contains(lower(text), 'threat'))::bigint n_second from documents))",
@@ -100,7 +170,6 @@ ORACLE_SQL: dict[str, str] = {
     "score_distribution": f"with {_STANCE} select count(*) n, round(avg(pro), 6) mean, round(median(pro), 6) median, round(stddev_samp(pro), 6) std, count_if(pro > 0.5)::bigint above_0_5, count_if(pro > 0.7)::bigint above_0_7, count_if(pro > 0.9)::bigint above_0_9 from stance",
     "sitemap_expand": "with mon as (select distinct date_trunc('month', o_orderdate)::date f from orders) select 'a' outlet, 'https://a/' || strftime(f, '%Y%m') || '.xml' url from mon union all select 'b', 'https://b/' || strftime(x, '%Y-%m-%d') || '.xml' from (select unnest(generate_series(f, last_day(f), interval 1 day)) x from mon)",
     "window_share": "select lang, source, n, round(n / sum(n) over (partition by lang), 6) share from (select lang, source, count(*) n from documents group by all)",
-    "modal_pronoun_markers": "select doc_id, len(list_filter(k, lambda t: t = 'the')) modal_certainty_count, len(list_filter(k, lambda t: t = 'of')) pron_ingroup_count, len(list_filter(k, lambda t: t = 'and')) pron_outgroup_count, len(list_filter(k, lambda t: t = 'to' or t = 'in')) modal_hedging_count from (select doc_id, regexp_extract_all(text, '\\p{L}+') k from documents where lang = 'en')",
     "page_paragraphs": "with p as (select page_id, list_transform(regexp_extract_all(regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '(?is)<style\\b.*?</style>', '', 'g'), '(?is)<p\\b[^>]*>(.*?)</p>', 1), lambda p: trim(regexp_replace(regexp_replace(p, '<[^>]*>', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) l from pages) select page_id, length(array_to_string(l, chr(10))) chars, md5(array_to_string(l, chr(10))) digest from p",
 }
 

@@ -8,9 +8,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import model_input, word_count, word_tokens
-from ..operators.lexicon import dehumanisation, outrage
-from ..operators.lexicons import DEHUMANISATION, OUTRAGE, Term
+from ..functions.text import model_input, word_count
+from ..operators.lexicon import Lexicon, counts_of, dehumanisation, outrage
+from ..operators.lexicons import DEHUMANISATION, OUTRAGE
 from ..operators.markers import with_markers
 from ..operators.sentences import DEMO_VALENCE, rule_scorer, sentiment
 from ..operators.tables import stance_label
@@ -22,15 +22,17 @@ def usable(articles: DataFrame, threshold: float = 0.0, score: str = "immigratio
     return rows.where(F.col(score) >= threshold) if threshold and score in articles.columns else rows
 
 
-def article_features(articles: DataFrame, scorer: Callable[[list[str]], list[float]] | None = None, dehum: list[Term] = DEHUMANISATION, outraged: list[Term] = OUTRAGE) -> DataFrame:
-    """``articles`` without bodies, with all feature columns: one projection, no shuffle."""
+def article_features(articles: DataFrame, scorer: Callable[[list[str]], list[float]] | None = None, dehum: Lexicon = DEHUMANISATION, outraged: Lexicon = OUTRAGE) -> DataFrame:
+    """``articles`` without bodies, with all feature columns: one projection, no shuffle.
+
+    Terms of both lexicons, markers and sentences are each counted in one pass over a text; lexicons are lists or tables of terms.
+    """
     rows = sentiment(articles, scorer or rule_scorer(DEMO_VALENCE))
     rows = rows.withColumn("_lowered", F.lower(F.coalesce("body", F.lit(""))))
-    single = sorted({t.term for t in [*dehum, *outraged] if " " not in t.term})
-    rows = rows.withColumns({"word_count": word_count(F.col("_lowered")), "_hits": F.filter(word_tokens(F.col("_lowered")), lambda t: t.isin(single))})
-    text, hits, words = F.col("_lowered"), F.col("_hits"), F.col("word_count")
-    rows = rows.withColumns({**dehumanisation(text, hits, words, dehum), **outrage(text, hits, words, outraged)})
-    return with_markers(rows, F.col("body")).drop("_lowered", "_hits", "body")
+    rows, count = counts_of(rows.withColumn("word_count", word_count(F.col("_lowered"))), F.col("_lowered"), {"dehum": dehum, "outrage": outraged})
+    words = F.col("word_count")
+    rows = rows.withColumns({**dehumanisation(count("dehum"), words), **outrage(count("outrage"), words)})
+    return with_markers(rows, F.col("body")).drop("_lowered", "_found", "body")
 
 
 def _scored(inputs: str, fields: str, model: Callable[[], Callable[[list[str]], list]], batch_size: int):  # noqa: ANN202

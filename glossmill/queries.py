@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from .functions.text import contains_any, stars, word_count, word_tokens
 from .operators import align, inference, tables
 from .operators.cleaning import HEADLINE_BLOCK, ROUTES, RULES, Rule, apply_rules, clean, cleaning_report
-from .operators.lexicon import dehumanisation, lexicon_counts, outrage, term_totals
+from .operators.automaton import lexicon_frame
+from .operators.lexicon import counts_of, dehumanisation, lexicon_counts, outrage, term_totals
 from .operators.lexicons import DEHUMANISATION, OUTRAGE, PROBE
 from .operators.markers import with_markers
-from .operators.sentences import sentences
+from .operators.sentences import DEMO_VALENCE, SentimentRules, rule_scorer, scale_table, sentences, sentiment
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
 from .shared import shared_folder
 from .sources import paged, web
@@ -73,13 +74,40 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select(F.col("url").alias("doc_id"), F.size(sentences(F.col("body"))).cast("long").alias("n_sentences"), word_count(F.col("body")).alias("n_words"))
 
 
+#: Common words and the markers that are put in their place; names after titles among them.
+PUT_MARKERS = {
+    "the": "will", "of": "we", "and": "they", "to": "might", "in": "may", "is": "must", "that": "Mr May", "on": "often", "le": "Would",
+    "de": "prime May", "que": "ourselves", "die": "Theresa. May", "und": "theirs", "der": "don't", "el": "always we'll",
+}
+MARKERS = [
+    "modal_certainty_count", "modal_hedging_count", "modal_word_count", "modal_certainty_per1k", "modal_hedging_per1k", "modal_certainty_ratio", "modal_epistemic_ratio",
+    "modal_balance", "modal_epi_balance", "pron_ingroup_count", "pron_outgroup_count", "pron_ingroup_per1k", "pron_outgroup_per1k", "pron_inclusion_index", "pron_ingroup_ratio",
+]
+
+
 def modal_pronoun_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over texts whose common words are put in the place of markers, so that there is something to count."""
     text = F.col("body")
-    for word, marker in (("the", "will"), ("of", "we"), ("and", "they"), ("to", "might"), ("in", "may")):
+    for word, marker in PUT_MARKERS.items():
         text = F.regexp_replace(text, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", marker)
-    rows = with_markers(articles(spark, sf_dir).where("lang = 'en'"), text)
-    return rows.select(F.col("url").alias("doc_id"), "modal_certainty_count", "pron_ingroup_count", "pron_outgroup_count", "modal_hedging_count")
+    return with_markers(articles(spark, sf_dir), text).select(F.col("url").alias("doc_id"), *[c for c in MARKERS])
+
+
+#: Common words and what is put in their place, so that sentences have something to weigh.
+PUT_FEELINGS = {
+    "the": "good", "of": "very", "and": "not", "to": "BAD", "in": "but", "that": "hardly", "le": "great", "de": "never so", "la": "SO", "que": "no", "die": "terrible!",
+    "und": "without doubt", "der": "least", "el": "kind of", "los": "hope", "es": "isn't",
+}
+
+
+def sentence_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published rules over tables of words, on texts that have such words put in."""
+    weights = spark.createDataFrame(list(DEMO_VALENCE.items()), "term string, weight double")
+    said = F.col("body")
+    for word, feeling in PUT_FEELINGS.items():
+        said = F.regexp_replace(said, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", feeling)
+    rows = sentiment(articles(spark, sf_dir).select("url", said.alias("body")), rule_scorer(SentimentRules(scale_table(weights))))
+    return rows.select(F.col("url").alias("doc_id"), "sentiment_compound", "sentiment_pos_ratio", "sentiment_neg_ratio", "sentiment_neu_ratio", "sentiment_n_sentences")
 
 
 def article_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -332,15 +360,15 @@ def _with_terms(spark: SparkSession, sf_dir: str, terms: list) -> DataFrame:
 
 def dehumanisation_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published lexicon, all tiers and categories, over texts with its terms put in."""
-    rows = _with_terms(spark, sf_dir, DEHUMANISATION)
-    found = dehumanisation(F.col("lowered"), F.col("tokens"), F.col("n_words"), DEHUMANISATION)
+    rows, count = counts_of(_with_terms(spark, sf_dir, DEHUMANISATION), F.col("lowered"), {"dehum": lexicon_frame(spark, DEHUMANISATION)})
+    found = dehumanisation(count("dehum"), F.col("n_words"))
     return rows.select("doc_id", *[c.alias(k) for k, c in found.items()])
 
 
 def outrage_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published lexicon, all categories, over texts with its terms put in."""
-    rows = _with_terms(spark, sf_dir, OUTRAGE)
-    found = outrage(F.col("lowered"), F.col("tokens"), F.col("n_words"), OUTRAGE)
+    rows, count = counts_of(_with_terms(spark, sf_dir, OUTRAGE), F.col("lowered"), {"outrage": lexicon_frame(spark, OUTRAGE)})
+    found = outrage(count("outrage"), F.col("n_words"))
     return rows.select("doc_id", *[c.alias(k) for k, c in found.items()])
 
 
@@ -385,7 +413,7 @@ def dual_axis_series(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        lexicon_density_by_source, lexicon_wide_features, phrase_hits, term_totals_by_language, sentence_stats, modal_pronoun_markers, article_feature_table,
+        lexicon_density_by_source, lexicon_wide_features, phrase_hits, term_totals_by_language, sentence_stats, modal_pronoun_markers, sentence_sentiment, article_feature_table,
         keyword_filter, keyword_query_difference, clean_rules_apply, clean_word_delta, boilerplate_rules, page_paragraphs, page_text_extract, paged_articles, url_host_counts,
         dedup_first_text, stream_first_rows, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
         composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,

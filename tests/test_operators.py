@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from glossmill.functions import pvalues, text
 from glossmill.operators import align, inference, order, tables
+from glossmill.operators.automaton import terms_of
 from glossmill.operators.cleaning import RULES, clean, cleaning_report
 from glossmill.operators.lexicon import lexicon_counts
 from glossmill.operators.lexicons import DEHUMANISATION, OUTRAGE
 from glossmill.operators.markers import with_markers
-from glossmill.operators.sentences import DEMO_VALENCE, rule_scorer, sentiment
+from glossmill.operators.sentences import DEMO_VALENCE, SentimentRules, rule_scorer, scale_table, sentiment
 from glossmill.plans.features import article_features, usable
 from glossmill.sources import files, web
 from glossmill.streaming.incremental import process_new
@@ -64,6 +65,40 @@ def test_sentiment(spark):
     assert rows[1].sentiment_n_sentences == 2 and rows[1].sentiment_pos_ratio == rows[1].sentiment_neg_ratio == 0.5 and rows[1].sentiment_neu_ratio == 0
 
 
+#: Worked cases that were published with the rules: sentence, compound.
+PUBLISHED = [
+    ("VADER is smart, handsome, and funny.", 0.8316), ("VADER is smart, handsome, and funny!", 0.8439), ("VADER is very smart, handsome, and funny.", 0.8545),
+    ("VADER is VERY SMART, handsome, and FUNNY.", 0.9227), ("VADER is VERY SMART, handsome, and FUNNY!!!", 0.9342), ("VADER is not smart, handsome, nor funny.", -0.7424),
+    ("The book was good.", 0.4404), ("At least it isn't a horrible book.", 0.431), ("The book was only kind of good.", 0.3832), ("Today SUX!", -0.5461),
+    ("The plot was good, but the characters are uncompelling and the dialog is not great.", -0.7042),
+]
+
+
+@pytest.mark.parametrize("sentence, compound", PUBLISHED)
+def test_published_sentiment(spark, sentence, compound):
+    words = {"smart": 1.7, "handsome": 2.2, "funny": 1.9, "good": 1.9, "horrible": -2.5, "uncompelling": -0.9, "great": 3.1, "sux": -1.5}
+    table = spark.createDataFrame([(k.title(), v) for k, v in words.items()] + [(None, 1.0)], "term string, weight double")
+    assert rule_scorer(SentimentRules(scale_table(table)))([sentence]) == [compound]
+
+
+def test_a_table_of_words_is_bounded(spark):
+    table = spark.createDataFrame([(f"w{i}", 1.0) for i in range(30)], "term string, weight double")
+    with pytest.raises(ValueError, match="more than 20"):
+        scale_table(table, 20)
+    terms = spark.createDataFrame([("l", f"w{i}", 1, "c") for i in range(30)], "lexicon string, term string, tier int, category string")
+    with pytest.raises(ValueError, match="more than 20"):
+        terms_of(terms, 20)
+
+
+@pytest.mark.parametrize("body, found", [
+    ("open door, open doors and open door", 3), ("aaaa", 2), ("a flood; floods flood_ flood2 floodé FLOOD", 2), ("", 0), (None, 0), ("no terms", 0),
+])
+def test_terms_in_one_pass(spark, body, found):
+    """Phrases left to right without overlap with themselves, anywhere; words only by themselves; from a table."""
+    table = spark.createDataFrame([("x", t, 1, "c") for t in ("open door", "aa", "a a", "flood", "")], "lexicon string, term string, tier int, category string")
+    assert lexicon_counts(bodies(spark, body), table).first().n_c == (0 if body == "aaaa" else found)
+
+
 CLEANED = [
     ("Daily Express", "a\nREAD MORE: x\nb", "a\nb"), ("Daily Mirror", "a\nREAD MORE: x\nb", "a\nb"), ("Daily Mirror", "a\nREAD MORE: x\nREAD MORE: y\nb", "a\ny\nb"), ("Daily Star", "a\nREAD MORE: x", "a\nx"),
     ("Daily Express", "p\nDON’T MISS\nHead one\nHead two\n\nq", "p\n\nq"), ("Daily Express", "p\nDon't miss: x\nJUST IN: y\nq", "p\nq"), ("Daily Express", "p\nDON'T MISS:\nHead [INSIGHT]\n" + "w" * 99 + ".", "p\n" + "w" * 99 + "."),
