@@ -14,6 +14,7 @@ from . import words as W
 from .cells import cell_counts
 from .components import components
 from .scratch import partitions, written
+from .skew import heavy_keys, spread_join
 
 #: Cells that the documents of shingles are counted in, 2**21; any number gives the same links.
 CELL_BITS = 21
@@ -91,9 +92,15 @@ def _profiles(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, texts: DataFrame, size: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are links, told from whole sets in integers. Pairs are dealt out one by one, so a set with many has them in many tasks."""
+    """Those of ``pairs`` (a, b), a written table, that are links, told from whole sets in integers.
+
+    A set with a large share of the pairs has its text copied to several tasks before pairs meet texts; then pairs are dealt out one by one.
+    """
     a, b = (texts.select(F.col("sid").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-    rows = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b").repartition(partitions(pairs.sparkSession), "a", "b")
+    n = partitions(pairs.sparkSession)
+    total = pairs.count()
+    rows = spread_join(pairs, a, "a", heavy_keys(pairs, "a", total, n))
+    rows = spread_join(rows, b, "b", heavy_keys(pairs, "b", total, n)).select("a", "b", "text_a", "text_b").repartition(n, "a", "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.small(W.small(batches, "text_a"), "text_b"):

@@ -110,6 +110,21 @@ def test_jaccard_skips_no_link_within_blocks(spark):
     assert sorted(got) == sorted(tuple(sorted((int(sid[i]), int(sid[j])))) for i in range(300) for j in range(i) if can(i, j))
 
 
+def test_jaccard_of_a_hub(spark):
+    """Thousands of near copies of one text: all are found, and no task of the join has most of the pairs."""
+    from glossmill.llm.jaccard import similar_components
+    from glossmill.llm.skew import heavy_keys, spread_join
+
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join([*base[: i % 50 + 3], f"x{i}", *base[i % 50 + 3 :]])) for i in range(1500)] + [(-1, " ".join(base))]
+    found = similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.component_id for r in found.collect()} == {-1}
+    pairs = spark.range(4000).selectExpr("if(id < 3900, 7, id) a", "id b")
+    joined = spread_join(pairs, spark.range(4000).selectExpr("id a", "'t' text"), "a", heavy_keys(pairs, "a", 4000, 8))
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 4000 and {(r.a, r.b) for r in joined.collect()} == {(r.a, r.b) for r in pairs.collect()}
+
+
 def test_rules(spark, sf, docs, edge, empty):
     from glossmill.llm.rules import quality_rules
 
