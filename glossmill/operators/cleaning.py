@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import word_count
+from .tables import CLEANING_HINTS, hinted_outlet
 
 
 @dataclass(frozen=True)
@@ -132,14 +133,16 @@ def route(outlet: Column, routes: tuple[str, ...] = ROUTES) -> Column:
     return F.coalesce(*[F.when(F.contains(F.lower(outlet), F.lit(r)), F.lit(r)) for r in routes])
 
 
-def clean(articles: DataFrame, rules: list[Rule] = RULES, body: str = "body", outlet: str = "outlet") -> DataFrame:
+def clean(articles: DataFrame, rules: list[Rule] = RULES, body: str = "body", outlet: str = "outlet", file_name: str = "file_name") -> DataFrame:
     """``articles`` with the body cleaned by the rules of each row's outlet and counted anew.
 
-    A null body stays null with 0 words; an unknown outlet's body stays as it is. ``words_before``
+    The outlet is the row's own or, where there is none, what the name of its file hints at (if there is such a column). A null body
+    stays null with 0 words; the body of an unknown outlet, or of none, stays as it is. ``words_before``
     is the count that came with the row, 0 where it is no number.
     """
     names = list(dict.fromkeys(r.outlet for r in rules))
-    to = route(F.col(outlet), tuple(n for n in ROUTES if n in names) + tuple(n for n in names if n not in ROUTES))
+    found = ([F.col(outlet)] if outlet in articles.columns else []) + ([hinted_outlet(F.col(file_name), CLEANING_HINTS)] if file_name in articles.columns else [])
+    to = route(F.coalesce(*found) if found else F.lit(None).cast("string"), tuple(n for n in ROUTES if n in names) + tuple(n for n in names if n not in ROUTES))
     cleaned = F.col(body)
     for name in names:
         cleaned = F.when(to == name, apply_rules(F.col(body), [r for r in rules if r.outlet == name])).otherwise(cleaned)

@@ -195,7 +195,11 @@ def adf(df: DataFrame, value: str, group: str, order: list[str]) -> DataFrame:
 
 
 def trend_robust(df: DataFrame, value: str, outcome: str, group: str, order: list[str]) -> DataFrame:
-    """Raw, detrended and first-difference correlations of each group, with unit-root tests and q-values."""
+    """Raw, detrended and first-difference correlations of each group, with unit-root tests and q-values.
+
+    Groups of fewer than five pairs have no row. A correlation that isn't there (no variance, too few changes) has null figures and
+    no stars. A q-value of exactly 0.05 survives.
+    """
     rows = df.where(F.col(value).isNotNull() & F.col(outcome).isNotNull())
     raw = rank_correlation(rows, value, outcome, [group])
     flat = detrended(detrended(rows, value, [group], order), outcome, [group], order)
@@ -204,8 +208,9 @@ def trend_robust(df: DataFrame, value: str, outcome: str, group: str, order: lis
     named = lambda d, k: d.select(group, F.round("rho", 4).alias(f"rho_{k}"), F.round("p", 6).alias(f"p_{k}"), stars(F.col("p")).alias(f"sig_{k}"))
     out = raw.select(group, "n").join(named(raw, "raw"), group).join(named(flat, "detrended"), group, "left").join(named(diff, "first_diff"), group, "left")
     out = out.join(adf(rows, value, group, order).select(group, F.col("adf_p").alias("adf_p_value")), group, "left").join(adf(rows, outcome, group, order).select(group, F.col("adf_p").alias("adf_p_outcome")), group, "left")
+    out = out.withColumns({f"sig_{k}": F.coalesce(f"sig_{k}", F.lit("")) for k in ("raw", "detrended", "first_diff")})
     for k in ("raw", "detrended"):
-        out = benjamini_hochberg(out, f"p_{k}", [group]).withColumnRenamed("q", f"q_{k}_fdr").withColumn(f"{k}_survives_fdr", F.coalesce(F.col(f"q_{k}_fdr") < 0.05, F.lit(False)))
+        out = benjamini_hochberg(out, f"p_{k}", [group]).withColumnRenamed("q", f"q_{k}_fdr").withColumn(f"{k}_survives_fdr", F.coalesce(F.col(f"q_{k}_fdr") <= 0.05, F.lit(False)))
     return out
 
 

@@ -16,7 +16,7 @@ OUTLETS = {
 }
 #: What to look for in file names, in order, when features are made, and when texts are cleaned.
 FILE_HINTS = ("guardian", "express", "independent", "mirror")
-CLEANING_HINTS = ("express", "independent", "guardian", "star", "mirror")
+CLEANING_HINTS = ("express", "independent", "star", "guardian")
 
 
 def require_columns(df: DataFrame, names: list[str], on_missing: str = "error") -> bool:
@@ -64,8 +64,13 @@ def match_rate(joined: DataFrame, label: str) -> DataFrame:
 
 def outlet_of_file(name: Column, hints: tuple[str, ...] = FILE_HINTS) -> Column:
     """The first hint in a file's name, else its stem."""
+    return F.coalesce(hinted_outlet(name, hints), F.regexp_replace(F.lower(F.element_at(F.split(name, "/"), -1)), r"\.[^.]*$", ""))
+
+
+def hinted_outlet(name: Column, hints: tuple[str, ...]) -> Column:
+    """The first hint in a file's name, else null."""
     lowered = F.lower(F.element_at(F.split(name, "/"), -1))
-    return F.coalesce(*[F.when(F.contains(lowered, F.lit(h)), F.lit(h)) for h in hints], F.regexp_replace(lowered, r"\.[^.]*$", ""))
+    return F.coalesce(*[F.when(F.contains(lowered, F.lit(h)), F.lit(h)) for h in hints])
 
 
 def canonical_outlet(df: DataFrame, hint: str | None = None, outlets: dict[str, str] = OUTLETS) -> DataFrame:
@@ -146,7 +151,7 @@ def quota_sample(df: DataFrame, label: str, most: int = 200, floor: int = 10, ke
     """
     h, part = F.xxhash64(F.col(key), F.lit(seed)), F.pmod(F.xxhash64(F.col(key), F.lit(seed + 2)), F.lit(64))
     sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    sizes = sizes.crossJoin(F.broadcast(sizes.agg(F.sum("_n").alias("_all")))).withColumn("_quota", F.least("_n", F.greatest(F.lit(floor), F.floor(most * F.col("_n") / F.col("_all")))))
+    sizes = sizes.withColumn("_all", F.sum("_n").over(Window.partitionBy())).withColumn("_quota", F.least("_n", F.greatest(F.lit(floor), F.floor(most * F.col("_n") / F.col("_all")))))
     some = df.withColumn("_h", h).withColumn("_part", part)
     some = some.withColumn("_r", F.row_number().over(Window.partitionBy(label, "_part").orderBy("_h", key))).where(F.col("_r") <= max(most, floor))
     some = some.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy("_h", key))).join(sizes.drop("_all", "_n"), label).where(F.col("_r") <= F.col("_quota"))

@@ -135,6 +135,12 @@ ORACLE_SQL: dict[str, str] = {
     "keyword_filter": "select source, count(*) n from documents where contains(lower(text), 'idiot') or contains(lower(text), 'licensed') or contains(lower(text), 'threat') group by source",
     "keyword_query_difference": "select n_first, n_second, round(d, 4) diff_pct, case when d < 5 then 'minor' when d < 15 then 'moderate' else 'large' end verdict from (select *, abs(100.0 * (n_second - n_first) / nullif(n_first, 0))::double d from (select count_if(contains(lower(text), 'idiot') or contains(lower(text), 'licensed'))::bigint n_first, count_if(contains(lower(text), 'idiot') or contains(lower(text), 'licensed') or contains(lower(text), 'threat'))::bigint n_second from documents))",
     "clean_rules_apply": f"with {_CLEAN} select source, sum({_WORDS.format('text')})::bigint words_before, sum({_WORDS.format('body')})::bigint words_after, sum(length(body))::bigint chars from cleaned group by source",
+    "clean_by_file_name": f"""with d as (select doc_id, concat(coalesce(text, ''), chr(10), '- Bookmark', chr(10), 'READ MORE: more to read', chr(10), 'The reader', chr(8217), 's end') body,
+        case when doc_id % 3 = 0 then 'guardian' else ['express', 'independent', 'guardian', 'star', null][doc_id % 5 + 1] end outlet from documents),
+        c as (select doc_id, body, outlet, case outlet when 'express' then regexp_replace(body, '\\nREAD MORE:[^\\n]*', '', 'g') when 'independent' then replace(body, concat(chr(10), '- Bookmark'), '')
+            when 'guardian' then replace(body, chr(8217), chr(39)) when 'star' then regexp_replace(body, '(?i)READ MORE: ?', '', 'g') else body end cleaned from d),
+        e as (select *, regexp_replace(cleaned, case when outlet is null then '\\A\\z' else '^[\\s\\x0B\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x{{85}}\\p{{Z}}]+$' end, '', 'g') said from c)
+        select doc_id, {_WORDS.format('body')} words_before, {_WORDS.format('said')} wordcount, md5(said) body_md5 from e""",
     "clean_word_delta": f"with {_CLEAN} select a words_before, b words_after, a - b words_removed, round(100.0 * (a - b) / nullif(a, 0), 4) removed_pct from (select sum({_WORDS.format('text')})::bigint a, sum({_WORDS.format('body')})::bigint b from cleaned)",
     "url_host_counts": "select regexp_extract(url, '^https?://([^/?#]+)', 1) host, count(*) n from pages group by 1",
     "dedup_first_text": "select doc_id, source from (select *, row_number() over (partition by text order by doc_id) r from documents) where r = 1",
@@ -248,6 +254,21 @@ ORACLE_SQL["subcategory_spearman"] = f"""with {_ALIGNED}, o as (select *, row_nu
  r as (select raw.outlet, raw.feature, round(raw.rho, 4) rho_raw, round(raw.p, 6) p_raw, {_stars('raw.p')} sig_raw, round(flat.rho, 4) rho_detrended, round(flat.p, 6) p_detrended, {_stars('flat.p')} sig_detrended from raw left join flat using (outlet, feature)),
  k as (select *, row_number() over (order by p_raw, outlet, feature) i, count(*) over () c from r), q as (select *, round(least(1, min(p_raw * c / i) over (order by i rows between current row and unbounded following)), 6) q_raw_fdr from k)
  select outlet, feature subcategory, (select count(*) from aligned x where x.outlet = q.outlet) n, rho_raw, p_raw, sig_raw, rho_detrended, p_detrended, sig_detrended, q_raw_fdr, q_raw_fdr <= 0.05 survives_fdr from q"""
+_TESTS = {"raw": ("v", "net", "o"), "detrended": ("a", "b", "flats"), "first_diff": ("a", "b", "diffs")}
+_FIGURES = ", ".join(f"round({k}.rho, 4) rho_{k}, round({k}.p, 6) p_{k}, coalesce({_stars(f'{k}.p')}, '') sig_{k}" for k in _TESTS)
+_FOUND = ", ".join(f"{k} as (with {_rho(source, x, y, 'outlet')} select * from cor)" for k, (x, y, source) in _TESTS.items())
+
+
+def _q(p: str) -> str:
+    ranked = f"(select outlet, case when {p} is not null then {p} * count({p}) over () / row_number() over (order by {p} nulls last, outlet) end v, {p} from r)"
+    return f"(select outlet, case when {p} is not null then round(least(1, min(v) over (order by {p} nulls last, outlet rows between current row and unbounded following)), 6) end q from {ranked})"
+
+
+ORACLE_SQL["trend_robustness"] = f"""with {_ALIGNED}, o as (select outlet, net, price v, row_number() over (partition by outlet order by y, m) - 1 t from aligned where price is not null),
+ flats as (select outlet, round(v - regr_intercept(v, t) over w - regr_slope(v, t) over w * t, 9) a, round(net - regr_intercept(net, t) over w - regr_slope(net, t) over w * t, 9) b from o window w as (partition by outlet)),
+ diffs as (select outlet, v - lag(v) over w a, net - lag(net) over w b from o window w as (partition by outlet order by t)),
+ {_FOUND}, r as (select raw.outlet, raw.n, {_FIGURES} from raw left join detrended using (outlet) left join first_diff using (outlet))
+ select r.*, a.q q_raw_fdr, coalesce(a.q <= 0.05, false) raw_survives_fdr, b.q q_detrended_fdr, coalesce(b.q <= 0.05, false) detrended_survives_fdr from r join {_q('p_raw')} a using (outlet) join {_q('p_detrended')} b using (outlet)"""
 ORACLE_SQL["stance_validation_sample"] = (
     f"with {_STANCE}, q as (select stance_label, count(*) n, sum(count(*)) over () total from stance group by 1), d as (select stance_label, least(n, greatest(10, floor(200 * n / total)))::bigint n from q) select stance_label, n, n n_urls, n n_same from d"
 )

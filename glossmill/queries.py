@@ -18,7 +18,7 @@ from .operators.lexicons import DEHUMANISATION, OUTRAGE, PROBE
 from .operators.markers import with_markers
 from .operators.sentences import DEMO_VALENCE, SentimentRules, rule_scorer, scale_table, sentences, sentiment
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
-from .shared import shared_folder
+from .shared import shared_folder, spread
 from .sources import paged, web
 from .streaming.incremental import process_new
 
@@ -50,7 +50,7 @@ def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def lexicon_density_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lexicon_counts(articles(spark, sf_dir), PROBE)
+    rows = lexicon_counts(spread(articles(spark, sf_dir)), PROBE)
     hits = F.col("n_function_word") + F.col("n_insult") + F.col("n_phrase")
     rows = rows.withColumn("density", F.round(F.coalesce(F.try_divide(hits, F.col("n_words") / 1000.0), F.lit(0.0)), 4))
     return rows.groupBy(F.col("outlet").alias("source")).agg(F.count("*").alias("n_docs"), F.sum(hits).alias("hits"), F.sum("n_words").alias("n_words"), F.round(F.avg("density"), 4).alias("density"))
@@ -90,7 +90,7 @@ def modal_pronoun_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("body")
     for word, marker in PUT_MARKERS.items():
         text = F.regexp_replace(text, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", marker)
-    return with_markers(articles(spark, sf_dir), text).select(F.col("url").alias("doc_id"), *[c for c in MARKERS])
+    return with_markers(spread(articles(spark, sf_dir)), text).select(F.col("url").alias("doc_id"), *[c for c in MARKERS])
 
 
 #: Common words and what is put in their place, so that sentences have something to weigh.
@@ -106,12 +106,12 @@ def sentence_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.col("body")
     for word, feeling in PUT_FEELINGS.items():
         said = F.regexp_replace(said, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", feeling)
-    rows = sentiment(articles(spark, sf_dir).select("url", said.alias("body")), rule_scorer(SentimentRules(scale_table(weights))))
+    rows = sentiment(spread(articles(spark, sf_dir)).select("url", said.alias("body")), rule_scorer(SentimentRules(scale_table(weights))))
     return rows.select(F.col("url").alias("doc_id"), "sentiment_compound", "sentiment_pos_ratio", "sentiment_neg_ratio", "sentiment_neu_ratio", "sentiment_n_sentences")
 
 
 def article_feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return article_features(usable(articles(spark, sf_dir)), dehum=[t for t in PROBE])
+    return article_features(usable(spread(articles(spark, sf_dir))), dehum=[t for t in PROBE])
 
 
 def keyword_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,6 +131,21 @@ def clean_rules_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("outlet").alias("source")).agg(F.sum("words_before").alias("words_before"), F.sum("wordcount").alias("words_after"), F.sum(F.length("body")).alias("chars"))
 
 
+#: A rule for each outlet that a file may name.
+FILE_RULES = [
+    Rule("express", r"\nREAD MORE:.*"), Rule("independent", r"\n- Bookmark"), Rule("guardian", "\u2019", "'"), Rule("star", r"READ MORE: ?", "", "i"), Rule("mirror", r"[a-z]+"),
+]
+FILE_NAMES = ["2019/Daily_EXPRESS_2019.csv", "independent.csv", "guardian_2020.csv", "the_star.csv", "other.csv"]
+
+
+def clean_by_file_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third text has an outlet, all have a file, whose name says the outlet of the others, if any."""
+    key = F.col("url")
+    named = articles(spark, sf_dir).withColumns({"outlet": F.when(key % 3 == 0, F.lit("Guardian")), "file_name": _put(FILE_NAMES, key), "body": F.concat(F.coalesce("body", F.lit("")), F.lit("\n- Bookmark\nREAD MORE: more to read\nThe reader’s end"))})
+    rows = clean(named, FILE_RULES)
+    return rows.select(key.alias("doc_id"), "words_before", "wordcount", F.md5(F.col("body").cast("binary")).alias("body_md5"))
+
+
 def clean_word_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaning_report(clean(articles(spark, sf_dir), OWN_RULES))
 
@@ -281,7 +296,8 @@ def adf_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def trend_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inference.trend_robust(_aligned(spark, sf_dir), "price", "net_migration", "outlet", ["quarter_end_year", "quarter_end_month"])
+    found = inference.trend_robust(_aligned(spark, sf_dir), "price", "net_migration", "outlet", ["quarter_end_year", "quarter_end_month"])
+    return found.drop("adf_p_value", "adf_p_outcome")  # see adf_by_group
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,12 +355,6 @@ def window_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("share", F.round(F.try_divide("n", F.sum("n").over(Window.partitionBy("lang"))), 6))
 
 
-def boilerplate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The published rules over texts with boilerplate put in."""
-    said = F.concat(F.col("body"), F.lit("\nREAD MORE: x\nthe end"))
-    return articles(spark, sf_dir).select(F.col("url").alias("doc_id"), *[F.length(apply_rules(said, [r for r in RULES if r.outlet == o])).cast("long").alias(o) for o in ("express", "mirror", "star")])
-
-
 def _put(items: list[str], key: Column) -> Column:
     """The item that a number falls on."""
     return F.element_at(F.array(*map(F.lit, items)), (F.pmod(key, F.lit(len(items))) + 1).cast("int"))
@@ -414,7 +424,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lexicon_density_by_source, lexicon_wide_features, phrase_hits, term_totals_by_language, sentence_stats, modal_pronoun_markers, sentence_sentiment, article_feature_table,
-        keyword_filter, keyword_query_difference, clean_rules_apply, clean_word_delta, boilerplate_rules, page_paragraphs, page_text_extract, paged_articles, url_host_counts,
+        keyword_filter, keyword_query_difference, clean_rules_apply, clean_by_file_name, clean_word_delta, page_paragraphs, page_text_extract, paged_articles, url_host_counts,
         dedup_first_text, stream_first_rows, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
         composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,
         detrended_spearman, first_diff_spearman, bh_fdr, significance_counts, adf_by_group, trend_robustness, confusion_binary, confusion_multiclass,

@@ -114,6 +114,28 @@ def test_cleaning(spark, outlet, body, expected):
     assert row.body == expected and row.words_before == 7 and row.wordcount == len((expected or "").split())
 
 
+def test_cleaning_by_the_name_of_a_file(spark):
+    """A row without an outlet is cleaned as its file's name says; its own outlet comes first, known or not."""
+    said = "a\nREAD MORE: x\nb"
+    rows = [(None, "/x/2019/express_2019.csv", said), ("Other", "express.csv", said), ("Daily Star", "express.csv", said), (None, "mirror.csv", said), (None, None, said), (None, "star_guardian.csv", said)]
+    frame = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, outlet string, file_name string, body string")
+    assert [r.body for r in clean(frame).orderBy("i").collect()] == ["a\nb", said, "a\nx\nb", said, said, "a\nx\nb"]
+    assert [r.body for r in clean(frame.drop("outlet")).orderBy("i").collect()][:2] == ["a\nb", "a\nb"]
+    assert clean(frame.drop("outlet", "file_name")).first().body == said
+
+
+def test_trend_robustness_of_short_and_flat_groups(spark):
+    """Nothing to correlate: null figures, no stars; five pairs have no correlation of their four changes; a q of 0.05 survives."""
+    rows = [("flat", i, 1.0, float(i)) for i in range(8)] + [("five", i, float(i * i), float(i)) for i in range(5)] + [("four", i, float(i), float(i)) for i in range(4)]
+    found = {r.g: r for r in inference.trend_robust(spark.createDataFrame(rows, "g string, i int, x double, y double"), "x", "y", "g", ["i"]).collect()}
+    assert set(found) == {"flat", "five"}
+    flat, five = found["flat"], found["five"]
+    assert (flat.rho_raw, flat.p_raw, flat.sig_raw, flat.q_raw_fdr, flat.raw_survives_fdr) == (None, None, "", None, False)
+    assert five.rho_raw == 1 and five.sig_raw == "***" and five.rho_first_diff is None and five.sig_first_diff == "" and five.raw_survives_fdr
+    edge = spark.createDataFrame([(0.05, "a")], "p double, g string")
+    assert inference.benjamini_hochberg(edge, "p", ["g"]).first().q == 0.05
+
+
 def test_cleaning_shrinks_and_reports(spark):
     rng = random.Random(1)
     parts = ["READ MORE: x y", "READ NEXT:", "word one two", "", "DON'T MISS", "Sign up here. The newsletter.", "Join our WhatsApp", "It is. " * 20]
