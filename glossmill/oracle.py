@@ -141,6 +141,7 @@ ORACLE_SQL: dict[str, str] = {
             when 'guardian' then replace(body, chr(8217), chr(39)) when 'star' then regexp_replace(body, '(?i)READ MORE: ?', '', 'g') else body end cleaned from d),
         e as (select *, regexp_replace(cleaned, case when outlet is null then '\\A\\z' else '^[\\s\\x0B\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x{{85}}\\p{{Z}}]+$' end, '', 'g') said from c)
         select doc_id, {_WORDS.format('body')} words_before, {_WORDS.format('said')} wordcount, md5(said) body_md5 from e""",
+    "scores_by_batch": "select doc_id, round(len(list_filter(['idiot', 'licensed', 'threat', 'than', 'mment'], lambda k: contains(lower(substring(coalesce(text, 'nan'), 1, 512)), k))) / 5.0::double, 4) topic_score, 'keywords' model, coalesce(lang, '') batch from documents",
     "clean_word_delta": f"with {_CLEAN} select a words_before, b words_after, a - b words_removed, round(100.0 * (a - b) / nullif(a, 0), 4) removed_pct from (select sum({_WORDS.format('text')})::bigint a, sum({_WORDS.format('body')})::bigint b from cleaned)",
     "url_host_counts": "select regexp_extract(url, '^https?://([^/?#]+)', 1) host, count(*) n from pages group by 1",
     "dedup_first_text": "select doc_id, source from (select *, row_number() over (partition by text order by doc_id) r from documents) where r = 1",

@@ -18,6 +18,7 @@ from .operators.lexicons import DEHUMANISATION, OUTRAGE, PROBE
 from .operators.markers import with_markers
 from .operators.sentences import DEMO_VALENCE, SentimentRules, rule_scorer, scale_table, sentences, sentiment
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
+from .plans.scoring import score_batches, scored
 from .shared import shared_folder, spread
 from .sources import paged, web
 from .streaming.incremental import process_new
@@ -349,6 +350,15 @@ def topic_and_stance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.attach(rows.select("url", "immigration_score"), stance)
 
 
+def scores_by_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic scores of all documents by a stand-in model, a batch for each language; the run is stopped after two batches and goes on."""
+    out, words = shared_folder(spark), ["idiot", "licensed", "threat", "than", "mment"]
+    score = lambda rows: topic_scores(rows, keyword_model(words), score="topic_score").select("url", "topic_score")
+    for most in (2, None):
+        score_batches(articles(spark, sf_dir), "lang", out, "keywords", score, most=most)
+    return scored(spark, out, "keywords").select(F.col("url").alias("doc_id"), "topic_score", "model", "batch")
+
+
 def window_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of ``documents`` by source and their share of the language's."""
     n = table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.count("*").alias("n"))
@@ -428,7 +438,7 @@ QUERIES = {
         dedup_first_text, stream_first_rows, resume_anti_join, left_join_match_rate, union_by_name, outlet_names, rolling_12m_mean, fiscal_year_mean, describe_by_group, annual_means,
         composition_share, largest_share, pivot_shares, stacked_shares, spearman_by_group, top_abs, anova_tertiles, ols_covariate, ols_coefficients,
         detrended_spearman, first_diff_spearman, bh_fdr, significance_counts, adf_by_group, trend_robustness, confusion_binary, confusion_multiclass,
-        stance_label, stratified_sample_sizes, balanced_sample_sizes, score_distribution, sitemap_expand, topic_and_stance, window_share,
+        stance_label, stratified_sample_sizes, balanced_sample_sizes, score_distribution, sitemap_expand, topic_and_stance, scores_by_batch, window_share,
         dehumanisation_features, outrage_features, published_rules, subcategory_spearman, stance_validation_sample, dual_axis_series,
     )
 }
