@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from . import bitfilter
 from . import words as W
-from .scratch import written
+from .scratch import partitions, written
+from .skew import heavy_keys, spread_join
 
 
 def _context(h: np.ndarray, offsets: np.ndarray, doc: np.ndarray, at: np.ndarray, before: int, after: int) -> list[np.ndarray]:
@@ -47,8 +48,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     the hash of all its words. Words are compared by 64-bit hashes.
 
     Documents pass through once and no text is shuffled: fingerprints that a fixed-size bit
-    filter of the benchmark's lets through are joined, by broadcast only below Spark's size
-    threshold. A null text has no words; a null doc_id stays null; each row is judged by itself,
+    filter of the benchmark's lets through are joined. Items that have the same words around a fingerprint are one row of
+    the index, with a list of their ids; a fingerprint that documents are full of ("yes" as an item) is dealt over as many tasks as
+    it fills. A null text has no words; a null doc_id stays null; each row is judged by itself,
     repeated rows too; an item with a null item_id can't be named and is left out; an empty benchmark
     leaves all clean; further columns are ignored.
     """
@@ -70,8 +72,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
                     "item_words": pa.array([W.signed(c) for c in ctx], pa.list_(pa.int64())),
                 })
 
-    bench = written(benchmark.where("item_id is not null").select(item, F.col("text").cast("string").alias("text")).mapInArrow(index, "item_id string, n int, fp long, item_left int, item_words array<long>"))
-    shorter = sorted(r.n for r in bench.where("n > 0").select("n").distinct().collect())  # at most window - 1 lengths
+    bench = benchmark.where("item_id is not null").select(item, F.col("text").cast("string").alias("text")).mapInArrow(index, "item_id string, n int, fp long, item_left int, item_words array<long>")
+    bench = written(bench.groupBy("fp", F.col("n").alias("item_n"), "item_left", "item_words").agg(F.collect_set("item_id").alias("item_ids")))
+    shorter = sorted(r.item_n for r in bench.where("item_n > 0").select("item_n").distinct().collect())  # at most window - 1 lengths
     held = spark.sparkContext.broadcast(bitfilter.build(bench, F.col("fp")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,7 +100,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     scanned = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("sig", F.xxhash64("text")).mapInArrow(scan, "doc_id long, sig long, n_words long, found array<struct<n:int,fp:long,pos:int,left:int,words:array<long>>>")
     scanned = written(scanned.withColumn("row", F.monotonically_increasing_id()))
     hits = scanned.select("row", F.explode("found").alias("f")).select("row", "f.*")
-    hits = hits.join(bench, ["n", "fp"])
+    n = partitions(spark)
+    hits = spread_join(hits, bench, "fp", heavy_keys(hits, "fp", hits.count(), n)).where("n = item_n")
 
     # the k-gram, or the whole short item, starts in the context after the words on its left
     size = F.when(F.col("n") > 0, F.col("n")).otherwise(F.lit(k))
@@ -112,13 +116,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     core = F.slice("words", F.col("left") + 1, size) == F.slice("item_words", F.col("item_left") + 1, size)
     hits = hits.where(core).withColumn("l", F.when(F.col("n") > 0, 0).otherwise(run(on_left))).withColumn("r", F.when(F.col("n") > 0, 0).otherwise(run(on_right)))
     hits = hits.where((F.col("n") > 0) | (F.col("l") + F.col("r") + k >= window))
-    spans = hits.select("row", "item_id", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + size + F.col("r")).alias("end"))
+    spans = hits.select("row", "item_ids", (F.col("pos") - F.col("l")).alias("start"), (F.col("pos") + size + F.col("r")).alias("end"))
     order = Window.partitionBy("row").orderBy("start", "end")
     reached = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.select("row", "start", "end").distinct().withColumn("fresh", F.coalesce((F.col("start") > reached).cast("int"), F.lit(1)))
     islands = islands.withColumn("island", F.sum("fresh").over(order)).groupBy("row", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     islands = islands.groupBy("row").agg(F.sum(F.col("end") - F.col("start")).alias("n_hit"), F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    by_doc = islands.join(spans.groupBy("row").agg(F.array_sort(F.collect_set("item_id")).alias("items")), "row")
+    by_doc = islands.join(spans.groupBy("row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("items")), "row")
     none = F.array().cast("array<string>")
     items = F.coalesce("items", none)
     hit = F.coalesce("n_hit", F.lit(0).cast("long"))

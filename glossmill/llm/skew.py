@@ -13,10 +13,10 @@ def heavy_keys(rows: DataFrame, key: str, total: int, n: int) -> DataFrame:
 
 
 def spread_join(many: DataFrame, one: DataFrame, key: str, heavy: DataFrame) -> DataFrame:
-    """``many`` joined to ``one``, which has a row for each key; nulls meet nothing.
+    """``many`` joined to ``one``, which has one or a few rows for each key; nulls meet nothing.
 
-    Rows of ``heavy`` keys are dealt over as many tasks as they fill, by all their columns, and the row of ``one`` is copied to
-    each: fewer than twice as many copies as parts in all. The table of heavy keys is broadcast; it has fewer rows than parts.
+    Rows of ``heavy`` keys are dealt over as many tasks as they fill, by all their columns, and what ``one`` has of the key is copied to
+    each: fewer than twice as many copies of a row as parts in all. The table of heavy keys is broadcast; it has fewer rows than parts.
     """
     told = F.broadcast(heavy)
     rows = many.join(told, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_of")), F.lit(0)).cast("int")).drop("_of")

@@ -295,6 +295,18 @@ def test_decontam(spark, sf, docs, edge, empty):
     assert decontaminate(empty, bench).count() == 0
 
 
+def test_decontam_of_one_word_items(spark):
+    """Items of one very common word, many with the same words, and documents full of them."""
+    from glossmill.llm.decontam import decontaminate
+
+    ten = " ".join(f"t{i}" for i in range(14))
+    items = [(f"i{i}", "Yes") for i in range(40)] + [("no", "no"), ("a", ten), ("b", ten + " end"), ("c", ""), ("d", None), (None, "yes")]
+    docs = [(i, "yes " * (i % 90) + (ten if i % 3 else "no")) for i in range(300)]
+    bench, frame = spark.createDataFrame(items, "item_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    found = decontaminate(frame, bench)
+    assert rows_of(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == brute.decontam(docs, [i for i in items if i[0] is not None])
+
+
 def plain_warc(rows, least=0):
     first = {}
     for page, html in rows:
