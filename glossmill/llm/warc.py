@@ -15,9 +15,9 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import partitions
+from .scratch import partitions, written
+from .skew import heavy_keys, spread_join
 
-_NO_ID = 2**63 - 1
 #: About how many keys, those with the least hashes, the borders of the shards come from.
 SAMPLE = 20_000
 #: Compressed bytes after which a file is rolled.
@@ -37,9 +37,9 @@ def _digest(sha1_hex: str) -> str:
     return base64.b32encode(bytes.fromhex(sha1_hex)).decode()
 
 
-def _record_id(key: int, sha: str, place: int) -> str:
+def _record_id(key: int | None, sha: str, place: int) -> str:
     """The same record has the same id in every run."""
-    made = hashlib.sha1(f"{key}\n{sha}\n{place}".encode()).digest()[:16]
+    made = hashlib.sha1(f"{'' if key is None else key}\n{sha}\n{place}".encode()).digest()[:16]
     return f"<urn:uuid:{uuid.UUID(bytes=made, version=5)}>"
 
 
@@ -53,22 +53,23 @@ def _member(fields: list[tuple[str, str]], block: bytes) -> bytes:
     return packer.compress(head.encode() + block + b"\r\n\r\n") + packer.flush()
 
 
-def _page(key: int, sha: str, place: int, url: str | None, payload: bytes, first: int | None, date: str) -> bytes:
+def _page(key: int | None, sha: str, place: int, url: str | None, payload: bytes, again: bool, first: int | None, date: str) -> bytes:
+    """A response, or a revisit (``again``) of page ``first``."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if first is not None else http + payload
+    block = http if again else http + payload
     fields = [
-        ("WARC-Type", "response" if first is None else "revisit"),
+        ("WARC-Type", "revisit" if again else "response"),
         ("WARC-Record-ID", _record_id(key, sha, place)),
         ("WARC-Date", date),
-        ("WARC-Target-URI", _header_safe(url) if url else f"urn:page:{'' if key == _NO_ID else key}"),
+        ("WARC-Target-URI", _header_safe(url) if url else f"urn:page:{'' if key is None else key}"),
         ("Content-Type", "application/http;msgtype=response"),
         ("WARC-Payload-Digest", f"sha1:{_digest(sha)}"),
         ("WARC-Block-Digest", f"sha1:{_digest(hashlib.sha1(block).hexdigest())}"),
     ]
-    fields += [] if key == _NO_ID else [("X-Page-Id", str(key))]
-    if first is not None:
+    fields += [] if key is None else [("X-Page-Id", str(key))]
+    if again:
         fields += [("WARC-Profile", _REVISIT), ("WARC-Refers-To", _record_id(first, sha, 0))]
-        fields += [] if first == _NO_ID else [("X-Refers-To-Page-Id", str(first))]
+        fields += [] if first is None else [("X-Refers-To-Page-Id", str(first))]
     return _member(fields, block)
 
 
@@ -77,7 +78,7 @@ def _place(cuts: list, key: Column) -> Column:
     if not cuts:
         return F.lit(0)
     step = math.isqrt(len(cuts)) or 1
-    lits = lambda rows: F.array(*[F.struct(F.lit(int(k)).cast("long").alias("key"), F.lit(s).alias("sha")) for k, s in rows])
+    lits = lambda rows: F.array(*[F.struct(F.lit(bool(u)).alias("unnamed"), F.lit(int(k)).cast("long").alias("key"), F.lit(s).alias("sha")) for u, k, s in rows])
     upto = lambda some: F.size(F.filter(some, lambda c: c <= key))
     block = upto(lits(cuts[step - 1 :: step]))
     return (block * step + upto(F.slice(lits(cuts), block * step + 1, F.lit(step)))).cast("int")
@@ -106,27 +107,30 @@ def write_warc(pages: DataFrame, out: str, min_payload: int = 0, roll_bytes: int
     spark = pages.sparkSession
     n = shards or partitions(spark)
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(_NO_ID)).alias("key"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
-    slim = rows.select("key", "sha", F.octet_length("payload").alias("size"))
+    rows = pages.select(F.col("page_id").isNull().alias("unnamed"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("key"), F.col("url").cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    slim = written(rows.select("unnamed", "key", "sha", F.octet_length("payload").alias("size")))
 
-    share = min(1.0, SAMPLE / max(1, slim.count()))
-    some = slim.select("key", "sha").where(F.pmod(F.xxhash64("key", "sha"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct().collect()
-    some = sorted((r.key, r.sha) for r in some)
+    total = slim.count()
+    share = min(1.0, SAMPLE / max(1, total))
+    some = slim.select("unnamed", "key", "sha").where(F.pmod(F.xxhash64("unnamed", "key", "sha"), F.lit(1 << 40)) < int(share * (1 << 40))).distinct().collect()
+    some = sorted((r.unnamed, r.key, r.sha) for r in some)
     cuts = sorted({some[i * len(some) // n] for i in range(1, n)} if some else set())
-    shard = _place(cuts, F.struct("key", "sha")).alias("shard")
+    shard = _place(cuts, F.struct("unnamed", "key", "sha")).alias("shard")
 
     # who is a revisit is decided on keys and digests; the rows say it just before the pages they are about
-    first = slim.where(F.col("size") >= min_payload).groupBy("sha").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    known = slim.join(first, "sha").where("key > first").select("key", "sha", "first").distinct()
-    known = known.select(shard, "key", "sha", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("binary").alias("payload"), "first")
-    both = rows.select(shard, "key", "sha", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first")).unionByName(known)
-    both = both.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "key", "sha", "kind", "url")
+    place = F.struct("unnamed", "key")
+    first = slim.where(F.col("size") >= min_payload).groupBy("sha").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    known = spread_join(slim.drop("size"), first, "sha", heavy_keys(slim, "sha", total, n)).where(place > F.col("first")).select("unnamed", "key", "sha", "first").distinct()
+    none = lambda c: F.lit(None).cast(c)
+    known = known.select(shard, "unnamed", "key", "sha", F.lit(0).alias("kind"), none("string").alias("url"), none("binary").alias("payload"), F.when(~F.col("first.unnamed"), F.col("first.key")).alias("first"))
+    both = rows.select(shard, "unnamed", "key", "sha", F.lit(1).alias("kind"), "url", "payload", none("long").alias("first")).unionByName(known)
+    both = both.repartitionById(n, F.col("shard")).sortWithinPartitions("shard", "unnamed", "key", "sha", "kind", "url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _store(out)
         store.create_dir(f"{root}/_temporary", recursive=True)
         stream, entry, sha1 = None, None, None
-        same, place, first, shard, seq = None, 0, None, None, 0
+        same, place, told, first, shard, seq = None, 0, False, None, None, 0
 
         def close() -> pa.RecordBatch:
             stream.close()
@@ -139,13 +143,14 @@ def write_warc(pages: DataFrame, out: str, min_payload: int = 0, roll_bytes: int
             entry["records"] += records
 
         for batch in batches:
-            cols = [batch.column(c) for c in ("shard", "key", "sha", "kind", "url", "payload", "first")]
+            cols = [batch.column(c) for c in ("shard", "unnamed", "key", "sha", "kind", "url", "payload", "first")]
             for i in range(batch.num_rows):
-                s, key, sha, kind, url, payload, of = (c[i].as_py() for c in cols)
+                s, unnamed, key, sha, kind, url, payload, of = (c[i].as_py() for c in cols)
+                key = None if unnamed else key
                 if (key, sha) != same:
-                    same, place, first = (key, sha), 0, None
+                    same, place, told, first = (key, sha), 0, False, None
                 if not kind:
-                    first = of
+                    told, first = True, of
                     continue
                 if stream is not None and (s != shard or entry["bytes"] >= roll_bytes):
                     yield close()
@@ -157,8 +162,8 @@ def write_warc(pages: DataFrame, out: str, min_payload: int = 0, roll_bytes: int
                     stream, sha1 = store.open_output_stream(f"{root}/_temporary/{entry['temp']}", compression=None), hashlib.sha1()
                     info = f"format: WARC File Format 1.1\r\nisPartOf: shard {s}\r\n".encode()
                     put(_member([("WARC-Type", "warcinfo"), ("WARC-Record-ID", _record_id(s, "info", seq)), ("WARC-Date", date), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], info), 0)
-                again = key if place and len(payload) >= min_payload and first is None else first
-                put(_page(key, sha, place, url, payload, again, date), 1)
+                repeated = place > 0 and len(payload) >= min_payload and not told
+                put(_page(key, sha, place, url, payload, told or repeated, key if repeated else first, date), 1)
                 place += 1
         if stream is not None:
             yield close()

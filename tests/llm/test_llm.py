@@ -335,8 +335,9 @@ def test_warc(spark, sf):
     made = [{r.name: r.sha1 for r in write_warc(x, o, roll_bytes=2_000).collect()} for x, o in zip((frame, frame.repartition(3)), out)]
     assert made[0] == made[1] and len(made[0]) > 8
     assert rows_of(read_warc(spark, out[0]), *names) == plain_warc([(p, h) for p, _, h in odd])
-    back = {r.page_id: r.payload for r in read_warc(spark, out[0]).where("record_type = 'response'").collect()}
-    assert all((back.get(p) or b"") in ((h or "").encode(), b"") for p, _, h in odd)
+    back = {r.page_id: bytes(r.payload) for r in read_warc(spark, out[0]).where("record_type = 'response'").collect()}
+    said = {p: (h or "").encode() for p, _, h in odd}
+    assert back == {p: said[p] for p, _, _, kind, _ in plain_warc([(p, h) for p, _, h in odd]) if kind == "response"}
     few = scratch_dir(spark)
     write_warc(frame, few, min_payload=10)
     assert rows_of(read_warc(spark, few), *names) == plain_warc([(p, h) for p, _, h in odd], 10)
@@ -355,6 +356,21 @@ def test_warc_repeated_and_unnamed_rows(spark):
     assert read_warc(spark, none).count() == 0
 
 
+def test_warc_of_extreme_ids_long_pages_and_one_common_payload(spark):
+    """The largest id is an id; most pages are empty; a page of three million characters."""
+    from glossmill.llm.scratch import scratch_dir
+    from glossmill.llm.warc import read_warc, write_warc
+
+    top = 2**63 - 1
+    rows = [(i, "") for i in range(1, 600)] + [(top, ""), (-top - 1, "z"), (top, "z"), (0, "long é " * 400_000), (None, "z"), (None, "only"), (top, "only")]
+    out = scratch_dir(spark)
+    write_warc(spark.createDataFrame([(p, "u", h) for p, h in rows], "page_id long, url string, html string").repartition(5), out)
+    got = {(r.page_id, r.payload_bytes): (r.record_type, r.refers_to) for r in read_warc(spark, out).collect()}
+    assert got[1, 0] == ("response", None) and all(got[i, 0] == ("revisit", 1) for i in [*range(2, 600), top])
+    assert got[-top - 1, 1] == ("response", None) and got[top, 1] == got[None, 1] == ("revisit", -top - 1)
+    assert got[top, 4] == ("response", None) and got[None, 4] == ("revisit", top) and got[0, 8 * 400_000] == ("response", None)
+
+
 def auc(rows, label):
     good, bad = ([s for i, s in rows if label[i] == k] for k in (1, 0))
     return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
