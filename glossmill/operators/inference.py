@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -142,32 +144,15 @@ def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], family: list[str]
     return rows.withColumn("q", F.when(known, F.round(q, 6)).otherwise(F.lit(None) if nan_policy == "omit" else F.lit(1.0))).drop("_k", "_v")
 
 
-def _adf_p(y) -> float | None:  # noqa: ANN001
-    """Augmented Dickey-Fuller with a constant, lags by AIC; MacKinnon's published surface."""
-    import math
+def most_lags(n: Column) -> Column:
+    """As many lags as a series of ``n`` values is tried with; below 0: too few values."""
+    return F.least(F.ceil(12 * F.pow(n / 100.0, 0.25)), F.floor(n / 2) - 2).cast("int")
 
-    import numpy as np
 
-    n = len(y)
-    dy = np.diff(y)
-    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
-    if n < 8 or most < 0 or np.ptp(y) == 0:
-        return None
-
-    def fit(lags: int, start: int) -> tuple[float, float]:
-        x = np.column_stack([np.ones(len(dy) - start), y[start:-1], *[dy[start - k : len(dy) - k] for k in range(1, lags + 1)]])
-        t = dy[start:]
-        beta, *_ = np.linalg.lstsq(x, t, rcond=None)
-        sse, m, k = float(((t - x @ beta) ** 2).sum()), *x.shape
-        if m <= k or sse <= 0:
-            return math.inf, math.nan
-        se = math.sqrt(sse / (m - k) * np.linalg.pinv(x.T @ x)[1, 1])
-        return m * (math.log(2 * math.pi * sse / m) + 1) + 2 * k, float(beta[1] / se) if se else math.nan
+def _mackinnon(tau: float) -> float:
+    """Published response surface for a constant and one series."""
+    import math
 
-    lags = min(range(most + 1), key=lambda k: fit(k, most)[0])
-    tau = fit(lags, lags)[1]
-    if math.isnan(tau):
-        return None
     if tau > 2.74:
         return 1.0
     if tau < -18.83:
@@ -177,21 +162,83 @@ def _adf_p(y) -> float | None:  # noqa: ANN001
     return 0.5 * math.erfc(-(small if tau <= -1.61 else large) / math.sqrt(2))
 
 
+def _unit_root(moments, heads: list, rows: int, most: int) -> float | None:  # noqa: ANN001
+    """p of a series from the cross-products of its rows: 1, the value before, the change, and the ``most`` changes before that.
+
+    ``moments`` are of the rows that have all of them, ``rows`` many; ``heads`` are the rows before these, a change longer each. All
+    numbers of lags are solved from leading blocks of one matrix; the chosen one also takes the heads that are long enough.
+    """
+    import math
+
+    import numpy as np
+
+    def fit(m, count: int, lags: int) -> tuple[float, float]:  # noqa: ANN001
+        x = [0, 1, *range(3, 3 + lags)]
+        if count <= len(x):
+            return math.inf, math.nan
+        inverse = np.linalg.pinv(m[np.ix_(x, x)])
+        beta = inverse @ m[x, 2]
+        sse = float(m[2, 2] - m[x, 2] @ beta)
+        if sse <= 1e-13 * float(m[2, 2]):
+            return math.inf, math.nan
+        se = math.sqrt(sse / (count - len(x)) * inverse[1, 1]) if inverse[1, 1] > 0 else 0.0
+        return count * (math.log(2 * math.pi * sse / count) + 1) + 2 * len(x), float(beta[1] / se) if se else math.nan
+
+    lags = min(range(most + 1), key=lambda k: fit(moments, rows, k)[0])
+    size = 3 + lags
+    more = [np.asarray(h[:size]) for h in heads if len(h) >= size]
+    last = moments[:size, :size] + (sum(np.outer(h, h) for h in more) if more else 0)
+    tau = fit(last, rows + len(more), lags)[1]
+    return None if math.isnan(tau) else _mackinnon(tau)
+
+
 def adf(df: DataFrame, value: str, group: str, order: list[str]) -> DataFrame:
-    """``group, n, adf_p``: the unit-root test of each group's series; null under 8 values or without variance.
+    """``group, n, adf_p``: the unit-root test of each group's series, with a constant, lags by AIC; null under 8 values or without variance.
 
-    A series has a value for each quarter, so a group is small by its nature.
+    A series is walked in order once, with as many changes back as it is tried with; tasks sum cross-products as they go, and what
+    is shuffled and solved is a matrix for each group and task, never a series. Values are centred and scaled first, which leaves the
+    test as it is.
     """
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("g"), F.col(value).cast("double").alias("v"), F.struct(*order).alias("o"))
-    rows = rows.groupBy("g").agg(F.transform(F.array_sort(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("v"))
+    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), F.avg("v").alias("mid"), F.stddev_pop("v").alias("wide"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    sizes = sizes.withColumn("most", most_lags(F.col("n")))
+    tried = sizes.where((F.col("n") >= 8) & (F.col("most") >= 0) & (F.col("lo") < F.col("hi")) & (F.col("wide") > 0))
+    longest = tried.agg(F.max("most")).first()[0] or 0
+    r, t = rows.alias("r"), tried.alias("t")
+    scaled = r.join(t, F.col("r.g").eqNullSafe(F.col("t.g"))).select("r.g", "o", "most", ((F.col("v") - F.col("mid")) / F.col("wide")).alias("y"))
+    w = Window.partitionBy("g").orderBy("o")
+    changes = scaled.withColumns({"before": F.lag("y").over(w)}).withColumn("change", F.col("y") - F.col("before"))
+    # newest first: the change itself and those before it, as many as there are up to the group's lags
+    back = F.reverse(F.collect_list("change").over(w.rowsBetween(-longest, 0)))
+    vectors = changes.withColumn("back", F.slice(back, F.lit(1), F.col("most") + 1)).where("before is not null").select("g", "most", F.concat(F.array(F.lit(1.0), F.col("before")), "back").alias("x"))
+
+    def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import numpy as np
+
+        for batch in batches:
+            whole = batch["x"].map(len) == batch["most"] + 3
+            out = [(g, most, x, 0) for g, most, x in zip(batch["g"][~whole], batch["most"][~whole], batch["x"][~whole])]
+            for (g, most), some in batch[whole].groupby(["g", "most"], dropna=False):
+                m = np.stack(some["x"].to_numpy())
+                out.append((None if pd.isna(g) else g, most, (m.T @ m).ravel(), len(m)))
+            yield pd.DataFrame(out, columns=["g", "most", "x", "k"])
+
+    parts = vectors.mapInPandas(summed, f"g {rows.schema['g'].dataType.simpleString()}, most int, x array<double>, k long")
 
     @F.pandas_udf("double")
-    def p(series: pd.Series) -> pd.Series:
+    def solved(heads: pd.Series, sums: pd.Series, counts: pd.Series, mosts: pd.Series) -> pd.Series:
         import numpy as np
 
-        return pd.Series([_adf_p(np.asarray(v, float)) for v in series], dtype="float64")
+        out = []
+        for head, some, k, most in zip(heads, sums, counts, mosts):
+            size = most + 3
+            out.append(_unit_root(np.sum(np.stack(some), axis=0).reshape(size, size), list(head), int(k), int(most)) if len(some) else None)
+        return pd.Series(out, dtype="float64")
 
-    return rows.select(F.col("g").alias(group), F.size("v").cast("long").alias("n"), F.round(p("v"), 6).alias("adf_p"))
+    part = F.col("k") > 0
+    found = parts.groupBy("g", "most").agg(F.collect_list(F.when(~part, F.col("x"))).alias("h"), F.collect_list(F.when(part, F.col("x"))).alias("m"), F.sum("k").alias("k"))
+    found = found.select(F.col("g").alias("_g"), F.round(solved("h", "m", "k", "most"), 6).alias("adf_p"))
+    return sizes.join(found, F.col("g").eqNullSafe(F.col("_g")), "left").select(F.col("g").alias(group), "n", "adf_p")
 
 
 def trend_robust(df: DataFrame, value: str, outcome: str, group: str, order: list[str]) -> DataFrame:

@@ -287,6 +287,64 @@ def test_trends(spark):
     assert got["noise"] < 0.01 < got["walk"] and got["short"] is None
 
 
+def plain_adf(y):
+    """By least squares of each number of lags, with the whole series at hand."""
+    import math
+
+    import numpy as np
+
+    n = len(y)
+    dy = np.diff(y)
+    most = min(math.ceil(12 * (n / 100) ** 0.25), n // 2 - 2)
+    if n < 8 or most < 0 or np.ptp(y) == 0:
+        return None
+
+    def fit(lags: int, start: int) -> tuple[float, float]:
+        x = np.column_stack([np.ones(len(dy) - start), y[start:-1], *[dy[start - k : len(dy) - k] for k in range(1, lags + 1)]])
+        t = dy[start:]
+        beta, *_ = np.linalg.lstsq(x, t, rcond=None)
+        sse, m, k = float(((t - x @ beta) ** 2).sum()), *x.shape
+        if m <= k or sse <= 0:
+            return math.inf, math.nan
+        se = math.sqrt(sse / (m - k) * np.linalg.pinv(x.T @ x)[1, 1])
+        return m * (math.log(2 * math.pi * sse / m) + 1) + 2 * k, float(beta[1] / se) if se else math.nan
+
+    lags = min(range(most + 1), key=lambda k: fit(k, most)[0])
+    tau = fit(lags, lags)[1]
+    if math.isnan(tau):
+        return None
+    if tau > 2.74:
+        return 1.0
+    if tau < -18.83:
+        return 0.0
+    small = 2.1659 + 1.4412 * tau + 0.038269 * tau**2
+    large = 1.7339 + 0.93202 * tau - 0.12745 * tau**2 - 0.010368 * tau**3
+    return 0.5 * math.erfc(-(small if tau <= -1.61 else large) / math.sqrt(2))
+
+
+@pytest.mark.parametrize("size", [8, 9, 30, 120, 700])
+def test_unit_roots_by_moments(spark, size):
+    """As least squares over whole series; numbers, walks and trends of several scales; what can't be told is null."""
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    noise, walk = rng.normal(size=size), rng.normal(size=size).cumsum()
+    series = {"noise": noise, "walk": 1e6 + walk, "trend": np.arange(size) * 3.0 + noise, "small": 1e-6 * (walk + 5), None: 0.5 * walk + noise, "flat": np.ones(size), "short": noise[:7]}
+    rows = [(g, i, float(v)) for g, y in series.items() for i, v in enumerate(y)]
+    random.Random(1).shuffle(rows)
+    found = {r.g: r for r in inference.adf(spark.createDataFrame(rows, "g string, i int, y double"), "y", "g", ["i"]).collect()}
+    assert set(found) == set(series)
+    for g, y in series.items():
+        want = plain_adf((y - y.mean()) / (y.std() or 1))  # its squares are too coarse far from 0
+        assert found[g].n == len(y) and (found[g].adf_p is None if want is None else found[g].adf_p == pytest.approx(want, abs=2e-5)), g
+
+
+def test_critical_values(spark):
+    """Published critical values of a constant and one series, for many values."""
+    for level, tau in ((0.01, -3.43), (0.05, -2.86), (0.10, -2.57)):
+        assert inference._mackinnon(tau) == pytest.approx(level, abs=1e-3)
+
+
 def test_outlets_and_dates(spark):
     rows = spark.createDataFrame([("The Guardian",), (" daily mirror ",), (None,)], "outlet string")
     assert [r.outlet for r in tables.canonical_outlet(rows, "express").collect()] == ["guardian", "mirror", "express"]
