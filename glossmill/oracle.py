@@ -260,6 +260,28 @@ _FIGURES = ", ".join(f"round({k}.rho, 4) rho_{k}, round({k}.p, 6) p_{k}, coalesc
 _FOUND = ", ".join(f"{k} as (with {_rho(source, x, y, 'outlet')} select * from cor)" for k, (x, y, source) in _TESTS.items())
 
 
+def _main_text() -> str:
+    """Blocks of the article as rows, each with the nearest above and below that isn't short."""
+    gone = "html"
+    for pattern in ("(?is)<!--.*?-->", *(f"(?is)<{t}\\b.*?</{t}>" for t in ("script", "style", "nav", "aside", "footer", "header", "table", "form", "noscript", "figure", "title"))):
+        gone = f"regexp_replace({gone}, '{pattern}', '', 'g')"
+    bare = lambda x: "replace(" * 6 + f"regexp_replace({x}, '<[^>]*>', '', 'g')" + "".join(f", '{k}', {v})" for k, v in {"&lt;": "'<'", "&gt;": "'>'", "&quot;": "chr(34)", "&#39;": "chr(39)", "&nbsp;": "' '", "&amp;": "'&'"}.items())
+    tidy = lambda x: f"trim(regexp_replace({x}, '[\\s\\x0B\\x{{85}}\\p{{Z}}]+', ' ', 'g'))"
+    links = f"list_sum(list_transform(regexp_extract_all(raw, '(?is)<a\\b[^>]*>(.*?)</a>', 1), lambda x: length(trim({bare('x')}))))"
+    return f"""with a as (select page_id, url, regexp_replace(regexp_extract({gone}, '(?is)<article\\b[^>]*>(.*?)</article>', 1), '(?i)<h[1-6]\\b[^>]*>', '<p>' || chr(1), 'g') inner_html from pages),
+ b as (select page_id, generate_subscripts(x, 1) i, unnest(x) raw from (select page_id, string_split_regex(inner_html, '(?i)</?(p|h[1-6]|li|blockquote|div|br|section|main|ul|ol|hr|pre|td)\\b[^>]*>') x from a)),
+ c as (select page_id, i, {tidy(bare("replace(raw, chr(1), '')"))} said, contains(raw, chr(1)) heading, coalesce({links}, 0) linked from b),
+ d as (select *, case when linked > length(said) / 3.0 then 'bad' when length(said) >= 80 then 'good' end kind from c where said <> ''),
+ e as (select *, last_value(kind ignore nulls) over (w rows between unbounded preceding and 1 preceding) above, first_value(kind ignore nulls) over (w rows between 1 following and unbounded following) below,
+  bool_or(kind = 'good') over (partition by page_id) any_good from d window w as (partition by page_id order by i)),
+ f as (select page_id, string_agg(said, chr(10) order by i) body from e where case when not coalesce(any_good, false) then kind is null when kind is null then case when heading then below = 'good' else coalesce(above, below) = 'good' and coalesce(below, above) = 'good' end else kind = 'good' end group by page_id),
+ g as (select page_id, regexp_extract(url, '(?:^|\\D)((?:19|20)\\d\\d[-/](?:0[1-9]|1[0-2])[-/](?:0[1-9]|[12]\\d|3[01]))(?:\\D|$)', 1) on_day from pages)
+ select page_id, body, replace(nullif(on_day, ''), '/', '-') date from g left join f using (page_id)"""
+
+
+ORACLE_SQL["page_text_extract"] = _main_text()
+
+
 def _q(p: str) -> str:
     ranked = f"(select outlet, case when {p} is not null then {p} * count({p}) over () / row_number() over (order by {p} nulls last, outlet) end v, {p} from r)"
     return f"(select outlet, case when {p} is not null then round(least(1, min(v) over (order by {p} nulls last, outlet rows between current row and unbounded following)), 6) end q from {ranked})"

@@ -157,7 +157,7 @@ def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_text_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.extract_pages(table(spark, sf_dir, "pages")).select("page_id", "body", "date")
+    return web.extract_pages(spread(table(spark, sf_dir, "pages")), url="url").select("page_id", "body", "date")
 
 
 def paged_articles(spark: SparkSession, sf_dir: str) -> DataFrame:

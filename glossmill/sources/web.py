@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
 import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .blocks import page_text
+
 CONFIG = "outlet string, domain string, sitemap_templates array<string>, date_source string, crawl_delay int"
 _PLACEHOLDERS = r"\{(year|month(:02d)?|day(:02d)?)\}"
 
@@ -48,60 +46,15 @@ def sitemap_entries(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("loc is not null and _corrupt_record is null").select(F.trim("loc").alias("url"), F.substring(F.trim(F.coalesce("lastmod", F.lit(""))), 1, 10).alias("sitemap_date"))
 
 
-class _Text(HTMLParser):
-    """Text of paragraphs and headings inside the article, or the body where there is none."""
-
-    SKIP = {"script", "style", "nav", "aside", "footer", "header", "table", "form", "noscript", "figure"}
-    BLOCK = {"p", "h1", "h2", "h3", "h4", "li", "blockquote", "div", "br"}
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.skipped, self.inside, self.parts, self.date = 0, 0, {True: [], False: []}, None
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        got = dict(attrs)
-        if tag == "time" and self.date is None:
-            self.date = got.get("datetime")
-        if tag == "meta" and (got.get("property") or got.get("name") or "") in ("article:published_time", "date", "pubdate") and self.date is None:
-            self.date = got.get("content")
-        self.skipped += tag in self.SKIP
-        self.inside += tag == "article"
-        if tag in self.BLOCK:
-            self.handle_data("\n")
-
-    def handle_endtag(self, tag: str) -> None:
-        self.skipped = max(0, self.skipped - (tag in self.SKIP))
-        self.inside = max(0, self.inside - (tag == "article"))
-        if tag in self.BLOCK:
-            self.handle_data("\n")
-
-    def handle_data(self, data: str) -> None:
-        if not self.skipped:
-            self.parts[self.inside > 0].append(data)
-
-
-def page_text(html: str | None) -> tuple[str | None, str | None]:
-    """Main text and date (its first ten characters) of a page; no text: null."""
-    parser = _Text()
-    try:
-        parser.feed(html or "")
-        parser.close()
-    except (AssertionError, ValueError):
-        return None, None
-    lines = (re.sub(r"\s+", " ", x).strip() for x in "".join(parser.parts[True] or parser.parts[False]).split("\n"))
-    text = "\n".join(x for x in lines if x)
-    return text or None, (parser.date or "")[:10] or None
-
-
-def extract_pages(pages: DataFrame, html: str = "html") -> DataFrame:
-    """``pages`` with ``body`` and ``date``; a parse in Arrow batches, without comments, tables and navigation."""
+def extract_pages(pages: DataFrame, html: str = "html", url: str | None = None) -> DataFrame:
+    """``pages`` with ``body`` and ``date``: main text and best date of each page (see ``blocks``), parsed in Arrow batches."""
 
     @F.pandas_udf("body string, date string")
-    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame([page_text(x) for x in batch], columns=["body", "date"])
+    def parsed(texts: pd.Series, urls: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([page_text(t, u) for t, u in zip(texts, urls)], columns=["body", "date"])
 
-    return pages.withColumn("_page", parsed(F.col(html))).withColumn("body", F.col("_page.body")).withColumn("date", F.col("_page.date")).drop("_page")
+    found = parsed(F.col(html), F.col(url) if url else F.lit(None).cast("string"))
+    return pages.withColumn("_page", found).withColumn("body", F.col("_page.body")).withColumn("date", F.col("_page.date")).drop("_page")
 
 
 def paragraphs(html: Column) -> Column:
