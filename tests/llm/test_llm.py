@@ -116,7 +116,7 @@ def test_jaccard_of_a_hub(spark):
     from glossmill.llm.skew import heavy_keys, spread_join
 
     base = [f"w{i}" for i in range(60)]
-    rows = [(i, " ".join([*base[: i % 50 + 3], f"x{i}", *base[i % 50 + 3 :]])) for i in range(1500)] + [(-1, " ".join(base))]
+    rows = [(i, " ".join([*base[: i % 50 + 3], f"x{i}", *base[i % 50 + 3 :]])) for i in range(500)] + [(-1, " ".join(base))]
     found = similar_components(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r.component_id for r in found.collect()} == {-1}
     pairs = spark.range(4000).selectExpr("if(id < 3900, 7, id) a", "id b")

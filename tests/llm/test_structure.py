@@ -83,7 +83,7 @@ def test_manifest(spark, sf):
     assert rows_of(Q.op12_manifest(spark, sf), *MANIFEST) == brute.manifest(rows)
 
 
-@pytest.mark.parametrize("langs", [1, 9, 70])
+@pytest.mark.parametrize("langs", [1, 70])
 def test_manifest_of_odd_rows(spark, langs):
     """Nulls in any column, repeated rows, ties, lone leaves, one group and many; what is tampered with is found."""
     from glossmill.llm.merkle import document_leaves, fold, manifest
