@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
@@ -57,6 +57,17 @@ def scope(spark: SparkSession) -> Iterator[None]:
         _SCOPE.reset(token)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """What ``make`` returns, written, without the tables that were written on the way."""
+    path = scratch_dir(spark)
+    with scope(spark):
+        df = make()
+        df.write.parquet(path)
+    if (outer := _SCOPE.get()) is not None:
+        outer.append(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def drop(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, dealt: DataFrame, window: int = 13, anchor:
     found = docs.mapInArrow(keys, "key long, doc long, sig long, begin int, end int").repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(shared, "key long, doc long, sig long, begin int, end int")
     is_key = F.col("begin") < 0
     found = found.groupBy("doc", "sig").agg(F.collect_list(F.when(is_key, F.col("key"))).alias("keys"), F.collect_list(F.when(~is_key, F.struct("begin", "end"))).alias("spans"))
-    rows = dealt.join(found, ["doc", "sig"]).select("doc", "sig", "text", "keys", "spans")
+    rows = dealt.join(found, ["doc", "sig"])  # with all columns, so that the shuffle of the texts is the one that the caller makes
     rows = rows.mapInArrow(passages, "key long, doc long, sig long, begin int, end int, words binary")
     return rows.repartition(n, "key").sortWithinPartitions("key", "doc").mapInArrow(search, SPAN)
 
