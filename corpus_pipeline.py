@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from glossmill.llm.decontam import decontaminate
 from glossmill.llm.jaccard import similar_components
 from glossmill.llm.mixing import mix
-from glossmill.llm.scratch import drop, scope, scratch_dir
+from glossmill.llm.scratch import drop, scope, scratch_dir, settled
 from glossmill.llm.substring import dedup_substrings
 from glossmill.llm.toxicity import score_toxicity
 
@@ -35,8 +35,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words and rows without a doc_id are linked with nothing and stay. Rows that share a doc_id are
     judged apart; of those among them that are linked, the one with the least xxhash64 stays, once.
     """
-    found = similar_components(docs, tied=False)
-    keep = found.where("is_first and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "sig").distinct()
+    first = lambda: similar_components(docs, tied=False).where("is_first and n_shingles > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "sig").distinct()
+    keep = settled(spark, first)  # names only; the tables that told them go
     wordless = F.col("row.doc_id").isNull() | ~F.coalesce(F.col("row.text").cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     rows = _named(docs)
     once = F.row_number().over(Window.partitionBy("id", "sig").orderBy(F.xxhash64("row")))
@@ -57,8 +57,8 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a window of a benchmark item go; others of the same or no doc_id stay."""
-    leaks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    leaked = leaks.where("contaminated").select("doc_id", "sig").distinct()
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaked = settled(spark, lambda: decontaminate(docs, bench).where("contaminated").select("doc_id", "sig").distinct())
     rows = _named(docs)
     return rows.join(leaked, rows["id"].eqNullSafe(leaked["doc_id"]) & (rows["sig"] == leaked["sig"]), "left_anti").select("row.*")
 
