@@ -27,6 +27,17 @@ def test_main_text(html, lines):
     assert page_text(html)[0] == ("\n".join(lines) or None)
 
 
+#: Text of a page, what is read of it: references without a semicolon stay as they are.
+REFERENCES = [
+    ("cut &amp", "cut &amp"), ("cut &am", "cut &am"), ("a &amp;&amp;&amp", "a &&&amp"), ("&lt;p&gt; &#39;&quot;&#x41;", "<p> '\"A"), ("&ltb &copy2 &#39 x", "&ltb &copy2 &#39 x"), ("&amp;lt; &nosuch; & &", "&lt; &nosuch; & &"),
+]
+
+
+@pytest.mark.parametrize("said, read", REFERENCES)
+def test_references_need_their_semicolon(said, read):
+    assert page_text(f"<article><h1>{said}</h1><p>{LINE}</p></article>")[0] == f"{read}\n{LINE}"
+
+
 META = '<meta property="article:published_time" content="2016-03-04T01:02:03Z">'
 DATES = [
     (META + '<time datetime="2015-01-01">', None, "2016-03-04"), ('<time datetime="2014-01-01"></time><article><time datetime="2015-01-01"></time></article>', None, "2015-01-01"),
