@@ -10,16 +10,18 @@ from pyspark.sql import functions as F
 
 from ..functions.pvalues import correlation_p, f_two, student_t, t_quantile
 from ..functions.text import stars
+from ..shared import stored
 from .order import quantiles, with_rank
 
 
 def rank_correlation(df: DataFrame, x: str, y: str, keys: list[str], least: int = 5) -> DataFrame:
     """``keys, n, rho, p``: Spearman's correlation of pairs without nulls; null without variance, no row under ``least`` pairs.
 
-    Equal pairs are counted before they are ranked. Ranks come from counts of values, so no group is sorted in one task.
+    Equal pairs are counted before they are ranked. Ranks come from counts of values, so no group is sorted in one task. The pairs are
+    written once: ranks are looked up by value, and means that are computed twice may differ in their last digits.
     """
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    pairs = rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m"))
+    pairs = stored(rows.groupBy(*keys, F.col(x).alias("_x"), F.col(y).alias("_y")).agg(F.count("*").alias("_m")))
     ranked = with_rank(with_rank(pairs, "_x", keys, "rx", "_m", centred=True), "_y", keys, "ry", "_m", centred=True)
     a, b, m = F.col("rx"), F.col("ry"), F.col("_m")
     s = ranked.groupBy(*keys).agg(F.sum(m).alias("n"), F.sum(m * a * b).alias("ab"), F.sum(m * a * a).alias("aa"), F.sum(m * b * b).alias("bb"))
@@ -141,7 +143,7 @@ def benjamini_hochberg(df: DataFrame, p: str, ties: list[str], family: list[str]
     up = Window.partitionBy(*keys).orderBy(F.col(p).asc_nulls_last(), *ties)
     rows = df.withColumn("_k", F.row_number().over(up)).withColumn("_v", F.when(known, F.col(p) * n / F.col("_k")))
     q = F.least(F.lit(1.0), F.min("_v").over(up.rowsBetween(0, Window.unboundedFollowing)))
-    return rows.withColumn("q", F.when(known, F.round(q, 6)).otherwise(F.lit(None) if nan_policy == "omit" else F.lit(1.0))).drop("_k", "_v")
+    return rows.withColumn("q", F.when(known, F.round(q * 1e6) / 1e6).otherwise(F.lit(None) if nan_policy == "omit" else F.lit(1.0))).drop("_k", "_v")
 
 
 def most_lags(n: Column) -> Column:

@@ -19,7 +19,7 @@ from .operators.markers import with_markers
 from .operators.sentences import DEMO_VALENCE, SentimentRules, rule_scorer, scale_table, sentences, sentiment
 from .plans.features import article_features, keyword_model, stance_scores, topic_scores, usable
 from .plans.scoring import score_batches, scored
-from .shared import shared_folder, spread
+from .shared import shared_folder, spread, stored
 from .sources import paged, web
 from .streaming.incremental import process_new
 
@@ -47,7 +47,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return align.rolling_year(dated(spark, sf_dir), series(spark, sf_dir), FEATURES)
+    """Written once, as what follows reads it many times, and sums of other tasks' order have other last digits."""
+    return stored(align.rolling_year(dated(spark, sf_dir), series(spark, sf_dir), FEATURES))
 
 
 def lexicon_density_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:

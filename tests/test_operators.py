@@ -1,6 +1,7 @@
 """Hand-written cases, one for each behaviour."""
 
 import io
+import os
 import random
 import zipfile
 
@@ -540,3 +541,26 @@ def test_dual_series_panels(spark):
     df = spark.createDataFrame([("mirror", 2019, 12, 1.5, 2000), ("guardian", 2020, 3, 2.5, None), ("other", 2020, 3, 1.0, 1)], "outlet string, quarter_end_year int, quarter_end_month int, f double, net long")
     got = sorted((r["panel"], r["title"], str(r["date"]), r["net_thousands"], r["before_break"]) for r in dual_series(df, "f", "net").collect())
     assert got == [(1, "The Guardian", "2020-03-01", None, False), (4, "Daily Mirror", "2019-12-01", 2.0, True)]
+
+
+def test_ranks_of_values_whose_last_digits_change(spark):
+    """Means over tasks come with other last digits whenever they are computed; each pair still has its ranks, also where no exchange is reused."""
+
+    def shaken(batches):
+        for batch in batches:
+            batch["x"] += [b / 1e9 for b in os.urandom(len(batch))]
+            yield batch
+
+    rows = spark.range(40).selectExpr("id % 2 as g", "cast(id as double) as x", "cast(id as double) as y").mapInPandas(shaken, "g long, x double, y double")
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        found = inference.rank_correlation(rows, "x", "y", ["g"]).orderBy("g").collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    assert [tuple(r)[:3] for r in found] == [(0, 20, 1.0), (1, 20, 1.0)]
+
+
+def test_q_of_half_a_place_is_rounded_as_in_sql(spark):
+    """0.000093 * 5 / 2 is 0.0002325, which as a double is a little less; SQL rounds the product with 10^6, which is 232.5."""
+    rows = spark.createDataFrame([(1, 0.000001), (2, 0.000093), (3, 0.9), (4, 0.9), (5, 0.9)], "k int, p double")
+    assert [r.q for r in inference.benjamini_hochberg(rows, "p", ["k"]).orderBy("k").collect()] == [0.000005, 0.000233, 0.9, 0.9, 0.9]
