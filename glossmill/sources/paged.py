@@ -13,6 +13,7 @@ import re
 import time
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,10 @@ from ..shared import exists, remove
 
 ANSWERS = "year int, month int, page int, status int, pages int, json string"
 RESULTS = "response struct<pages:int,results:array<struct<webTitle:string,webUrl:string,webPublicationDate:string,sectionId:string,fields:struct<wordcount:string,bodyText:string>>>>"
+ROWS = pa.schema([("year", pa.int32()), ("month", pa.int32()), ("page", pa.int32()), ("status", pa.int32()), ("pages", pa.int32()), ("json", pa.string())])
 OK, BLOCKED = 200, 403
+#: Bytes from which a row group of recorded pages ends.
+ROW_GROUP = 1 << 20
 
 Month = tuple[int, int]
 
@@ -66,7 +70,12 @@ class PagedReader(DataSourceReader):
         lanes = max(1, min(int(self.options.get("lanes", "1")), len(months)))
         return [Lane(months[i::lanes]) for i in range(lanes)]
 
-    def read(self, lane: Lane) -> Iterator[tuple]:
+    def read(self, lane: Lane) -> Iterator[pa.RecordBatch]:
+        """A batch for each answer: tuples would be held until there are as many as a batch of Spark's has rows, whatever their size."""
+        for answer in self.answers(lane):
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(answer, ROWS)], schema=ROWS)
+
+    def answers(self, lane: Lane) -> Iterator[tuple]:
         module, _, name = self.options["client"].partition(":")
         client = getattr(importlib.import_module(module), name)(self.options)
         pace, pause = Pace(float(self.options.get("pace", "0.1"))), float(self.options.get("pause", "0.5"))
@@ -169,30 +178,35 @@ def articles_of(answers: DataFrame, least_words: int = 200) -> DataFrame:
 
 
 class Recorded:
-    """A client over answers that ``record`` has kept."""
+    """A client over answers that ``record`` has kept. Of a month's file, only the row group with the page is read."""
 
     def __init__(self, options: dict[str, str]) -> None:
         from pyarrow import dataset
 
         self.store, self.root = _store(options["recorded"])
-        self.dataset = dataset
+        self.dataset, self.month, self.found = dataset, None, None
 
     def get(self, year: int, month: int, page: int) -> tuple[int, str | None]:
-        at = f"{self.root}/year={year}/month={month}"
-        if self.store.get_file_info(at).type == fs.FileType.NotFound:
+        if self.month != (year, month):
+            at = f"{self.root}/year={year}/month={month}"
+            some = self.store.get_file_info(at).type != fs.FileType.NotFound
+            self.month, self.found = (year, month), self.dataset.dataset(at, filesystem=self.store, format="parquet") if some else None
+        if self.found is None:
             return 404, None
-        found = self.dataset.dataset(at, filesystem=self.store, format="parquet").to_table(["json"], filter=self.dataset.field("page") == page)
+        found = self.found.to_table(["json"], filter=self.dataset.field("page") == page)
         return (OK, found.column("json")[0].as_py()) if found.num_rows else (404, None)
 
 
 def record(articles: DataFrame, out: str, page: Column) -> None:
     """Answers as the interface gives them, made from ``articles`` (year, month, date, title, url, section, body), a folder for each month.
 
-    ``page`` numbers an article's page within its month from 1; a page's articles meet in one row, so it has to be small.
+    ``page`` numbers an article's page within its month from 1; a page's articles meet in one row, so it has to be small. A month's pages lie
+    in order in small row groups, so that one can be read without the others.
     """
     fields = F.struct(F.regexp_count("body", F.lit(r"(?U)\S+")).cast("string").alias("wordcount"), F.col("body").alias("bodyText"))
     item = F.struct(F.col("title").alias("webTitle"), F.col("url").alias("webUrl"), F.col("date").alias("webPublicationDate"), F.col("section").alias("sectionId"), fields.alias("fields"))
     pages = articles.withColumn("page", page).groupBy("year", "month", "page").agg(F.collect_list(item).alias("results"))
     last = pages.groupBy("year", "month").agg(F.max("page").alias("pages"))
     said = pages.join(last, ["year", "month"]).select("year", "month", "page", F.to_json(F.struct(F.struct("pages", "results").alias("response"))).alias("json"))
-    said.write.partitionBy("year", "month").parquet(out)
+    rows = said.repartition("year", "month").sortWithinPartitions("year", "month", "page")
+    rows.write.option("parquet.block.size", ROW_GROUP).option("parquet.page.size.row.check.min", 1).option("parquet.block.size.row.check.min", 1).partitionBy("year", "month").parquet(out)

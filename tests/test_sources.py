@@ -2,7 +2,9 @@
 
 import os
 
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from glossmill.sources import paged
 
@@ -62,3 +64,14 @@ def test_a_block_stops_all_lanes_and_a_later_call_goes_on(spark, folder, tmp_pat
     assert sorted((r.month, r.page) for r in answers.collect()) == [(m, p) for m in range(1, 7) for p in range(1, 6)]
     again = asked(folder)[len(first) :]
     assert not {(m, p) for m, p, _ in again} & {(m, p) for m, p, _ in first if (m, p) != (1, 3)}
+
+
+def test_answers_are_handed_on_one_by_one_and_read_without_their_month(spark, tmp_path):
+    """What a task holds is a page, not all pages of its months."""
+    rows = spark.range(12).selectExpr("2016 as year", "3 as month", "'d' as date", "'t' as title", "cast(id as string) as url", "'s' as section", "repeat('word ', 9) as body", "id")
+    paged.record(rows, str(tmp_path / "recorded"), (F.col("id") / 2).cast("int") + 1)
+    (file,) = (tmp_path / "recorded" / "year=2016" / "month=3").glob("*.parquet")
+    assert [pq.ParquetFile(file).metadata.num_rows] == [6]
+    reader = paged.PagedReader({"client": "glossmill.sources.paged:Recorded", "months": "2016-3-2", "recorded": str(tmp_path / "recorded"), "pace": "0"})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert [(b.num_rows, *b.to_pylist()[0].values())[:6] for b in batches] == [(1, 2016, 3, n, 200, 6) for n in range(2, 7)]
