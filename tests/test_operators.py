@@ -564,3 +564,19 @@ def test_q_of_half_a_place_is_rounded_as_in_sql(spark):
     """0.000093 * 5 / 2 is 0.0002325, which as a double is a little less; SQL rounds the product with 10^6, which is 232.5."""
     rows = spark.createDataFrame([(1, 0.000001), (2, 0.000093), (3, 0.9), (4, 0.9), (5, 0.9)], "k int, p double")
     assert [r.q for r in inference.benjamini_hochberg(rows, "p", ["k"]).orderBy("k").collect()] == [0.000005, 0.000233, 0.9, 0.9, 0.9]
+
+
+def test_first_rows_take_rows_as_they_are():
+    """A key's rows aren't made a frame; nulls of the order come first, a seen key gives nothing."""
+    from types import SimpleNamespace
+
+    from pyspark.sql import Row
+
+    from glossmill.streaming.ledger import _FirstRows
+
+    known = []
+    made = _FirstRows(["url", "a", "b"], ["a", "b"], None)
+    made.init(SimpleNamespace(getValueState=lambda *_: SimpleNamespace(exists=lambda: bool(known), update=known.append)))
+    rows = [Row("u", 2, "x"), Row("u", None, "z"), Row("u", None, None), Row("u", 1, "a")]
+    assert list(made.handleInputRows(("u",), iter(rows), None)) == [Row("u", None, None)] and known == [(True,)]
+    assert list(made.handleInputRows(("u",), iter(rows), None)) == []
