@@ -76,6 +76,13 @@ def sentence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return articles(spark, sf_dir).select(F.col("url").alias("doc_id"), F.size(sentences(F.col("body"))).cast("long").alias("n_sentences"), word_count(F.col("body")).alias("n_words"))
 
 
+def _with_words_put(text: Column, put: dict[str, str]) -> Column:
+    """Whole words replaced by others. The word comes first in the pattern, so that what is around it is only looked at where it stands."""
+    for word, other in put.items():
+        text = F.regexp_replace(text, rf"{word}(?<![\p{{L}}]{word})(?![\p{{L}}])", other)
+    return text
+
+
 #: Common words and the markers that are put in their place; names after titles among them.
 PUT_MARKERS = {
     "the": "will", "of": "we", "and": "they", "to": "might", "in": "may", "is": "must", "that": "Mr May", "on": "often", "le": "Would",
@@ -89,10 +96,7 @@ MARKERS = [
 
 def modal_pronoun_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Over texts whose common words are put in the place of markers, so that there is something to count."""
-    text = F.col("body")
-    for word, marker in PUT_MARKERS.items():
-        text = F.regexp_replace(text, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", marker)
-    return with_markers(spread(articles(spark, sf_dir)), text).select(F.col("url").alias("doc_id"), *[c for c in MARKERS])
+    return with_markers(spread(articles(spark, sf_dir)), _with_words_put(F.col("body"), PUT_MARKERS)).select(F.col("url").alias("doc_id"), *[c for c in MARKERS])
 
 
 #: Common words and what is put in their place, so that sentences have something to weigh.
@@ -105,9 +109,7 @@ PUT_FEELINGS = {
 def sentence_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The published rules over tables of words, on texts that have such words put in."""
     weights = spark.createDataFrame(list(DEMO_VALENCE.items()), "term string, weight double")
-    said = F.col("body")
-    for word, feeling in PUT_FEELINGS.items():
-        said = F.regexp_replace(said, rf"(?<![\p{{L}}]){word}(?![\p{{L}}])", feeling)
+    said = _with_words_put(F.col("body"), PUT_FEELINGS)
     rows = sentiment(spread(articles(spark, sf_dir)).select("url", said.alias("body")), rule_scorer(SentimentRules(scale_table(weights))))
     return rows.select(F.col("url").alias("doc_id"), "sentiment_compound", "sentiment_pos_ratio", "sentiment_neg_ratio", "sentiment_neu_ratio", "sentiment_n_sentences")
 

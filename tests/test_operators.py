@@ -580,3 +580,19 @@ def test_first_rows_take_rows_as_they_are():
     rows = [Row("u", 2, "x"), Row("u", None, "z"), Row("u", None, None), Row("u", 1, "a")]
     assert list(made.handleInputRows(("u",), iter(rows), None)) == [Row("u", None, None)] and known == [(True,)]
     assert list(made.handleInputRows(("u",), iter(rows), None)) == []
+
+
+def test_texts_without_an_apostrophe_are_not_searched_for_contractions(monkeypatch):
+    from glossmill.operators import markers
+
+    split, token = markers._patterns()
+    asked = []
+
+    class Split:
+        def sub(self, to, text):
+            asked.append(text)
+            return split.sub(to, text)
+
+    monkeypatch.setattr(markers, "_patterns", lambda: (Split(), token))
+    assert markers.tokens("We will. THEY") == ["We", "will", ".", "THEY"] and markers.tokens("don't") == ["do", "n't"]
+    assert asked == ["don't"]
