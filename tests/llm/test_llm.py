@@ -110,6 +110,37 @@ def test_jaccard_skips_no_link_within_blocks(spark):
     assert sorted(got) == sorted(tuple(sorted((int(sid[i]), int(sid[j])))) for i in range(300) for j in range(i) if can(i, j))
 
 
+@pytest.mark.parametrize("largest", [6, 40, 400])
+def test_jaccard_lists_hold_only_sets_that_can_be_linked(largest):
+    """Rows of an index list stay if another one of it is near enough in size and place, wherever batches end; long lists stay as they are."""
+    import numpy as np
+    import pyarrow as pa
+
+    from glossmill.llm.jaccard import _met
+
+    rng = np.random.default_rng(largest)
+    for _ in range(60):
+        m = int(rng.integers(1, 80))
+        token, n = np.sort(rng.integers(-5, 6, m)), rng.integers(1, largest, m)
+        n = n[np.lexsort((n, token))]
+        pos = rng.integers(0, n // 5 + 1)
+        rows = pa.RecordBatch.from_pydict({"token": token, "sid": np.arange(m), "n": n.astype(np.int32), "pos": pos.astype(np.int32)})
+        can = lambda i, j: 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]) and 9 * min(n[i] - pos[i], n[j] - pos[j]) >= 4 * (n[i] + n[j])
+        want = [i for i in range(m) if any(token[i] == token[j] and i != j and can(i, j) for j in range(m))]
+        cuts = sorted({0, m, *rng.integers(0, m + 1, 5).tolist()})
+        ids = lambda *most: [i for b in _met((rows.slice(a, b - a) for a, b in zip(cuts, cuts[1:])), *most) for i in b.column("sid").to_pylist()]
+        assert ids() == want
+        assert (some := ids(5)) == sorted(set(some)) and set(want) <= set(some)
+
+
+def test_jaccard_shuffles_only_texts_that_pairs_ask_for(spark):
+    from glossmill.llm.jaccard import _let_through
+
+    texts = spark.range(2000).selectExpr("id sid", "concat('text ', id) text")
+    kept = _let_through(texts, F.xxhash64("sid"), spark.range(40, 50).toDF("sid"), F.xxhash64("sid")).collect()
+    assert {(i, f"text {i}") for i in range(40, 50)} <= {tuple(r) for r in kept} and len(kept) < 20
+
+
 def test_jaccard_of_a_hub(spark):
     """Thousands of near copies of one text: all are found, and no task of the join has most of the pairs."""
     from glossmill.llm.jaccard import similar_components
