@@ -115,6 +115,25 @@ def test_cleaning(spark, outlet, body, expected):
     assert row.body == expected and row.words_before == 7 and row.wordcount == len((expected or "").split())
 
 
+def test_rules_pass_over_only_texts_they_are_not_found_in(spark):
+    """Boilerplate in all cases, and with letters that count as i, s and k where case is ignored: results are those of searching every text."""
+    from dataclasses import replace
+
+    from glossmill.operators.cleaning import HEADLINE_BLOCK, ROUTES, apply_rules
+    from glossmill.queries import BOILERPLATE
+
+    rules = [r for r in RULES if r.pattern != HEADLINE_BLOCK]
+    assert all(r.needs for r in rules)
+    odd = lambda t: t.replace("i", "ı").replace("S", "ſ").replace("I", "İ").replace("k", "\u212a")
+    told = [f(t) for t in [*BOILERPLATE, *(t.strip() for t in BOILERPLATE)] for f in (str, str.upper, str.lower, odd, lambda t: odd(t.upper()))]
+    rows = [(a + "A body’s text. \u2003" + b,) for a, b in zip(told, [*told[7:], *told[:7]])] + [(None,), ("",), (" \n",)]
+    frame = spark.createDataFrame(rows, "said string")
+    for outlet in ROUTES:
+        own = [r for r in rules if r.outlet == outlet]
+        quick, every = (apply_rules(frame.said, [replace(r, **kw) for r in own]) for kw in ({}, {"needs": ()}))
+        assert frame.where(~quick.eqNullSafe(every)).select("said", quick.alias("quick"), every.alias("every")).collect() == []
+
+
 def test_cleaning_by_the_name_of_a_file(spark):
     """A row without an outlet is cleaned as its file's name says; its own outlet comes first, known or not."""
     said = "a\nREAD MORE: x\nb"
